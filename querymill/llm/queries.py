@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import format_dups, top_n
+from . import cross_split, format_dups, top_n
 from .runtime import read
 
 #: Fixed order of the candidate sources, best first.
@@ -22,6 +22,16 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.collapse(read(spark, sf_dir, "candidate_pool"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cross_split.overlapping_pairs(read(spark, sf_dir, "question_items"))
+    return pairs.select(
+        F.least("train_rid", "eval_rid").cast("int").alias("idx_a"), F.greatest("train_rid", "eval_rid").cast("int").alias("idx_b"))
+
+
+def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split.overlap_report(read(spark, sf_dir, "question_items"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = read(spark, sf_dir, "candidate_pool")
     return top_n.top_n(pool, 3, source_order=SOURCE_ORDER).select("idx", "pool_id")
@@ -30,6 +40,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p2_found": p2_found,
+    "p2_overlap_report": p2_overlap_report,
     "p4_found": p4_found,
 }
 
