@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import salt_of
+from .runtime import cut, salt_of
 from .statements import canonical_result, canonical_statement
 
 #: Entries that a task keeps from one batch to the next; beyond it the task's dictionary starts anew.
@@ -86,7 +86,7 @@ def encode_records(df: DataFrame, group: str, record: str, statement: str, resul
 
 def _groups(encoded: DataFrame, salts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     key = ["grp", "sql_id", "res_id"]
-    tuples = encoded.withColumn("salt", salt_of(F.col("rid"), salts)).repartition(*key, "salt")
+    tuples = encoded.withColumn("salt", salt_of(F.col("rid"), salts))
     part = tuples.groupBy(*key, "salt").agg(F.min("rid").alias("part_first"), F.count("*").alias("part_n"))
     whole = part.groupBy(*key).agg(F.min("part_first").alias("first"), F.sum("part_n").alias("copies"))
     return tuples, part, whole
@@ -102,7 +102,8 @@ def collapse(df: DataFrame, group: str = "idx", record: str = "pool_id", stateme
 def further_copies(df: DataFrame, group: str = "idx", record: str = "pool_id", statement: str = "sql",
                    result: str = "result_key", salts: int = SALTS) -> DataFrame:
     """(<record>_a, <record>_b): for every further copy the smallest identifier of its set, and its own."""
-    tuples, part, whole = _groups(encode_records(df, group, record, statement, result), salts)
+    encoded = cut(encode_records(df, group, record, statement, result))  # read thrice below
+    tuples, part, whole = _groups(encoded, salts)
     key = ["grp", "sql_id", "res_id"]
     firsts = part.join(whole.filter("copies > 1"), key).select(*key, "salt", "first")
     return (
