@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, format_dups, top_n
+from . import cross_split, format_dups, pair_defects, top_n
 from .runtime import read
 
 #: Fixed order of the candidate sources, best first.
@@ -37,12 +37,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n.top_n(pool, 3, source_order=SOURCE_ORDER).select("idx", "pool_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects.defects(read(spark, sf_dir, "mysql_repair"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
     "p2_found": p2_found,
     "p2_overlap_report": p2_overlap_report,
     "p4_found": p4_found,
+    "p5_found": p5_found,
 }
 
 SQL: dict[str, str] = {
