@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, format_dups, pair_defects, top_n
+from . import cross_split, format_dups, group_splits, pair_defects, top_n
 from .runtime import read
 
 #: Fixed order of the candidate sources, best first.
@@ -32,6 +32,20 @@ def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.overlap_report(read(spark, sf_dir, "question_items"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_splits.tied_databases(read(spark, sf_dir, "question_items"), read(spark, sf_dir, "db_catalog"))
+
+
+#: Proportions of the new splits.
+SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def p3_split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records per new split and source."""
+    placed = group_splits.assign(read(spark, sf_dir, "question_items"), SPLITS)
+    return placed.groupBy("new_split", "source").agg(F.count("*").alias("records"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = read(spark, sf_dir, "candidate_pool")
     return top_n.top_n(pool, 3, source_order=SOURCE_ORDER).select("idx", "pool_id")
@@ -46,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_collapsed": p1_collapsed,
     "p2_found": p2_found,
     "p2_overlap_report": p2_overlap_report,
+    "p3_found": p3_found,
+    "p3_split_balance": p3_split_balance,
     "p4_found": p4_found,
     "p5_found": p5_found,
 }
