@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, format_dups, group_splits, pair_defects, top_n
+from . import cross_split, format_dups, group_splits, pair_defects, top_n, truncation
 from .runtime import read
 
 #: Fixed order of the candidate sources, best first.
@@ -55,6 +55,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.defects(read(spark, sf_dir, "mysql_repair"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_texts(read(spark, sf_dir, "documents"))
+
+
+def p8_cut_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_shares(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_split_balance": p3_split_balance,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p8_found": p8_found,
+    "p8_cut_shares": p8_cut_shares,
 }
 
 SQL: dict[str, str] = {
