@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, format_dups, group_splits, pair_defects, top_n, truncation
+from . import cross_split, eval_leaks, format_dups, group_splits, pair_defects, top_n, truncation
 from .runtime import read
 
 #: Fixed order of the candidate sources, best first.
@@ -55,6 +55,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.defects(read(spark, sf_dir, "mysql_repair"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eval_leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_passages")).select("doc_id", "item_id")
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without the leaked spans: characters kept and removed of every text."""
+    clean = eval_leaks.without_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_passages"))
+    return clean.select("doc_id", F.length("text").alias("kept"), "removed")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_texts(read(spark, sf_dir, "documents"))
 
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_split_balance": p3_split_balance,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_cleaned": p7_cleaned,
     "p8_found": p8_found,
     "p8_cut_shares": p8_cut_shares,
 }
