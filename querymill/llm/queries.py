@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, eval_leaks, format_dups, group_splits, pair_defects, top_n, truncation
+from . import cross_split, eval_leaks, format_dups, group_splits, packing, pair_defects, top_n, truncation
 from .runtime import read
 
 #: Fixed order of the candidate sources, best first.
@@ -55,6 +55,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.defects(read(spark, sf_dir, "mysql_repair"))
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def p6_bucket_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.bucket_batches(read(spark, sf_dir, "documents"))
+
+
+def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused share, across buckets and inside buckets only."""
+    docs = read(spark, sf_dir, "documents")
+    both = [packing.fill(f(docs)).withColumn("packing", F.lit(name))
+            for name, f in (("across buckets", packing.pack), ("inside buckets", packing.bucket_batches))]
+    return both[0].union(both[1])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_passages")).select("doc_id", "item_id")
 
@@ -82,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_split_balance": p3_split_balance,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_pack": p6_pack,
+    "p6_bucket_batches": p6_bucket_batches,
+    "p6_fill_report": p6_fill_report,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
     "p8_found": p8_found,
