@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import evidence as E
+from .operators import metrics as M
 from .operators import pool as P
 from .operators import select as S
+from .operators import stats as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,3 +169,175 @@ def top_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT idx, COALESCE(arg_max(pool_id, place) FILTER (good), MIN(base_id)) AS pool_id, CAST(COUNT(*) FILTER (good) AS INTEGER) AS switches FROM take GROUP BY idx""")
 def pairwise_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.corrected(S.judged_by_score(pool_of(spark, sf_dir)))
+
+
+# --- metrics
+
+_RATE = "ROUND(COALESCE(CAST({} AS DOUBLE) / NULLIF({}, 0), 0), 6)"
+
+
+def _rate(part: str, whole: str = "COUNT(*)") -> str:
+    return _RATE.format(part, whole)
+
+
+def _share(flag: str) -> str:
+    return _rate(f"COUNT(*) FILTER ({flag})")
+
+
+@query(POOL + f"SELECT source, COUNT(*) AS total, COUNT(*) FILTER (ok) AS exec_ok, COUNT(*) FILTER (correct) AS correct, {_share('ok')} AS exec_rate, {_share('correct')} AS accuracy, ROUND(AVG(latency_ms), 4) AS mean_latency_ms FROM pool GROUP BY source")
+def metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.by_source(pool_of(spark, sf_dir))
+
+
+@query(POOL + f"SELECT COUNT(*) AS questions, CAST(SUM(n) AS BIGINT) AS candidates, {_share('o')} AS exec_coverage, {_share('c')} AS oracle_accuracy, COUNT(*) FILTER (NOT o) AS all_failed FROM (SELECT idx, BOOL_OR(ok) AS o, BOOL_OR(correct) AS c, COUNT(*) AS n FROM pool GROUP BY idx) t")
+def metrics_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.coverage(pool_of(spark, sf_dir))
+
+
+@query(POOL + f"SELECT COALESCE(source, '(all)') AS source, CAST(COUNT(*) AS BIGINT) AS total, {_share('ok')} AS exec_rate, {_share('correct')} AS accuracy FROM pool GROUP BY ROLLUP(source)")
+def metrics_source_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.source_and_all(pool_of(spark, sf_dir))
+
+
+@query(f"SELECT COUNT(*) AS questions, {_share('ok')} AS exec_rate, {_share('correct')} AS accuracy, " + _share("variant = 'strong_repair'") + f" AS repair_share FROM ({SQL['select_practical']}) s")
+def metrics_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.selected(S.practical(pool_of(spark, sf_dir)))
+
+
+@query(f"SELECT source, COUNT(*) AS n, COUNT(*) FILTER (correct) AS n_correct FROM ({SQL['select_practical']}) s GROUP BY source")
+def metrics_selected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.histogram(S.practical(pool_of(spark, sf_dir)), "source")
+
+
+@query(f"WITH s AS ({SQL['select_consensus']}), p AS (SELECT idx, BOOL_OR(COALESCE(label_available, FALSE)) AS l, BOOL_OR(COALESCE(exec_ok, FALSE) AND COALESCE(exec_correct, FALSE)) AS r, BOOL_OR(COALESCE(exec_ok, FALSE) AND COALESCE(label_available, FALSE) AND NOT COALESCE(exec_correct, FALSE)) AS w FROM candidate_pool GROUP BY idx), "
+       f"j AS (SELECT s.correct, r AND w AS hard FROM s JOIN p ON s.idx = p.idx WHERE l) SELECT COUNT(*) AS labeled, COUNT(*) FILTER (correct) AS labeled_correct, COUNT(*) FILTER (hard) AS hard, COUNT(*) FILTER (hard AND correct) AS hard_correct, {_share('correct')} AS accuracy, {_rate('COUNT(*) FILTER (hard AND correct)', 'COUNT(*) FILTER (hard)')} AS hard_accuracy FROM j")
+def metrics_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = pool_of(spark, sf_dir)
+    return M.labeled(S.consensus(pool), pool)
+
+
+SUBSETS = {
+    "all": ("embedrag", "bm25rag", "lora_rag", "loraonly_ep3", "promptonly"), "retrieval": ("embedrag", "bm25rag"), "tuned": ("lora_rag", "loraonly_ep3"),
+    "without_embedrag": ("bm25rag", "lora_rag", "loraonly_ep3", "promptonly"), "without_tuned": ("embedrag", "bm25rag", "promptonly"),
+    "embedrag": ("embedrag",), "prompt_and_bm25": ("promptonly", "bm25rag"),
+}
+_SUBSETS = " UNION ALL ".join(f"SELECT '{n}' AS subset, '{s}' AS src" for n, ss in SUBSETS.items() for s in ss)
+
+
+@query(POOL + f", sub AS ({_SUBSETS}), per AS (SELECT subset, idx, COUNT(*) AS n, COUNT(*) FILTER (ok) AS n_ok, COUNT(*) FILTER (correct) AS n_correct FROM pool JOIN sub ON src = source GROUP BY subset, idx) "
+       f"SELECT subset, COUNT(*) AS questions, {_rate('SUM(n_ok)', 'SUM(n)')} AS exec_rate, {_rate('SUM(n_correct)', 'SUM(n)')} AS accuracy, {_share('n_ok > 0')} AS coverage, {_share('n_correct > 0')} AS oracle FROM per GROUP BY subset")
+def metrics_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.subsets(pool_of(spark, sf_dir), SUBSETS)
+
+
+@query(POOL + "SELECT source, COUNT(*) AS unique_correct FROM (SELECT idx, MAX(source) AS source FROM pool WHERE correct GROUP BY idx HAVING COUNT(DISTINCT source) = 1) t GROUP BY source")
+def metrics_unique_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.unique_correct(pool_of(spark, sf_dir))
+
+
+@query(POOL + f"SELECT source, COUNT(*) AS attempted, COUNT(*) FILTER (ok) AS repaired_ok, COUNT(*) FILTER (correct) AS repaired_correct, {_share('ok')} AS repair_rate, COUNT(*) FILTER (ok AND NOT original_ok) AS mended FROM pool WHERE repaired = 1 GROUP BY source")
+def metrics_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.repairs(pool_of(spark, sf_dir))
+
+
+@query(POOL + f"SELECT source, COUNT(*) AS questions, {_share('b_ok')} AS exec_before, {_share('a_ok')} AS exec_after, {_share('b_right')} AS accuracy_before, {_share('a_right')} AS accuracy_after FROM (SELECT source, idx, BOOL_OR(ok AND repaired = 0) AS b_ok, BOOL_OR(correct AND repaired = 0) AS b_right, BOOL_OR(ok) AS a_ok, BOOL_OR(correct) AS a_right FROM pool GROUP BY source, idx) t GROUP BY source")
+def metrics_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.before_after(pool_of(spark, sf_dir))
+
+
+_MOK, _MREP, _MTRY = "COALESCE(mysql_exec_ok, FALSE)", "COALESCE(mysql_dialect_repair_exec_ok, FALSE)", "COALESCE(mysql_dialect_repair_attempted, FALSE)"
+
+
+@query(f"SELECT COALESCE(mysql_dialect_repair_stage, '(none)') AS stage, COUNT(*) AS total, COUNT(*) FILTER ({_MOK}) AS ok_before, COUNT(*) FILTER ({_MTRY}) AS attempted, COUNT(*) FILTER ({_MTRY} AND {_MREP}) AS repaired, "
+       f"{_rate(f'(COUNT(*) FILTER ({_MOK}) + COUNT(*) FILTER ({_MTRY} AND {_MREP}))')} AS after_added, {_share(f'{_MOK} OR {_MREP}')} AS after_either, CAST(COALESCE(SUM(mysql_dialect_repair_rounds_used), 0) AS BIGINT) AS rounds, ROUND(AVG(mysql_dialect_repair_rounds_used), 6) AS mean_rounds FROM mysql_repair GROUP BY 1")
+def metrics_dialect_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.dialect_repairs(read(spark, sf_dir, "mysql_repair"))
+
+
+@query(POOL + "SELECT source, CASE WHEN NOT ok THEN 'failed' WHEN key = 'NULL_RESULT' THEN 'missing' WHEN empty THEN 'empty' ELSE 'rows' END AS kind, COUNT(*) AS n FROM pool GROUP BY 1, 2")
+def metrics_result_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.shape_classes(pool_of(spark, sf_dir))
+
+
+@query(f"WITH a AS ({SQL['select_rule_priority']}), b AS ({SQL['select_conservative_switch']}) SELECT COUNT(*) AS questions, COUNT(*) FILTER (a.pool_id <> b.pool_id) AS switched, COUNT(*) FILTER (NOT a.correct AND b.correct) AS gained, COUNT(*) FILTER (a.correct AND NOT b.correct) AS lost FROM a JOIN b ON a.idx = b.idx")
+def metrics_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = pool_of(spark, sf_dir)
+    return M.switches(S.rule_priority(pool), S.conservative_switch(pool))
+
+
+# --- evidence
+
+EVIDENCE = """
+WITH ev AS (SELECT DISTINCT idx, LOWER(TRIM(backend, ' ')) AS backend, COALESCE(stage, 'raw') AS stage, sql, COALESCE(exec_ok, FALSE) AS ok, COALESCE(same_result, FALSE) AS same, result_key, error,
+    LOWER(regexp_replace(TRIM(regexp_replace(sql, '\\s+', ' ', 'g'), ' '), '[; ]+$', '')) AS sql_key,
+    CASE stage WHEN 'normalize' THEN 2 WHEN 'llm_repair' THEN 1 WHEN 'raw' THEN 3 ELSE CASE WHEN stage IS NULL THEN 3 ELSE 0 END END AS stage_rank
+  FROM evidence WHERE idx IS NOT NULL AND backend IS NOT NULL AND sql IS NOT NULL),
+ merged AS (SELECT idx, sql_key, COUNT(DISTINCT CASE WHEN same THEN backend END) AS n_same, COUNT(DISTINCT CASE WHEN ok THEN backend END) AS n_ok, COUNT(DISTINCT backend) AS n_backends,
+    MAX(stage_rank) AS best_stage, MIN(CASE backend WHEN 'duckdb' THEN 0 WHEN 'postgres' THEN 10 WHEN 'mysql' THEN 20 ELSE 90 END + 3 - stage_rank) AS arrival FROM ev GROUP BY idx, sql_key),
+ chosen AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY n_same DESC, n_ok DESC, n_backends DESC, best_stage DESC, LENGTH(sql_key), arrival, sql_key) AS r FROM merged) t WHERE r = 1)
+"""
+
+
+def evidence_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.evidence(read(spark, sf_dir, "evidence"))
+
+
+@query(EVIDENCE + "SELECT idx, sql_key, n_same, n_ok, n_backends FROM merged")
+def evidence_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.merged(evidence_of(spark, sf_dir)).select("idx", "sql_key", "n_same", "n_ok", "n_backends")
+
+
+@query(EVIDENCE + "SELECT idx, sql_key, n_same, n_ok, n_backends FROM chosen")
+def evidence_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.by_evidence(evidence_of(spark, sf_dir))
+
+
+@query(EVIDENCE + "SELECT idx, stage, votes FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY votes DESC, stage_rank DESC, stage) AS r FROM (SELECT idx, stage, stage_rank, COUNT(*) AS votes FROM ev WHERE ok GROUP BY idx, stage, stage_rank) v) t WHERE r = 1")
+def evidence_stage_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.stage_mode(evidence_of(spark, sf_dir))
+
+
+@query(EVIDENCE + "SELECT idx, n AS n_backends, " + ", ".join(f"COUNT(DISTINCT CASE WHEN {c} AND {w} THEN backend END) = n AS {a}_{w}_everywhere" for a, c in (("raw", "stage = 'raw'"), ("any", "TRUE")) for w in ("ok", "same")) + " FROM (SELECT ev.*, n FROM ev JOIN (SELECT idx AS i, COUNT(DISTINCT backend) AS n FROM ev GROUP BY idx) c ON i = idx) t GROUP BY idx, n")
+def evidence_portability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.portability(evidence_of(spark, sf_dir))
+
+
+@query(EVIDENCE + f"SELECT backend, COUNT(*) AS questions, {_share('r_ok')} AS exec_raw, {_share('a_ok')} AS exec_after, {_share('r_same')} AS same_raw, {_share('a_same')} AS same_after FROM (SELECT backend, idx, BOOL_OR(stage = 'raw' AND ok) AS r_ok, BOOL_OR(stage = 'raw' AND same) AS r_same, BOOL_OR(ok) AS a_ok, BOOL_OR(same) AS a_same FROM ev GROUP BY backend, idx) t GROUP BY backend")
+def evidence_backend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.backend_summary(evidence_of(spark, sf_dir))
+
+
+@query(EVIDENCE + f"SELECT COUNT(*) AS questions, {_share('n_same >= 1')} AS same_on_1, {_share('n_same >= 2')} AS same_on_2, {_share('n_same >= 3')} AS same_on_3, CAST(SUM(n_same) AS BIGINT) AS votes FROM chosen")
+def evidence_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.agreement(evidence_of(spark, sf_dir))
+
+
+@query(EVIDENCE + "SELECT backend, stage, regexp_replace(regexp_replace(LOWER(COALESCE(error, '(none)')), '''[^'']*''|[a-z]+_[a-z_]+|[0-9]+', '?', 'g'), '[^a-z?() ]+', ' ', 'g') AS kind, COUNT(*) AS n FROM ev WHERE NOT ok GROUP BY 1, 2, 3")
+def evidence_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.error_classes(evidence_of(spark, sf_dir))
+
+
+@query(f"SELECT idx, repair_id, same, ok, rounds FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY CASE WHEN same THEN 0 ELSE 1 END, CASE WHEN ok THEN 0 ELSE 1 END, rounds, repair_id) AS r FROM (SELECT idx, repair_id, COALESCE(mysql_crossdb_same_result, FALSE) AS same, {_MOK} OR {_MREP} AS ok, COALESCE(mysql_dialect_repair_rounds_used, 0) AS rounds FROM mysql_repair WHERE idx IS NOT NULL) t) s WHERE r = 1")
+def repair_best_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.best_repair(read(spark, sf_dir, "mysql_repair"))
+
+
+@query(f"SELECT repair_id, idx FROM mysql_repair WHERE {_MTRY} AND mysql_dialect_repair_stage = 'llm' ORDER BY repair_id LIMIT 100")
+def repair_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.within_budget(read(spark, sf_dir, "mysql_repair"), 100)
+
+
+# --- paired statistics
+
+_PAIRED = POOL + ", o AS (SELECT idx, BOOL_OR(correct) FILTER (source = 'embedrag') AS a, BOOL_OR(correct) FILTER (source = 'bm25rag') AS b FROM pool WHERE repaired = 0 GROUP BY idx), q AS (SELECT * FROM o WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+@query(_PAIRED + ", c AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (a AND b) AS \"both\", COUNT(*) FILTER (a AND NOT b) AS only_a, COUNT(*) FILTER (NOT a AND b) AS only_b, COUNT(*) FILTER (NOT a AND NOT b) AS neither FROM q) "
+       "SELECT *, ROUND(COALESCE(POWER(GREATEST(ABS(only_a - only_b) - 1, 0), 2) / NULLIF(only_a + only_b, 0), 0), 6) AS chi2 FROM c")
+def stats_discordant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.discordant(ST.paired_outcomes(pool_of(spark, sf_dir), "embedrag", "bm25rag"))
+
+
+@query()
+def stats_paired_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.paired_report(ST.paired_outcomes(pool_of(spark, sf_dir), "embedrag", "bm25rag"))
