@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .operators import evidence as E
 from .operators import metrics as M
+from .operators import pairs as PR
 from .operators import pool as P
+from .operators import scoring as SC
 from .operators import select as S
 from .operators import stats as ST
 
@@ -341,3 +343,114 @@ def stats_discordant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stats_paired_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.paired_report(ST.paired_outcomes(pool_of(spark, sf_dir), "embedrag", "bm25rag"))
+
+
+# --- rule scores
+
+
+def _q(name: str) -> str:
+    return f"regexp_matches(q, '{SC.QUESTION[name]}')"
+
+
+def _s(name: str) -> str:
+    return f"regexp_matches(s, '{SC.STATEMENT[name]}')"
+
+
+_COUNTS = f"({_q('count_word')} OR ({_q('number')} AND NOT {_q('number_of_time')}))"
+_GROUPS = f"({_q('each')} OR ({_q('by')} AND NOT {_q('done_by')}))"
+_DESC, _ASC = (f"({_s('order')} AND {_s(d)} AND {_s('limit')})" for d in ("desc", "asc"))
+_CASES = f"""
+ CASE WHEN ok THEN 10 ELSE -10 END + CASE source WHEN 'embedrag' THEN 5 WHEN 'bm25rag' THEN 4 WHEN 'lora_rag' THEN 3 WHEN 'promptonly' THEN 1 WHEN 'loraonly_ep3' THEN 0.5 ELSE 0 END
+ + CASE WHEN repaired = 1 THEN CASE WHEN NOT ok THEN -2 WHEN NOT original_ok THEN 1 ELSE 0.25 END ELSE 0 END
+ + CASE WHEN repaired = 1 AND len(list_filter(regexp_extract_all(COALESCE(sql, ''), '''([^'']*)''', 1), lambda x: x <> TRIM(x, ' '))) > 0 THEN -2 ELSE 0 END
+ + CASE WHEN repaired = 0 AND ok AND repair_available AND repair_ok THEN 0.25 ELSE 0 END
+ + CASE WHEN {_COUNTS} THEN CASE WHEN {_s('count')} THEN 2 ELSE -3 END ELSE 0 END
+ + CASE WHEN {_q('average')} THEN CASE WHEN {_s('avg')} THEN 2 ELSE -2.5 END ELSE 0 END
+ + CASE WHEN {_q('maximum')} THEN CASE WHEN {_s('max')} OR {_DESC} OR ({_q('oldest')} AND {_ASC} AND {_s('dated')}) THEN 2 ELSE -2.5 END ELSE 0 END
+ + CASE WHEN {_q('minimum')} THEN CASE WHEN {_s('min')} OR {_ASC} OR ({_q('youngest')} AND {_DESC} AND {_s('dated')}) THEN 2 ELSE -2.5 END ELSE 0 END
+ + CASE WHEN {_GROUPS} THEN CASE WHEN {_q('each')} THEN 1.5 ELSE 0.75 END * CASE WHEN {_s('group')} THEN 1 ELSE -1 END ELSE 0 END
+ + CASE WHEN {_COUNTS} AND {_q('each')} AND {_s('count')} THEN CASE WHEN {_s('left_join')} THEN 0.75 WHEN {_s('join')} AND {_s('group')} THEN -0.5 ELSE 0 END ELSE 0 END
+ + CASE WHEN {_q('order')} THEN CASE WHEN {_s('order')} THEN 1.5 ELSE -1.5 END ELSE 0 END
+ + CASE WHEN {_q('superlative')} AND regexp_matches(chosen, '{SC.STATEMENT['count']}') AND contains(chosen, ',') AND NOT {_q('asks_number')} THEN -2 ELSE 0 END
+ + CASE WHEN {_q('superlative')} AND {_s('count')} AND {_s('group')} AND {_DESC} THEN CASE WHEN regexp_matches(grouped, '\\b\\w*id\\b') THEN 0.75 WHEN regexp_matches(grouped, '\\bname\\b') THEN -0.75 ELSE 0 END ELSE 0 END
+ + CASE WHEN {_q('not_used')} THEN CASE WHEN {_s('anti')} THEN 1 WHEN {_s('left_join')} AND {_s('is_null')} THEN -0.5 ELSE 0 END ELSE 0 END
+ + CASE WHEN {_q('us_territory')} AND NOT {_s('governmentform')} THEN -2 ELSE 0 END + CASE WHEN {_q('enrollment_id')} AND NOT {_s('enrollment')} THEN -2 ELSE 0 END
+ + CASE WHEN {_q('entity_count')} AND {_s('count_star')} AND NOT {_s('count_distinct')} THEN -1.25 ELSE 0 END
+ + CASE WHEN {_q('entity_filter')} AND {_s('avg')} AND {_s('join')} AND NOT {_s('member')} THEN -2 ELSE 0 END
+ + CASE WHEN {_q('speaks')} AND NOT {_q('official')} AND {_s('isofficial')} THEN -2 ELSE 0 END
+ + CASE WHEN {_COUNTS} AND NOT {_s('count')} AND regexp_matches(chosen, '\\b(name|text|title|first_name|last_name|fname|lname)\\b') THEN -2 ELSE 0 END
+ + CASE WHEN {_COUNTS} AND NOT {_GROUPS} AND q_words <= 12 AND {_s('join')} AND {_s('group')} AND {_s('order')} AND {_s('limit')} THEN -2 ELSE 0 END
+ + CASE WHEN q_words <= 8 AND s_words >= 80 THEN -1 WHEN q_words <= 8 AND s_words >= 50 THEN -0.5 ELSE 0 END
+ + CASE WHEN ok AND empty THEN -0.5 ELSE 0 END + CASE WHEN ok AND support > 1 THEN LEAST(2, 0.5 * (support - 1)) ELSE 0 END"""
+_NORMAL_SQL = "LOWER(TRIM(regexp_replace(regexp_replace(regexp_replace(COALESCE({}, ''), '--[^\\n]*', ' ', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '\\s+', ' ', 'g'), ' '))"
+_SCORED = POOL + f""", texts AS (SELECT p.*, LOWER(COALESCE(i.question, '')) AS q, {_NORMAL_SQL.format('p.sql')} AS s FROM pool p LEFT JOIN question_items i ON p.idx = i.idx),
+ parts AS (SELECT *, TRIM(regexp_extract(s, '^select (.*?) from ', 1), ' ') AS chosen, TRIM(regexp_extract(s, ' group by (.*?)(?: having | order by | limit |;|$)', 1), ' ') AS grouped,
+   len(regexp_extract_all(q, '[a-z0-9_'']+')) AS q_words, len(regexp_extract_all(s, '[a-z0-9_'']+')) AS s_words FROM texts),
+ scored AS (SELECT *, ROUND(CAST({_CASES} AS DOUBLE), 4) AS rule_score FROM parts)
+"""
+
+
+@query(_SCORED + "SELECT pool_id, rule_score FROM scored")
+def score_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SC.scored(pool_of(spark, sf_dir), read(spark, sf_dir, "question_items")).select("pool_id", "rule_score")
+
+
+@query(_SCORED + "SELECT idx, pool_id, source, variant, ok, correct FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY -rule_score, CASE source WHEN 'embedrag' THEN 0 WHEN 'bm25rag' THEN 1 WHEN 'lora_rag' THEN 2 WHEN 'promptonly' THEN 3 WHEN 'loraonly_ep3' THEN 4 ELSE 999 END, repaired, ord, pool_id) AS r FROM scored) t WHERE r = 1")
+def select_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = SC.scored(pool_of(spark, sf_dir), read(spark, sf_dir, "question_items"))
+    return S.by_score(scored.withColumn("score", F.col("rule_score")))
+
+
+@query()
+def score_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every rule applies and what it adds on average."""
+    scored = SC.scored(pool_of(spark, sf_dir), read(spark, sf_dir, "question_items"))
+    each = scored.select(F.explode("breakdown").alias("b")).select("b.*")
+    return each.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 4).alias("mean_delta"))
+
+
+_STRUCTURE = ", ".join(f"'{k}=' || CAST({v} AS VARCHAR)" for k, v in {
+    "select_items": "CASE WHEN chosen <> '' THEN len(string_split(chosen, ',')) ELSE 0 END", "joins": "len(regexp_extract_all(s, '\\bjoin\\b'))", "where": _s("where"), "group_by": _s("group"),
+    "order_by": _s("order"), "limit": _s("limit"), "distinct": _s("distinct"), "count": _s("count"), "avg": _s("avg"), "sum": _s("sum"), "max": _s("max"), "min": _s("min"), "not_in_or_exists": _s("anti")}.items())
+
+
+@query(_SCORED + f"SELECT pool_id, concat_ws(', ', {_STRUCTURE}) AS structure FROM parts")
+def score_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool_of(spark, sf_dir).select("pool_id", SC.structure(F.col("sql")).alias("structure"))
+
+
+_SHAPE = "CASE WHEN result IS NULL THEN 'none' ELSE CAST(len(CAST(from_json(result, '[[\"VARCHAR\"]]') AS VARCHAR[][])) AS VARCHAR) || 'x' || CAST(COALESCE(len((CAST(from_json(result, '[[\"VARCHAR\"]]') AS VARCHAR[][]))[1]), 0) AS VARCHAR) END"
+_KINDS = POOL + f""", shaped AS (SELECT *, {_SHAPE} AS shape FROM pool), good AS (SELECT DISTINCT idx, shape FROM shaped WHERE labeled AND ok AND correct),
+ kinds AS (SELECT a.*, CASE WHEN labeled AND ok AND NOT correct THEN CASE WHEN support >= 2 THEN 'hard_supported_executable_wrong' WHEN g.idx IS NOT NULL THEN 'hard_same_shape_executable_wrong' WHEN NOT empty THEN 'hard_non_empty_executable_wrong' ELSE 'hard_empty_executable_wrong' END
+   WHEN labeled AND ok AND correct THEN 'positive_execution_correct' WHEN ok AND NOT labeled THEN 'hard_executable_wrong' WHEN NOT ok THEN 'easy_execution_error' ELSE 'other_semantic_wrong' END AS kind
+  FROM shaped a LEFT JOIN good g ON a.idx = g.idx AND a.shape = g.shape)
+"""
+
+
+@query(_KINDS + "SELECT pool_id, shape, kind FROM kinds")
+def candidate_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SC.candidate_kinds(pool_of(spark, sf_dir)).select("pool_id", "shape", "kind")
+
+
+_PRIORITY = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(SC.KINDS)) + " ELSE 999 END"
+_PAIRS = _KINDS + f""", r1 AS (SELECT idx, pool_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx, LOWER(COALESCE(sql, '')) ORDER BY rank, ord, pool_id) AS r FROM kinds WHERE kind = 'positive_execution_correct') t WHERE r = 1),
+ rights AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY md5('42:' || CAST(pool_id AS VARCHAR)), pool_id) AS turn FROM r1) t WHERE turn <= 80),
+ nr AS (SELECT idx, MAX(turn) AS n FROM rights GROUP BY idx),
+ wrongs AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY {_PRIORITY}, rank, repaired, ord, pool_id) AS place FROM kinds WHERE kind <> 'positive_execution_correct') t WHERE place <= 80),
+ pairs AS (SELECT w.idx, CAST(place AS INTEGER) AS place, r.pool_id AS positive, w.pool_id AS negative, kind FROM wrongs w JOIN nr ON w.idx = nr.idx JOIN rights r ON r.idx = w.idx AND r.turn = (place - 1) % n + 1)
+"""
+
+
+@query(_PAIRS + "SELECT * FROM pairs")
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.preference_pairs(pool_of(spark, sf_dir))
+
+
+@query(_PAIRS + "SELECT kind, COUNT(*) AS pairs, COUNT(DISTINCT idx) AS questions FROM pairs GROUP BY kind")
+def preference_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.pair_counts(PR.preference_pairs(pool_of(spark, sf_dir)))
+
+
+@query()
+def database_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.database_folds(read(spark, sf_dir, "question_items"), 5)
