@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import equality as EQ
+from .functions import text as TX
+from .operators import catalog as C
 from .operators import evidence as E
 from .operators import metrics as M
 from .operators import pairs as PR
 from .operators import pool as P
+from .operators import retrieval as R
 from .operators import scoring as SC
 from .operators import select as S
 from .operators import stats as ST
@@ -454,3 +458,251 @@ def preference_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def database_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.database_folds(read(spark, sf_dir, "question_items"), 5)
+
+
+# --- text
+
+_STOP = ", ".join(f"'{w}'" for w in TX.STOP_WORDS)
+_STEM = "CASE WHEN suffix(w, 'ies') AND LENGTH(w) > 4 THEN LEFT(w, LENGTH(w) - 3) || 'y' WHEN suffix(w, 'es') AND LENGTH(w) > 3 THEN LEFT(w, LENGTH(w) - 2) WHEN suffix(w, 's') AND LENGTH(w) > 3 THEN LEFT(w, LENGTH(w) - 1) ELSE w END"
+
+
+def _tokens(text: str) -> str:
+    return (f"list_transform(list_filter(regexp_extract_all(LOWER(COALESCE({text}, '')), '{TX.TOKEN}'), lambda w: LENGTH(w) >= 2 AND NOT list_contains([{_STOP}], w)), lambda w: {_STEM})")
+
+
+@query(f"SELECT idx, array_to_string({_tokens('question')}, ' ') AS tokens FROM question_items")
+def text_retrieval_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "question_items").select("idx", F.array_join(TX.retrieval_tokens(F.col("question")), " ").alias("tokens"))
+
+
+@query("SELECT idx, TRIM(regexp_replace(regexp_replace(regexp_replace(LOWER(question), '[‘’]', '''', 'g'), '[^a-z0-9_'']+', ' ', 'g'), ' +', ' ', 'g'), ' ') AS normal, len(regexp_extract_all(LOWER(COALESCE(question, '')), '[a-z0-9_'']+')) AS words FROM question_items")
+def text_normal_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("question")
+    return read(spark, sf_dir, "question_items").select("idx", TX.normal_question(q).alias("normal"), TX.word_count(q).alias("words"))
+
+
+@query(f"SELECT pool_id, {_NORMAL_SQL.format('sql')} AS normal, LOWER(regexp_replace(TRIM(regexp_replace(COALESCE(sql, ''), '\\s+', ' ', 'g'), ' '), '[; ]+$', '')) AS key FROM candidate_pool")
+def text_normal_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = F.col("sql")
+    return read(spark, sf_dir, "candidate_pool").select("pool_id", TX.normal_sql(sql).alias("normal"), TX.sql_key(sql).alias("key"))
+
+
+@query("SELECT pool_id, TRIM(regexp_extract(n, '^select (.*?) from ', 1), ' ') AS fields, TRIM(regexp_extract(n, ' group by (.*?)(?: having | order by | limit |;|$)', 1), ' ') AS groups FROM (SELECT pool_id, " + _NORMAL_SQL.format("sql") + " AS n FROM candidate_pool) t")
+def text_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "candidate_pool").select("pool_id", TX.select_list(F.col("sql")).alias("fields"), TX.group_list(F.col("sql")).alias("groups"))
+
+
+_LITERALS = "list_filter(list_transform(list_concat(regexp_extract_all(sql, '''([^'']*)''', 1), regexp_extract_all(sql, '\"([^\"]*)\"', 1)), lambda x: TRIM(x, ' ')), lambda x: x <> '')"
+
+
+@query(f"SELECT pool_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS literals FROM (SELECT pool_id, {_LITERALS} AS l FROM candidate_pool WHERE sql IS NOT NULL) t")
+def text_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = read(spark, sf_dir, "candidate_pool").filter("sql IS NOT NULL")
+    return pool.select("pool_id", F.array_join(TX.string_literals(F.col("sql")), "|").alias("literals"))
+
+
+@query("SELECT doc_id, CASE WHEN LENGTH(text) > 500 THEN RTRIM(LEFT(text, 500), ' ') || ' ...' ELSE text END AS short, sha256(COALESCE(LOWER(source), '') || chr(31) || COALESCE(CAST(n_chars AS VARCHAR), '') || chr(31) || COALESCE(text, '')) AS key FROM documents")
+def text_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", TX.shorten(F.col("text"), 500).alias("short"), TX.stable_key(F.lower("source"), F.col("n_chars"), F.col("text")).alias("key"))
+
+
+@query()
+def text_clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement of every model answer beside the one that was taken from it."""
+    raw = F.col("mysql_dialect_repair_raw_response")
+    df = read(spark, sf_dir, "mysql_repair").filter(raw.isNotNull())
+    return df.select("repair_id", TX.clean_answer(raw).alias("statement"), F.size(TX.answer_statements(raw)).alias("candidates"))
+
+
+@query("SELECT event_type, COUNT(*) AS n, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, COUNT(DISTINCT json_extract_string(props, '$.k')) AS kinds FROM events GROUP BY event_type")
+def json_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k.cast("bigint")).alias("total"), F.count_distinct(k).alias("kinds"))
+
+
+# --- equality of results
+
+_ROWS = "CAST(from_json(result, '[[\"VARCHAR\"]]') AS VARCHAR[][])"
+
+
+@query(POOL + f"SELECT pool_id, md5(key) AS key_digest, CASE WHEN result IS NOT NULL THEN len({_ROWS}) END AS n_rows, CASE WHEN result IS NOT NULL THEN COALESCE(len(({_ROWS})[1]), 0) END AS n_cols FROM pool")
+def result_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = pool_of(spark, sf_dir).withColumn("shape", EQ.shape(F.col("result")))
+    return pool.select("pool_id", F.md5("key").alias("key_digest"), F.col("shape.rows").alias("n_rows"), F.col("shape.cols").alias("n_cols"))
+
+
+@query()
+def result_keys_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the four rules of equality split the results of a question."""
+    r = F.col("result")
+    keyed = pool_of(spark, sf_dir).select("idx", "key", EQ.typed_key(r).alias("typed"), F.coalesce(EQ.ordered_key(r), F.lit("")).alias("ordered"))
+    return keyed.groupBy("idx").agg(F.count_distinct("key").alias("untyped"), F.count_distinct("typed").alias("typed"), F.count_distinct("ordered").alias("ordered"))
+
+
+_GOLD = POOL + ", g AS (SELECT DISTINCT idx, key FROM pool WHERE correct) SELECT p.idx, p.pool_id, g.key IS NOT NULL AS same_as_correct FROM pool p LEFT JOIN g ON p.idx = g.idx AND p.key = g.key WHERE p.ok"
+
+
+@query(_GOLD)
+def label_by_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose result equals that of a correct one of the question."""
+    pool = pool_of(spark, sf_dir)
+    right = pool.filter("correct").select("idx", "key").distinct().withColumn("hit", F.lit(True))
+    return pool.filter("ok").join(right, ["idx", "key"], "left").select("idx", "pool_id", F.coalesce("hit", F.lit(False)).alias("same_as_correct"))
+
+
+# --- items
+
+@query("SELECT idx, CAST(position - 1 AS INTEGER) AS position, c.source AS source, c.sql AS sql, c.model AS model FROM (SELECT idx, UNNEST(candidates) AS c, UNNEST(range(1, len(candidates) + 1)) AS position FROM question_items WHERE candidates IS NOT NULL) t")
+def item_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.nested_candidates(read(spark, sf_dir, "question_items")).select("idx", "position", "source", "sql", "model")
+
+
+@query("SELECT idx, len(candidates) AS n FROM question_items WHERE len(candidates) > 0")
+def item_renested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates taken apart and nested again."""
+    items = read(spark, sf_dir, "question_items")
+    return P.nest(P.nested_candidates(items)).select("idx", F.size("candidates").alias("n"))
+
+
+@query("SELECT q.idx FROM question_items q WHERE NOT EXISTS (SELECT 1 FROM mysql_repair m WHERE m.idx = q.idx)")
+def item_not_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that the repair stage has no row of: what a resumed run would take up."""
+    return read(spark, sf_dir, "question_items").join(read(spark, sf_dir, "mysql_repair").select("idx"), "idx", "left_anti").select("idx")
+
+
+# --- catalog
+
+_COLS = """
+WITH raw AS (SELECT db_id, table_names_original AS tn, column_types AS ct, primary_keys AS pk, UNNEST(column_names_original) AS c, UNNEST(range(0, len(column_names_original))) AS col FROM db_catalog),
+ cols AS (SELECT db_id, c.tbl AS tbl, tn[c.tbl + 1] AS tname, col, c.name AS cname, COALESCE(ct[col + 1], 'unknown') AS ctype, COALESCE(list_contains(pk, col), FALSE) AS is_key FROM raw WHERE c.tbl >= 0),
+ fkr AS (SELECT db_id, table_names_original AS tn, column_names_original AS cn, UNNEST(foreign_keys) AS fk, UNNEST(range(0, len(foreign_keys))) AS pos FROM db_catalog WHERE foreign_keys IS NOT NULL),
+ fks AS (SELECT db_id, pos, tn[cn[fk[1] + 1].tbl + 1] AS tname, cn[fk[1] + 1].name AS cname, tn[cn[fk[2] + 1].tbl + 1] AS to_table, cn[fk[2] + 1].name AS to_column FROM fkr WHERE len(fk) >= 2),
+ docs AS (SELECT db_id || '::table::' || tname AS doc_id, db_id, 'table' AS type, 'Database: ' || db_id || chr(10) || 'Table: ' || tname || chr(10) || 'Columns: ' || string_agg(cname || ':' || ctype || CASE WHEN is_key THEN ' [PK]' ELSE '' END, ', ' ORDER BY col) AS text FROM cols GROUP BY db_id, tbl, tname
+  UNION ALL SELECT db_id || '::column::' || tname || '.' || cname, db_id, 'column', 'Database: ' || db_id || chr(10) || 'Column: ' || tname || '.' || cname || chr(10) || 'Type: ' || ctype FROM cols
+  UNION ALL SELECT db_id || '::fk::' || tname || '.' || cname || '->' || to_table || '.' || to_column, db_id, 'fk', 'Database: ' || db_id || chr(10) || 'ForeignKey: ' || tname || '.' || cname || ' -> ' || to_table || '.' || to_column || chr(10) || 'JoinHint: ' || tname || ' JOIN ' || to_table || ' ON ' || tname || '.' || cname || ' = ' || to_table || '.' || to_column FROM fks)
+"""
+
+
+def catalog_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "db_catalog")
+
+
+@query(_COLS + "SELECT db_id, tname AS \"table\", cname AS \"column\", ctype AS type, is_key FROM cols")
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.columns(catalog_of(spark, sf_dir)).select("db_id", "table", "column", "type", "is_key")
+
+
+@query(_COLS + "SELECT doc_id, db_id, type, text FROM docs")
+def catalog_schema_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.schema_docs(catalog_of(spark, sf_dir))
+
+
+@query(_COLS + "SELECT type, COUNT(*) AS docs, COUNT(DISTINCT db_id) AS databases FROM docs GROUP BY type")
+def catalog_doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.doc_counts(C.schema_docs(catalog_of(spark, sf_dir)))
+
+
+@query(_COLS + ", l AS (SELECT db_id, 0 AS part, tbl AS spot, tname || '(' || string_agg(cname, ', ' ORDER BY col) || ')' AS line FROM cols GROUP BY db_id, tbl, tname UNION ALL SELECT db_id, 1, pos, tname || '.' || cname || ' = ' || to_table || '.' || to_column FROM fks WHERE pos < 60) "
+       "SELECT db_id, string_agg(line, chr(10) ORDER BY part, spot, line) AS text FROM l GROUP BY db_id")
+def catalog_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.schema_text(catalog_of(spark, sf_dir))
+
+
+@query("SELECT pool_id, len(list_intersect(w, t)) AS n_tables, len(list_intersect(w, c)) AS n_columns FROM (SELECT pool_id, LOWER(TRIM(db_id, ' ')) AS db, list_distinct(regexp_extract_all(LOWER(COALESCE(sql, '')), '[a-z_][a-z0-9_]*')) AS w FROM candidate_pool) p "
+       "JOIN (SELECT LOWER(TRIM(db_id, ' ')) AS db, list_distinct(list_transform(table_names_original, lambda x: LOWER(x))) AS t, list_distinct(list_transform(column_names_original, lambda x: LOWER(x.name))) AS c FROM db_catalog) d ON p.db = d.db")
+def catalog_schema_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.schema_links(read(spark, sf_dir, "candidate_pool"), catalog_of(spark, sf_dir))
+
+
+_IDENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda w: LOWER(w)), lambda w: LENGTH(w) >= 2)"
+_PLURAL = "CASE WHEN suffix(w, 'ies') AND LENGTH(w) > 4 THEN LEFT(w, LENGTH(w) - 3) || 'y' WHEN suffix(w, 'es') AND LENGTH(w) > 4 THEN LEFT(w, LENGTH(w) - 2) WHEN suffix(w, 's') AND LENGTH(w) > 3 THEN LEFT(w, LENGTH(w) - 1) ELSE w END"
+_RELEVANT = _COLS + f""", t AS (SELECT LOWER(TRIM(db_id, ' ')) AS db, tname, list_distinct({_IDENT.format('tname')}) AS tw, list_distinct(flatten(list({_IDENT.format('cname')}))) AS cw, list({_IDENT.format('cname')}) AS each FROM cols GROUP BY db_id, tbl, tname),
+ a AS (SELECT idx, LOWER(TRIM(db_id, ' ')) AS db, {_IDENT.format('question')} AS w0 FROM question_items WHERE question IS NOT NULL AND db_id IS NOT NULL),
+ b AS (SELECT idx, db, list_distinct(list_concat(w0, list_transform(w0, lambda w: {_PLURAL}))) AS q FROM a),
+ m AS (SELECT idx, tname, 3 * len(list_intersect(q, tw)) + 2 * len(list_intersect(q, cw)) + len(list_filter(each, lambda e: len(list_intersect(q, e)) > 0)) AS score FROM b JOIN t ON b.db = t.db),
+ r AS (SELECT idx, tname AS "table", CAST(score AS INTEGER) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY idx ORDER BY score DESC, tname) AS INTEGER) AS place FROM m WHERE score > 0)
+"""
+
+
+@query(_RELEVANT + "SELECT * FROM r WHERE place <= 3")
+def catalog_relevant_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.relevant_tables(read(spark, sf_dir, "question_items"), catalog_of(spark, sf_dir))
+
+
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, catalog = read(spark, sf_dir, "question_items"), catalog_of(spark, sf_dir)
+    return C.relevant_tables(items, catalog, 1).join(items.select("idx", F.lower(F.trim("db_id")).alias("db")), "idx").select("idx", "db", "table")
+
+
+_EDGES = ", fk2 AS (SELECT LOWER(TRIM(db_id, ' ')) AS db, tname, to_table FROM fks), e AS (SELECT db, tname AS a, to_table AS b FROM fk2 UNION ALL SELECT db, to_table, tname FROM fk2), ch AS (SELECT r.idx, b.db, r.\"table\" FROM r JOIN b ON r.idx = b.idx WHERE place <= {})"
+
+
+@query(_RELEVANT + _EDGES.format(1) + ' SELECT ch.idx, e.b AS "table", COUNT(*) AS links FROM ch JOIN e ON ch.db = e.db AND ch."table" = e.a WHERE NOT EXISTS (SELECT 1 FROM ch x WHERE x.idx = ch.idx AND x."table" = e.b) GROUP BY ch.idx, e.b')
+def catalog_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.bridges(_chosen(spark, sf_dir), catalog_of(spark, sf_dir))
+
+
+@query(_RELEVANT + _EDGES.format(3) + ' SELECT DISTINCT x.idx, f.tname AS "table", f.to_table FROM ch x JOIN fk2 f ON x.db = f.db AND x."table" = f.tname JOIN ch y ON y.idx = x.idx AND y."table" = f.to_table')
+def catalog_induced_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, catalog = read(spark, sf_dir, "question_items"), catalog_of(spark, sf_dir)
+    chosen = C.relevant_tables(items, catalog).join(items.select("idx", F.lower(F.trim("db_id")).alias("db")), "idx").select("idx", "db", "table")
+    return C.induced_keys(chosen, catalog)
+
+
+# --- retrieval
+
+def _bm25(docs: str, doc: str, doc_text: str, queries: str, query_id: str, query_text: str, keep: str = "", same: str = "") -> str:
+    """docs and queries are relations; same compares d.* with q.*."""
+    return f""" tok AS (SELECT {doc} AS doc{keep}, {_tokens(doc_text)} AS ts FROM {docs}), st AS (SELECT COUNT(*) AS n, AVG(len(ts)) AS av FROM tok),
+ tf AS (SELECT doc, term, COUNT(*) AS tf FROM (SELECT doc, UNNEST(ts) AS term FROM tok) x GROUP BY doc, term), dfs AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term),
+ qt AS (SELECT query, term, COUNT(*) AS times, MIN(pos) AS pos FROM (SELECT query, UNNEST(ts) AS term, UNNEST(range(0, len(ts))) AS pos FROM (SELECT {query_id} AS query, {_tokens(query_text)} AS ts FROM {queries}) a) b GROUP BY query, term),
+ bm AS (SELECT qt.query, tf.doc, ROUND(SUM(times * LN(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len(d.ts) / (av + 1e-9)) + 1e-9)), 6) AS score, MIN(pos) AS first
+  FROM qt JOIN tf ON qt.term = tf.term JOIN dfs ON dfs.term = tf.term JOIN tok d ON d.doc = tf.doc {same} CROSS JOIN st GROUP BY qt.query, tf.doc)
+"""
+
+
+@query("WITH" + _bm25("documents", "doc_id", "text", "eval_passages", "item_id", "text") + "SELECT query, doc, score, CAST(place AS INTEGER) AS place FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, first, doc) AS place FROM bm) t WHERE place <= 5")
+def retrieval_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = R.build_index(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return R.top_docs(R.bm25(index, read(spark, sf_dir, "eval_passages"), "item_id", "text"), 5).select("query", "doc", "score", "place")
+
+
+@query("WITH" + _bm25("documents", "doc_id", "text", "eval_passages", "item_id", "text") + "SELECT term, df FROM dfs")
+def retrieval_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.build_index(read(spark, sf_dir, "documents"), "doc_id", "text").terms.select("term", "df")
+
+
+_CONTEXT = _COLS + ", asked AS (SELECT idx, question, LOWER(TRIM(db_id, ' ')) AS db FROM question_items WHERE idx % 100 = 0 AND question IS NOT NULL AND db_id IS NOT NULL), " + _bm25(
+    "docs", "doc_id", "text", "asked", "idx", "question", keep=", LOWER(TRIM(db_id, ' ')) AS db, type", same="JOIN asked ak ON ak.idx = qt.query AND ak.db = d.db") + """
+, deep AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, first, doc) AS p FROM bm) t WHERE p <= 200),
+ typed AS (SELECT deep.*, tok.type, ROW_NUMBER() OVER (PARTITION BY query, tok.type ORDER BY score DESC, first, deep.doc) AS place FROM deep JOIN tok ON tok.doc = deep.doc)
+SELECT query, doc, type, score, CAST(place AS INTEGER) AS place FROM typed WHERE place <= CASE type WHEN 'table' THEN 5 ELSE 8 END"""
+
+
+@query(_CONTEXT)
+def retrieval_schema_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read(spark, sf_dir, "question_items").filter("idx % 100 = 0")
+    return R.schema_context(C.schema_docs(catalog_of(spark, sf_dir)), asked)
+
+
+@query()
+def retrieval_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.schema_docs(catalog_of(spark, sf_dir))
+    return R.context_text(R.schema_context(docs, read(spark, sf_dir, "question_items").filter("idx % 100 = 0")), docs)
+
+
+def _dense(same: str, k: int) -> str:
+    return (f"SELECT query, doc, score, CAST(place AS INTEGER) AS place FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM (SELECT q.vec_id AS query, d.vec_id AS doc, "
+            f"ROUND(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id{same}) s) t WHERE place <= {k}")
+
+
+@query(_dense("", 10))
+def retrieval_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return R.dense_search(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
+@query(_dense(" AND q.label = d.label", 3))
+def retrieval_dense_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return R.dense_search(vectors, vectors.filter("vec_id % 100 = 0"), 3, group="label")
