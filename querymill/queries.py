@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,9 @@ from .operators import retrieval as R
 from .operators import scoring as SC
 from .operators import select as S
 from .operators import stats as ST
+from .plans import validate as V
+from .plans.engine import Engine
+from .streaming import ingest as ST_IN
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -706,3 +711,81 @@ def retrieval_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_dense_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return R.dense_search(vectors, vectors.filter("vec_id % 100 = 0"), 3, group="label")
+
+
+# --- streams
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder of the cluster, or a private one where none is named."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='querymill-')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _scratch(spark)
+    ST_IN.sink_complete(ST_IN.event_windows(ST_IN.file_stream(spark, f"{sf_dir}/events.parquet")), f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/table")
+
+
+@query("SELECT COUNT(*) AS n, COUNT(DISTINCT idx) AS questions FROM (SELECT DISTINCT idx, LOWER(TRIM(backend, ' ')) AS backend, stage, sql, checked_at FROM evidence WHERE checked_at IS NOT NULL) t")
+def stream_new_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _scratch(spark)
+    ST_IN.sink_append(ST_IN.new_evidence(ST_IN.file_stream(spark, f"{sf_dir}/evidence.parquet")), f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/table").agg(F.count("*").alias("n"), F.count_distinct("idx").alias("questions"))
+
+
+# --- statements that are run
+
+# Each question: its text, the right statement, candidates by source.
+QUESTIONS = (
+    ("How many customers are in each nation?", "SELECT n.n_name, COUNT(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", (
+        ("embedrag", "SELECT n_name, COUNT(*) FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name;"),
+        ("bm25rag", "SELECT n.n_name, COUNT(c.c_custkey) FROM customer c, nation n WHERE c.c_nationkey = n.n_nationkey GROUP BY n.n_name"),
+        ("lora_rag", "SELECT n_name, COUNT(*) FROM nations JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name"),
+        ("loraonly_ep3", "SELECT n_name, COUNT(*) FROM nation JOIN customer ON n_nationkey = c_custkey WHERE c_custkey < 0 GROUP BY n_name"), ("promptonly", "SELECT [n_name] FROM [nation]"))),
+    ("What is the highest account balance of suppliers in each nation?", "SELECT s_nationkey, MAX(s_acctbal) AS m FROM supplier GROUP BY s_nationkey", (
+        ("embedrag", "SELECT s_nationkey, MAX(s_acctbal) FROM supplier"), ("bm25rag", "SELECT s_nationkey, MAX(s_acctbal) FROM supplier GROUP BY s_nationkey"),
+        ("promptonly", "SELECT MAX(s_acctbal) FROM supplier"))),
+    ("How many lines does every order status have?", "SELECT o_orderstatus, COUNT(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus", (
+        ("embedrag", "SELECT o_orderstatus, COUNT(*) FROM orders JOIN lineitem ON o_orderkey = l_ordrkey GROUP BY o_orderstatus"),
+        ("bm25rag", "SELECT o_orderstatus, COUNT(*) FROM orders GROUP BY o_orderstatus"), ("lora_rag", "SELECT o_orderstatus, COUNT(*) FROM lineitem, orders WHERE l_orderkey = o_orderkey GROUP BY 1"), ("promptonly", "DROP TABLE orders"))),
+)
+STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def engine_of(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(spark, {t: read(spark, sf_dir, t) for t in STAR})
+
+
+@query()
+def engine_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of the questions run and compared with the right statement."""
+    engine_of(spark, sf_dir)
+    outcomes = V.validate(spark, [(i, k, source, sql) for i, (_, _, cands) in enumerate(QUESTIONS) for k, (source, sql) in enumerate(cands)])
+    gold = V.validate(spark, [(i, 0, "gold", sql) for i, (_, sql, _) in enumerate(QUESTIONS)])
+    return V.labelled(outcomes, gold).select("idx", "candidate_index", "source", "ok", "condition", "n_rows", "correct")
+
+
+def _answer(k: int, names: tuple[str, str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = engine_of(spark, sf_dir)
+        question, _, cands = QUESTIONS[k]
+        chosen, _ = engine.run(question, list(cands))
+        return engine.execute(chosen.sql).toDF(*names)
+
+    run.__name__ = f"engine_answer_{k}"
+    return run
+
+
+query("SELECT n.n_name AS name, COUNT(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")(_answer(0, ("name", "n")))
+query("SELECT s_nationkey AS nation, MAX(s_acctbal) AS most FROM supplier GROUP BY s_nationkey")(_answer(1, ("nation", "most")))
+query("SELECT o_orderstatus AS status, COUNT(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus")(_answer(2, ("status", "n")))
+
+
+@query()
+def engine_portability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = engine_of(spark, sf_dir)
+    parts = [engine.portability(sql).withColumn("idx", F.lit(i)) for i, sql in enumerate((
+        QUESTIONS[0][1], "SELECT \"o_orderstatus\", COUNT(*) FROM orders GROUP BY \"o_orderstatus\"", "SELECT SUM(1 / (l_linenumber - 1)) FROM lineitem"))]
+    return parts[0].union(parts[1]).union(parts[2])
