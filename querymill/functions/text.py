@@ -67,12 +67,14 @@ def sql_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), r"[; ]+$", ""))
 
 
-def select_list(sql: Column) -> Column:
-    return F.trim(F.regexp_extract(normal_sql(sql), r"^select (.*?) from ", 1))
+def field_list(normal: Column) -> Column:
+    """The selected fields of a statement in normal form."""
+    return F.trim(F.regexp_extract(normal, r"^select (.*?) from ", 1))
 
 
-def group_list(sql: Column) -> Column:
-    return F.trim(F.regexp_extract(normal_sql(sql), r" group by (.*?)(?: having | order by | limit |;|$)", 1))
+def group_fields(normal: Column) -> Column:
+    """The GROUP BY fields of a statement in normal form."""
+    return F.trim(F.regexp_extract(normal, r" group by (.*?)(?: having | order by | limit |;|$)", 1))
 
 
 def string_literals(sql: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import retrieval_tokens
+from ..runtime import cut
 
 K1, B = 1.2, 0.75
 #: Rows of queries that are broadcast at once.
@@ -33,7 +34,8 @@ class Index:
 
 def build_index(docs: DataFrame, doc: str, text: str, keep: tuple[str, ...] = ()) -> Index:
     """Postings, inverse document frequencies ln(1 + (N - df + 0.5) / (df + 0.5)) and document lengths."""
-    tokens = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), *keep, retrieval_tokens(F.col(text)).alias("tokens"))
+    # tokens are read for lengths, frequencies and postings, and made once
+    tokens = cut(docs.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), *keep, retrieval_tokens(F.col(text)).alias("tokens")))
     lengths = tokens.select("doc", *keep, F.size("tokens").alias("dl"))
     n, average = lengths.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
     postings = tokens.select("doc", F.explode("tokens").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))

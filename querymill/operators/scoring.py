@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import group_list, has_spaced_literal, normal_sql, select_list, word_count
+from ..functions.text import field_list, group_fields, has_spaced_literal, normal_sql, word_count
 from .pool import with_support
 
 # What a question (lower case) and a statement (lower case, one blank) are searched for.
@@ -43,16 +43,15 @@ class Rule:
     amount: Column
 
 
-def question_features(question: Column) -> dict[str, Column]:
-    q = F.lower(F.coalesce(question, F.lit("")))
+def question_features(q: Column) -> dict[str, Column]:
+    """Features of a question in lower case."""
     f = {f"q_{k}": q.rlike(p) for k, p in QUESTION.items()}
-    f["q_words"] = word_count(question)
+    f["q_words"] = word_count(q)
     return f
 
 
-def statement_features(sql: Column) -> dict[str, Column]:
-    s = normal_sql(sql)
-    chosen, grouped = select_list(sql), group_list(sql)
+def statement_features(s: Column, sql: Column, chosen: Column, grouped: Column) -> dict[str, Column]:
+    """Features of a statement in normal form, as written, and of its field and group lists."""
     f = {f"s_{k}": s.rlike(p) for k, p in STATEMENT.items()}
     return f | {
         "s_words": word_count(s), "s_select_count": chosen.rlike(STATEMENT["count"]), "s_select_comma": chosen.contains(","), "s_select_text": chosen.rlike(_TEXT_LIKE),
@@ -114,8 +113,21 @@ def rules() -> list[Rule]:
 def featured(pool: DataFrame, items: DataFrame) -> DataFrame:
     """Pool rows with their support, question and features."""
     asked = items.filter("idx IS NOT NULL").select("idx", "question").dropDuplicates(["idx"])
-    joined = with_support(pool).join(asked, "idx", "left")
-    return joined.withColumns(question_features(F.col("question")) | statement_features(F.col("sql")))
+    # normal forms first, as columns of their own, so that they are made once for all features
+    asked = asked.select("idx", "question", F.lower("question").alias("q")).withColumns(question_features(F.col("q"))).drop("q")
+    flags = [c for c in asked.columns if c.startswith("q_")]
+    joined = normal_forms(with_support(pool)).join(asked, "idx", "left")
+    joined = joined.withColumns({c: F.coalesce(c, F.lit(0) if c == "q_words" else F.lit(False)) for c in flags})
+    return joined.withColumns(statement_features(*_forms())).drop("s", "chosen", "grouped")
+
+
+def _forms() -> tuple[Column, ...]:
+    return F.col("s"), F.col("sql"), F.col("chosen"), F.col("grouped")
+
+
+def normal_forms(df: DataFrame) -> DataFrame:
+    normal = df.withColumn("s", normal_sql(F.col("sql")))
+    return normal.withColumns({"chosen": field_list(F.col("s")), "grouped": group_fields(F.col("s"))})
 
 
 def scored(pool: DataFrame, items: DataFrame) -> DataFrame:
@@ -126,12 +138,13 @@ def scored(pool: DataFrame, items: DataFrame) -> DataFrame:
     return featured(pool, items).withColumns({"rule_score": F.round(total, 4), "breakdown": F.filter(each, lambda x: x.isNotNull())})
 
 
-def structure(sql: Column) -> Column:
-    """A statement's structure as text."""
-    f = statement_features(sql)
+def structures(df: DataFrame) -> DataFrame:
+    """Statements with their structure as text in ``structure``."""
+    f = statement_features(*_forms())
     shown = {"select_items": "s_select_items", "joins": "s_joins", "where": "s_where", "group_by": "s_group", "order_by": "s_order", "limit": "s_limit",
              "distinct": "s_distinct", "count": "s_count", "avg": "s_avg", "sum": "s_sum", "max": "s_max", "min": "s_min", "not_in_or_exists": "s_anti"}
-    return F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), f[v].cast("string")) for k, v in shown.items()])
+    text = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), f[v].cast("string")) for k, v in shown.items()])
+    return normal_forms(df).withColumn("structure", text).drop("s", "chosen", "grouped")
 
 
 # Kinds of wrong candidates, hardest first.

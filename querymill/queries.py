@@ -425,7 +425,7 @@ _STRUCTURE = ", ".join(f"'{k}=' || CAST({v} AS VARCHAR)" for k, v in {
 
 @query(_SCORED + f"SELECT pool_id, concat_ws(', ', {_STRUCTURE}) AS structure FROM parts")
 def score_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool_of(spark, sf_dir).select("pool_id", SC.structure(F.col("sql")).alias("structure"))
+    return SC.structures(pool_of(spark, sf_dir)).select("pool_id", "structure")
 
 
 _SHAPE = "CASE WHEN result IS NULL THEN 'none' ELSE CAST(len(CAST(from_json(result, '[[\"VARCHAR\"]]') AS VARCHAR[][])) AS VARCHAR) || 'x' || CAST(COALESCE(len((CAST(from_json(result, '[[\"VARCHAR\"]]') AS VARCHAR[][]))[1]), 0) AS VARCHAR) END"
@@ -494,7 +494,8 @@ def text_normal_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT pool_id, TRIM(regexp_extract(n, '^select (.*?) from ', 1), ' ') AS fields, TRIM(regexp_extract(n, ' group by (.*?)(?: having | order by | limit |;|$)', 1), ' ') AS groups FROM (SELECT pool_id, " + _NORMAL_SQL.format("sql") + " AS n FROM candidate_pool) t")
 def text_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "candidate_pool").select("pool_id", TX.select_list(F.col("sql")).alias("fields"), TX.group_list(F.col("sql")).alias("groups"))
+    normal = read(spark, sf_dir, "candidate_pool").select("pool_id", TX.normal_sql(F.col("sql")).alias("n"))
+    return normal.select("pool_id", TX.field_list(F.col("n")).alias("fields"), TX.group_fields(F.col("n")).alias("groups"))
 
 
 _LITERALS = "list_filter(list_transform(list_concat(regexp_extract_all(sql, '''([^'']*)''', 1), regexp_extract_all(sql, '\"([^\"]*)\"', 1)), lambda x: TRIM(x, ' ')), lambda x: x <> '')"
