@@ -1,27 +1,13 @@
-"""Session helpers shared by the operators of this subpackage."""
+"""Helpers shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut, ensure_checkpoint_dir
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; a private one only where that is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or "file://" + os.path.join(tempfile.gettempdir(), "querymill-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages read files that outlive any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "ensure_checkpoint_dir", "read", "salt_of"]
 
 
 def salt_of(col: Column, salts: int) -> Column:
