@@ -80,7 +80,7 @@ def group_fields(normal: Column) -> Column:
 def string_literals(sql: Column) -> Column:
     """Every '…' literal, then every "…" one, trimmed, each once, blank ones left out."""
     both = F.concat(_all(sql, r"'([^']*)'", 1), _all(sql, r'"([^"]*)"', 1))
-    return F.array_distinct(F.filter(F.transform(both, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(both, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def has_spaced_literal(sql: Column) -> Column:

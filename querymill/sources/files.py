@@ -45,7 +45,7 @@ def read_markdown_table(spark: SparkSession, path: str) -> DataFrame:
     """(line, cells): the rows of the Markdown tables of a file, without rulers."""
     text = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\|") & ~F.col("value").rlike(r"^\s*\|[\s|:-]+$"))
     inner = F.regexp_replace(F.trim("value"), r"^\||\|$", "")
-    return text.select(F.col("value").alias("line"), F.transform(F.split(inner, r"\|"), F.trim).alias("cells"))
+    return text.select(F.col("value").alias("line"), F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -91,6 +91,6 @@ def load_database(spark: SparkSession, path: str, prefix: str = "") -> list[str]
     register(spark)
     names = []
     for table in list_tables(path):
-        spark.read.format("sqlite_file").option("path", path).option("table", table).load().createOrReplaceTempView(f"{prefix}{table}")
+        spark.read.format("sqlite_file").option("path", path).option("table", table).load().createOrReplaceTempView(f"`{prefix}{table}`")
         names.append(f"{prefix}{table}")
     return names
