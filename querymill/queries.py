@@ -16,12 +16,14 @@ from .operators import evidence as E
 from .operators import metrics as M
 from .operators import pairs as PR
 from .operators import pool as P
+from .operators import ranker as RK
 from .operators import retrieval as R
 from .operators import scoring as SC
 from .operators import select as S
 from .operators import stats as ST
 from .plans import validate as V
 from .plans.engine import Engine
+from .runtime import cut
 from .streaming import ingest as ST_IN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -790,3 +792,25 @@ def engine_portability(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [engine.portability(sql).withColumn("idx", F.lit(i)) for i, sql in enumerate((
         QUESTIONS[0][1], "SELECT \"o_orderstatus\", COUNT(*) FROM orders GROUP BY \"o_orderstatus\"", "SELECT SUM(1 / (l_linenumber - 1)) FROM lineitem"))]
     return parts[0].union(parts[1]).union(parts[2])
+
+
+# --- learned ranking
+
+@query()
+def ranker_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the pairs of four fifths of the databases, measured on the rest."""
+    pool, items = pool_of(spark, sf_dir), read(spark, sf_dir, "question_items")
+    pairs = PR.preference_pairs(pool)
+    held = items.select("idx", (F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce("db_id", F.lit(""))))), F.lit(5)) == 0).alias("held"))
+    differences = cut(RK.pair_differences(pairs.join(held, "idx"), RK.candidate_features(pool, items)))
+    return RK.pair_accuracy(differences.filter("held"), RK.train(differences.filter("NOT held")))
+
+
+@query()
+def select_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per question the candidate with the highest learned score."""
+    pool, items = pool_of(spark, sf_dir), read(spark, sf_dir, "question_items")
+    features = cut(RK.candidate_features(pool, items))
+    weights = RK.train(RK.pair_differences(PR.preference_pairs(pool), features))
+    scored = pool.drop("score").join(features, "pool_id").withColumn("score", F.round(RK.weighted(F.col("features"), weights), 6))
+    return S.semantic_score(scored)
