@@ -78,7 +78,6 @@ _STRUCTURE = frozenset(
 _START = re.compile(r"\b(?:select|with)\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _WORDS = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
-_CUT_MARKS = re.compile(r"[\s…�]*(?:\.\.\.)?[\s…�]*$")
 _LABELS = frozenset("database id original sql mysql execution error question schema prompt".split())
 _LABEL_PAIRS = ({"database", "id"}, {"original", "sql"}, {"execution", "error"})
 
@@ -185,7 +184,8 @@ def _open_literal(statement: str) -> bool:
 
 
 def is_cut(statement: str, failing: list[str], ends: Mapping[str, tuple[int, int]]) -> bool:
-    body = _CUT_MARKS.sub("", statement)
+    body = statement.rstrip(" \t\r\n…�")
+    body = body[:-3].rstrip() if body.endswith("...") else body
     if body.rstrip().endswith(";"):
         return False
     plain = plain_statement(body)

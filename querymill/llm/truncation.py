@@ -45,10 +45,9 @@ SIGN_OFF = 3
 #: Distinct runs a task holds before it hands its counts on.
 HELD = 200_000
 
-# What may stand behind a cut.
-MARK = re.compile(
-    r"(?:[\s…�\u200b]|\.\.\.|\[\s*(?:\.\.\.|…|truncated|cut|snip|more)\s*\]|\(\s*(?:\.\.\.|…|truncated|cut|more)\s*\)"
-    r"|<\s*(?:\.\.\.|…|truncated|cut|more)\s*>)+\Z", re.I)
+# What may stand behind a cut, besides blanks.
+_BLANKS = " \t\r\n\x0b\x0c\x85\xa0\u2028\u2029\u200b…�"
+_BRACKETED = re.compile(r"(?:\[\s*(?:\.\.\.|…|truncated|cut|snip|more)\s*\]|\(\s*(?:\.\.\.|…|truncated|cut|more)\s*\)|<\s*(?:\.\.\.|…|truncated|cut|more)\s*>)\Z", re.I)
 TOKEN = re.compile(r"[^\W_]+(?:[_.'’-][^\W_]+)*_?|[^\w\s]|\n+")
 WORD = re.compile(r"[^\W\d]\w*")
 STATEMENT = re.compile(r"(?im)^[ \t>]*(select\b)")
@@ -56,34 +55,65 @@ CLAUSE = re.compile(r"(?i)[\s>]*(?:from|where|group|order|limit|having|join|left
 WHOLE_STATEMENTS = re.compile(r"(?ims)^[ \t]*(select\b[^;]{1,2000});")
 _FINAL = ".!?;"
 _OPENERS = frozenset(",:(-/=<&+|[{")
-_BULLETS = frozenset("*-#>")
+_BEFORE_FIRST = frozenset("*-#>.!?\n")
 WHOLE, CUT, PROSE, SQL = 0, 1, 2, 3
 _FEATURES = "doc bigint, src string, chars int, bytes int, body_chars int, body_bytes int, final boolean, verdict int, run string, word string"
 
 
-def tokens(text: str) -> list[str]:
-    out = []
-    first = True
-    for tok in TOKEN.findall(text):
-        head = tok[0]
-        if head == "\n":
-            out.append("\n")
-            first = True
-            continue
-        if not head.isalnum():
-            out.append(tok)
-            first = tok in _BULLETS or tok in ".!?"
-            continue
-        if head.isdigit():
-            out.append("#")
-        elif "_" in tok or "." in tok:
-            out.append("@")
-        elif head.isupper() and not first:
-            out.append("^")
+def without_mark(text: str) -> str:
+    """The text without blanks and cut marks at its end."""
+    while True:
+        text = text.rstrip(_BLANKS)
+        if text.endswith("..."):
+            text = text[:-3]
+        elif text[-1:] in "])>" and (m := _BRACKETED.search(text[-24:])):
+            text = text[: len(text) - (m.end() - m.start())]
         else:
-            out.append(tok.lower())
-        first = False
-    return out
+            return text
+
+
+_KNOWN: dict[str, str] = {}
+
+
+def _class(tok: str) -> str:
+    """A token's class inside a sentence; kept for the tokens met lately."""
+    head = tok[0]
+    if head == "\n":
+        found = "\n"
+    elif not head.isalnum():
+        found = tok
+    elif head.isdigit():
+        found = "0"
+    elif "_" in tok or "." in tok:
+        found = "@"
+    else:
+        found = "^" if head.isupper() else tok.lower()
+    if len(_KNOWN) > HELD:
+        _KNOWN.clear()
+    _KNOWN[tok] = found
+    return found
+
+
+def tokens(text: str) -> list[str]:
+    """Tokens as classes; the first word of a sentence, line or list item counts as if it were written small."""
+    return classes_of(TOKEN.findall(text))
+
+
+def classes_of(raw: list[str]) -> list[str]:
+    get = _KNOWN.get
+    out = [get(t) or _class(t) for t in raw]
+    at = -1
+    try:
+        while True:
+            at = out.index("^", at + 1)
+            if at == 0 or out[at - 1] in _BEFORE_FIRST:
+                out[at] = raw[at].lower()
+    except ValueError:
+        return out
+
+
+_JSON_MARK = re.compile(r'\\.|["{}\[\]]', re.S)
+_VISIBLE = re.compile(r"\S")
 
 
 def json_open(text: str) -> bool | None:
@@ -91,9 +121,12 @@ def json_open(text: str) -> bool | None:
     starts = [m.start() for m in re.finditer(r"(?m)^[ \t]*[{\[](?=\s*[\"{\[\]}])", text)]
     if not starts:
         return None
+    done = 0
     for start in starts:
-        depth, inside, at, end = 0, False, start, -1
-        for m in re.compile(r'\\.|["{}\[\]]', re.S).finditer(text, start):
+        if start < done:
+            continue
+        depth, inside, end = 0, False, -1
+        for m in _JSON_MARK.finditer(text, start):
             c = m.group()
             if c == '"':
                 inside = not inside
@@ -106,8 +139,9 @@ def json_open(text: str) -> bool | None:
                     break
         if end < 0:
             return True
-        if not text[end:].strip():
+        if _VISIBLE.search(text, end) is None:
             return False
+        done = end
     return None
 
 
@@ -126,7 +160,7 @@ def _last_statement(body: str) -> str:
 
 def look(text: str) -> tuple[str, int, str, str]:
     """The text without its cut mark, a verdict, and for PROSE and SQL the last run and word."""
-    body = MARK.sub("", text)
+    body = without_mark(text)
     if not body:
         return body, WHOLE, "", ""
     state = json_open(body)
@@ -182,8 +216,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (run, end), n in sql.items():
             total["S" + run] += n
             ends["S" + run] += n if end else 0
-        for w, n in words.items():
-            total["W" + w] += n
+        for tok, n in words.items():
+            for w in WORD.findall(tok.lower()):
+                total["W" + w] += n
         for k, n in closing.items():
             total["T" + "\t".join(k)] += n
         for c in (runs, closing, words, sql):
@@ -195,16 +230,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            body = MARK.sub("", text)
+            body = without_mark(text)
             if not body:
                 continue
-            s = ["\n", "\n", *tokens(body)]
+            raw = TOKEN.findall(body)
+            s = ["\n", "\n", *classes_of(raw)]
             runs.update(zip(s, s[1:], s[2:], s[3:]))  # the last run, which nothing follows, stays out
             closing[tuple(s[-3:])] += 1
-            found = WORD.findall(body.lower())
-            words.update(found[:-1] if body[-1].isalnum() or body[-1] == "_" else found)
-            for m in WHOLE_STATEMENTS.finditer(body):
-                sql.update(contexts(m.group(1)))
+            words.update(raw)
+            words[raw[-1]] -= 1  # a last word may be a piece
+            if "elect" in body or "ELECT" in body:
+                for m in WHOLE_STATEMENTS.finditer(body):
+                    sql.update(contexts(m.group(1)))
         if len(runs) + len(words) > HELD:
             yield flush()
     if runs or words or closing:
