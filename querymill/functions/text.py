@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # The words that the retrieval tokens leave out.
 STOP_WORDS = (
-    "a", "an", "the", "is", "are", "was", "were", "be", "of", "in", "on", "at", "to", "for", "from", "by", "with", "and", "or", "not",
-    "what", "which", "who", "how", "many", "much", "all", "each", "every", "show",
+    "select", "from", "where", "join", "on", "and", "or", "group", "by", "order", "limit", "distinct",
+    "count", "sum", "avg", "min", "max", "as", "in", "like", "between", "is", "null",
+    "database", "table", "columns", "column", "type", "foreignkey", "joinhint",
 )
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 
@@ -90,7 +91,7 @@ def has_spaced_literal(sql: Column) -> Column:
 
 def identifier_words(name: Column) -> Column:
     """Words of an identifier: split at case changes and other characters, two letters or more, lower case."""
-    split = F.split(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+")
+    split = F.split(F.regexp_replace(name, r"([a-z])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+")
     return F.filter(F.transform(split, F.lower), lambda w: F.length(w) >= 2)
 
 

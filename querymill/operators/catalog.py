@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_words, plural_forms
@@ -26,26 +26,37 @@ def foreign_keys(catalog: DataFrame) -> DataFrame:
     """(db_id, pos, table, column, to_table, to_column)."""
     keys = catalog.select("db_id", "table_names_original", "column_names_original", F.posexplode("foreign_keys").alias("pos", "fk")).filter("size(fk) >= 2")
     at = lambda k: F.get("column_names_original", F.get("fk", F.lit(k)))
-    ends = keys.select("db_id", "pos", "table_names_original", at(0).alias("a"), at(1).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    ends = keys.select("db_id", "pos", "table_names_original", at(0).alias("a"), at(1).alias("b")).filter("a.tbl >= 0 AND b.tbl >= 0")
     return ends.select("db_id", "pos", F.get("table_names_original", F.col("a.tbl")).alias("table"), F.col("a.name").alias("column"),
                        F.get("table_names_original", F.col("b.tbl")).alias("to_table"), F.col("b.name").alias("to_column"))
 
 
+def _listed(cols: DataFrame, shown: Column, limit: int | None = None) -> Column:
+    """A table's columns as an array of texts in catalog order; a table has a bounded number of columns."""
+    packed = F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", shown.alias("shown")))))
+    return F.transform(packed if limit is None else F.slice(packed, 1, limit), lambda x: x["shown"])
+
+
+def _with_columns(catalog: DataFrame) -> DataFrame:
+    """Every table beside its columns, and once without any where it has none."""
+    return tables(catalog).join(columns(catalog).drop("table"), ["db_id", "tbl"], "left")
+
+
 def schema_docs(catalog: DataFrame) -> DataFrame:
     """(doc_id, db_id, type, text): one chunk per table, column and foreign key."""
-    cols = columns(catalog)
-    shown = F.concat(F.col("column"), F.lit(":"), F.col("type"), F.when(F.col("is_key"), F.lit(" [PK]")).otherwise(""))
-    listed = cols.groupBy("db_id", "tbl", "table").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", shown.alias("s")))), lambda x: x["s"]), ", ").alias("cols"))
+    flag = F.when(F.col("is_key"), F.lit(" [PK]")).otherwise("")
+    cols = _with_columns(catalog)
+    listed = cols.groupBy("db_id", "tbl", "table").agg(F.array_join(_listed(cols, F.concat(F.col("column"), F.lit(":"), F.col("type"), flag)), ", ").alias("cols"))
     text = lambda *parts: F.concat_ws("\n", F.concat(F.lit("Database: "), F.col("db_id")), *parts)
     line = lambda name, *c: F.concat(F.lit(name + ": "), *c)
     t = listed.select(F.concat_ws("::", "db_id", F.lit("table"), "table").alias("doc_id"), "db_id", F.lit("table").alias("type"),
                       text(line("Table", F.col("table")), line("Columns", F.col("cols"))).alias("text"))
     dotted = F.concat_ws(".", "table", "column")
-    c = cols.select(F.concat_ws("::", "db_id", F.lit("column"), dotted).alias("doc_id"), "db_id", F.lit("column").alias("type"),
-                    text(line("Column", dotted), line("Type", F.col("type"))).alias("text"))
+    c = columns(catalog).select(F.concat_ws("::", "db_id", F.lit("col"), dotted).alias("doc_id"), "db_id", F.lit("column").alias("type"),
+                                text(line("Column", dotted), line("Type", F.col("type"), flag)).alias("text"))
     to = F.concat_ws(".", "to_table", "to_column")
     hint = F.concat(F.col("table"), F.lit(" JOIN "), F.col("to_table"), F.lit(" ON "), dotted, F.lit(" = "), to)
-    f = foreign_keys(catalog).select(F.concat_ws("::", "db_id", F.lit("fk"), F.concat_ws("->", dotted, to)).alias("doc_id"), "db_id", F.lit("fk").alias("type"),
+    f = foreign_keys(catalog).select(F.concat_ws("::", "db_id", F.lit("fk"), F.col("pos").cast("string")).alias("doc_id"), "db_id", F.lit("fk").alias("type"),
                                      text(line("ForeignKey", dotted, F.lit(" -> "), to), line("JoinHint", hint)).alias("text"))
     return t.unionByName(c).unionByName(f)
 
@@ -55,15 +66,18 @@ def doc_counts(docs: DataFrame) -> DataFrame:
 
 
 def schema_text(catalog: DataFrame) -> DataFrame:
-    """(db_id, text): a database's tables with their first columns, then its first keys; both lists are bounded."""
-    place = Window.partitionBy("db_id", "tbl").orderBy("col")
-    cols = columns(catalog).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= MAX_COLUMNS)
-    lines = cols.groupBy("db_id", "tbl", "table").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "column"))), lambda x: x["column"]), ", ").alias("cols")
-    ).select("db_id", F.lit(0).alias("part"), F.col("tbl").alias("at"), F.concat("table", F.lit("("), "cols", F.lit(")")).alias("line"))
-    keys = foreign_keys(catalog).filter(F.col("pos") < MAX_KEYS).select(
-        "db_id", F.lit(1).alias("part"), F.col("pos").alias("at"), F.concat(F.concat_ws(".", "table", "column"), F.lit(" = "), F.concat_ws(".", "to_table", "to_column")).alias("line"))
-    return lines.unionByName(keys).groupBy("db_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """(db_id, text): a database's tables with their first MAX_COLUMNS columns, then its first MAX_KEYS keys."""
+    cols = _with_columns(catalog)
+    shown = F.concat(F.col("column"), F.lit(" "), F.col("type"), F.when(F.col("is_key"), F.lit(" primary_key")).otherwise(""))
+    packed = cols.groupBy("db_id", "tbl", "table").agg(_listed(cols, shown, MAX_COLUMNS).alias("cols"))
+    line = F.when(F.size("cols") > 0, F.concat(F.lit("Table "), "table", F.lit(": "), F.array_join("cols", "; "), F.lit("."))).otherwise(F.concat(F.lit("Table "), "table", F.lit(".")))
+    lines = packed.groupBy("db_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tbl", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    pair = F.concat(F.concat_ws(".", "table", "column"), F.lit(" -> "), F.concat_ws(".", "to_table", "to_column"))
+    keys = foreign_keys(catalog).filter(F.col("pos") < MAX_KEYS).groupBy("db_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", pair.alias("pair")))), lambda x: x["pair"]).alias("keys"))
+    end = F.when(F.col("keys").isNotNull(), F.concat(F.lit("Foreign keys: "), F.array_join("keys", "; "), F.lit(".")))
+    head = F.concat(F.lit("Database "), F.col("db_id"), F.lit("."))
+    return lines.join(keys, "db_id", "left").select("db_id", F.concat_ws("\n", head, F.array_join("lines", "\n"), end).alias("text"))
 
 
 def schema_links(pool: DataFrame, catalog: DataFrame) -> DataFrame:

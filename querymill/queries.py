@@ -584,10 +584,12 @@ _COLS = """
 WITH raw AS (SELECT db_id, table_names_original AS tn, column_types AS ct, primary_keys AS pk, UNNEST(column_names_original) AS c, UNNEST(range(0, len(column_names_original))) AS col FROM db_catalog),
  cols AS (SELECT db_id, c.tbl AS tbl, tn[c.tbl + 1] AS tname, col, c.name AS cname, COALESCE(ct[col + 1], 'unknown') AS ctype, COALESCE(list_contains(pk, col), FALSE) AS is_key FROM raw WHERE c.tbl >= 0),
  fkr AS (SELECT db_id, table_names_original AS tn, column_names_original AS cn, UNNEST(foreign_keys) AS fk, UNNEST(range(0, len(foreign_keys))) AS pos FROM db_catalog WHERE foreign_keys IS NOT NULL),
- fks AS (SELECT db_id, pos, tn[cn[fk[1] + 1].tbl + 1] AS tname, cn[fk[1] + 1].name AS cname, tn[cn[fk[2] + 1].tbl + 1] AS to_table, cn[fk[2] + 1].name AS to_column FROM fkr WHERE len(fk) >= 2),
- docs AS (SELECT db_id || '::table::' || tname AS doc_id, db_id, 'table' AS type, 'Database: ' || db_id || chr(10) || 'Table: ' || tname || chr(10) || 'Columns: ' || string_agg(cname || ':' || ctype || CASE WHEN is_key THEN ' [PK]' ELSE '' END, ', ' ORDER BY col) AS text FROM cols GROUP BY db_id, tbl, tname
-  UNION ALL SELECT db_id || '::column::' || tname || '.' || cname, db_id, 'column', 'Database: ' || db_id || chr(10) || 'Column: ' || tname || '.' || cname || chr(10) || 'Type: ' || ctype FROM cols
-  UNION ALL SELECT db_id || '::fk::' || tname || '.' || cname || '->' || to_table || '.' || to_column, db_id, 'fk', 'Database: ' || db_id || chr(10) || 'ForeignKey: ' || tname || '.' || cname || ' -> ' || to_table || '.' || to_column || chr(10) || 'JoinHint: ' || tname || ' JOIN ' || to_table || ' ON ' || tname || '.' || cname || ' = ' || to_table || '.' || to_column FROM fks)
+ fks AS (SELECT db_id, pos, tn[cn[fk[1] + 1].tbl + 1] AS tname, cn[fk[1] + 1].name AS cname, tn[cn[fk[2] + 1].tbl + 1] AS to_table, cn[fk[2] + 1].name AS to_column FROM fkr WHERE len(fk) >= 2 AND cn[fk[1] + 1].tbl >= 0 AND cn[fk[2] + 1].tbl >= 0),
+ tabs AS (SELECT db_id, UNNEST(table_names_original) AS tname, UNNEST(range(0, len(table_names_original))) AS tbl FROM db_catalog),
+ tcols AS (SELECT t.db_id, t.tbl, t.tname, col, cname, ctype, is_key FROM tabs t LEFT JOIN cols c ON t.db_id = c.db_id AND t.tbl = c.tbl),
+ docs AS (SELECT db_id || '::table::' || tname AS doc_id, db_id, 'table' AS type, 'Database: ' || db_id || chr(10) || 'Table: ' || tname || chr(10) || 'Columns: ' || COALESCE(string_agg(cname || ':' || ctype || CASE WHEN is_key THEN ' [PK]' ELSE '' END, ', ' ORDER BY col), '') AS text FROM tcols GROUP BY db_id, tbl, tname
+  UNION ALL SELECT db_id || '::col::' || tname || '.' || cname, db_id, 'column', 'Database: ' || db_id || chr(10) || 'Column: ' || tname || '.' || cname || chr(10) || 'Type: ' || ctype || CASE WHEN is_key THEN ' [PK]' ELSE '' END FROM cols
+  UNION ALL SELECT db_id || '::fk::' || CAST(pos AS VARCHAR), db_id, 'fk', 'Database: ' || db_id || chr(10) || 'ForeignKey: ' || tname || '.' || cname || ' -> ' || to_table || '.' || to_column || chr(10) || 'JoinHint: ' || tname || ' JOIN ' || to_table || ' ON ' || tname || '.' || cname || ' = ' || to_table || '.' || to_column FROM fks)
 """
 
 
@@ -610,8 +612,9 @@ def catalog_doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.doc_counts(C.schema_docs(catalog_of(spark, sf_dir)))
 
 
-@query(_COLS + ", l AS (SELECT db_id, 0 AS part, tbl AS spot, tname || '(' || string_agg(cname, ', ' ORDER BY col) || ')' AS line FROM cols GROUP BY db_id, tbl, tname UNION ALL SELECT db_id, 1, pos, tname || '.' || cname || ' = ' || to_table || '.' || to_column FROM fks WHERE pos < 60) "
-       "SELECT db_id, string_agg(line, chr(10) ORDER BY part, spot, line) AS text FROM l GROUP BY db_id")
+@query(_COLS + ", l AS (SELECT db_id, tbl, 'Table ' || tname || COALESCE(': ' || string_agg(cname || ' ' || ctype || CASE WHEN is_key THEN ' primary_key' ELSE '' END, '; ' ORDER BY col), '') || '.' AS line FROM tcols GROUP BY db_id, tbl, tname), "
+       "k AS (SELECT db_id, chr(10) || 'Foreign keys: ' || string_agg(tname || '.' || cname || ' -> ' || to_table || '.' || to_column, '; ' ORDER BY pos) || '.' AS line FROM fks WHERE pos < 60 GROUP BY db_id) "
+       "SELECT l.db_id, 'Database ' || l.db_id || '.' || chr(10) || string_agg(l.line, chr(10) ORDER BY tbl) || COALESCE(MIN(k.line), '') AS text FROM l LEFT JOIN k ON l.db_id = k.db_id GROUP BY l.db_id")
 def catalog_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.schema_text(catalog_of(spark, sf_dir))
 
@@ -622,7 +625,7 @@ def catalog_schema_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.schema_links(read(spark, sf_dir, "candidate_pool"), catalog_of(spark, sf_dir))
 
 
-_IDENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda w: LOWER(w)), lambda w: LENGTH(w) >= 2)"
+_IDENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda w: LOWER(w)), lambda w: LENGTH(w) >= 2)"
 _PLURAL = "CASE WHEN suffix(w, 'ies') AND LENGTH(w) > 4 THEN LEFT(w, LENGTH(w) - 3) || 'y' WHEN suffix(w, 'es') AND LENGTH(w) > 4 THEN LEFT(w, LENGTH(w) - 2) WHEN suffix(w, 's') AND LENGTH(w) > 3 THEN LEFT(w, LENGTH(w) - 1) ELSE w END"
 _RELEVANT = _COLS + f""", t AS (SELECT LOWER(TRIM(db_id, ' ')) AS db, tname, list_distinct({_IDENT.format('tname')}) AS tw, list_distinct(flatten(list({_IDENT.format('cname')}))) AS cw, list({_IDENT.format('cname')}) AS each FROM cols GROUP BY db_id, tbl, tname),
  a AS (SELECT idx, LOWER(TRIM(db_id, ' ')) AS db, {_IDENT.format('question')} AS w0 FROM question_items WHERE question IS NOT NULL AND db_id IS NOT NULL),
