@@ -38,7 +38,7 @@ _WRAP = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t>]*(?=[^\W\d_])")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [w.lower() for w in WORD.findall(text)]
 
 
 @dataclass
@@ -160,9 +160,8 @@ def best_chain(runs: list[Run]) -> tuple[int, list[Run]]:
 def leaks_in(text: str, index: Index) -> list[tuple[int, float, list[tuple[int, int]]]]:
     """(item, share of its words held, character spans) for every item that leaked into the text."""
     text = _WRAP.sub("", text) if "-" in text else text
-    spots = list(WORD.finditer(text.lower()))
     get = index.vocabulary.get
-    ids = np.fromiter((get(m.group(), 0) for m in spots), np.int64, len(spots))
+    ids = np.array([get(w, 0) for w in words_of(text)], np.int64)
     grams = _grams(ids, len(index.vocabulary) + 1)
     if not len(grams) or not len(index.codes):
         return []
@@ -172,13 +171,16 @@ def leaks_in(text: str, index: Index) -> list[tuple[int, float, list[tuple[int,
     for d in hits.tolist():
         for k in range(index.starts[at[d]], index.starts[at[d] + 1]):
             by_item.setdefault(int(index.items[k]), []).append((d, int(index.places[k])))
-    found = []
+    found: list[tuple[int, float, list[tuple[int, int]]]] = []
+    if not by_item:
+        return found
+    spots = [m.span() for m in WORD.finditer(text)]
     for item, pairs in by_item.items():
         if len(pairs) * N < SHARE * index.lengths[item]:
             continue  # even disjoint hits wouldn't hold enough words
         held, chain = best_chain(runs_of(pairs, index.own[item]))
         if held >= SHARE * index.lengths[item]:
-            spans = [(spots[r.doc].start(), spots[r.doc_end - 1].end()) for r in chain]
+            spans = [(spots[r.doc][0], spots[r.doc_end - 1][1]) for r in chain]
             found.append((index.ids[item], held / index.lengths[item], spans))
     return found
 

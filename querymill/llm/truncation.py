@@ -52,7 +52,6 @@ TOKEN = re.compile(r"[^\W_]+(?:[_.'’-][^\W_]+)*_?|[^\w\s]|\n+")
 WORD = re.compile(r"[^\W\d]\w*")
 STATEMENT = re.compile(r"(?im)^[ \t>]*(select\b)")
 CLAUSE = re.compile(r"(?i)[\s>]*(?:from|where|group|order|limit|having|join|left|inner|on|and|or|union|offset|$)")
-WHOLE_STATEMENTS = re.compile(r"(?ims)^[ \t]*(select\b[^;]{1,2000});")
 _FINAL = ".!?;"
 _OPENERS = frozenset(",:(-/=<&+|[{")
 _BEFORE_FIRST = frozenset("*-#>.!?\n")
@@ -145,12 +144,34 @@ def json_open(text: str) -> bool | None:
     return None
 
 
+def whole_statements(body: str) -> Iterator[str]:
+    """The statements that open a line and end in a semicolon."""
+    *parts, _ = body.split(";")
+    for part in parts:
+        start = -1
+        for m in STATEMENT.finditer(part):
+            start = m.start(1)
+        if start >= 0:
+            yield part[start:]
+
+
+def last_word(body: str) -> str:
+    """The word that the text ends with, or nothing."""
+    at = len(body)
+    while at and (body[at - 1].isalnum() or body[at - 1] == "_"):
+        at -= 1
+    m = WORD.search(body, at)
+    return m.group().lower() if m else ""
+
+
 def _last_statement(body: str) -> str:
     """The statement without semicolon that ends the text, or nothing."""
-    starts = [m.start(1) for m in STATEMENT.finditer(body[-4000:])]
-    if not starts:
+    start = -1
+    for m in STATEMENT.finditer(body, body.rfind(";") + 1):
+        start = m.start(1)
+    if start < 0:
         return ""
-    statement = body[-4000:][starts[-1]:]
+    statement = body[start:]
     outside = re.sub(r"'[^'\n]*'|\"[^\"\n]*\"|`[^`\n]*`", "", statement)
     if ";" in outside or "\n\n" in outside or re.search(r"[.!?](?:\s|$)", outside):
         return ""
@@ -167,8 +188,7 @@ def look(text: str) -> tuple[str, int, str, str]:
     if state is not None:
         return body, CUT if state else WHOLE, "", ""
     last = body[-1]
-    found = WORD.findall(body[-200:]) if last.isalnum() or last == "_" else []
-    word = found[-1].lower() if found and body.endswith(found[-1]) else ""
+    word = last_word(body)
     if statement := _last_statement(body):
         if _open_literal(statement):
             return body, CUT, "", ""
@@ -182,7 +202,10 @@ def look(text: str) -> tuple[str, int, str, str]:
         return body, CUT, "", ""
     if not (last.isalnum() or last == "_"):
         return body, WHOLE, "", ""
-    run = (["\n", "\n"] + tokens(body[-400:]))[-3:]
+    ending = tokens(body[-400:])
+    if len(ending) < 5:  # the text is short, or its last tokens are long
+        ending = tokens(body)
+    run = (["\n", "\n"] + ending)[-3:]
     return body, PROSE, "\t".join(run), word
 
 
@@ -240,8 +263,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.update(raw)
             words[raw[-1]] -= 1  # a last word may be a piece
             if "elect" in body or "ELECT" in body:
-                for m in WHOLE_STATEMENTS.finditer(body):
-                    sql.update(contexts(m.group(1)))
+                for statement in whole_statements(body):
+                    sql.update(contexts(statement))
         if len(runs) + len(words) > HELD:
             yield flush()
     if runs or words or closing:
