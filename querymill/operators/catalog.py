@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_words, plural_forms
@@ -124,3 +124,21 @@ def induced_keys(chosen: DataFrame, catalog: DataFrame) -> DataFrame:
     fk = foreign_keys(catalog).select(F.lower(F.trim("db_id")).alias("db"), "table", "to_table").distinct()
     left = chosen.select("idx", "db", "table").join(fk, ["db", "table"])
     return left.join(chosen.select("idx", F.col("table").alias("to_table")), ["idx", "to_table"], "left_semi").select("idx", "table", "to_table")
+
+
+def tables_with_bridges(items: DataFrame, catalog: DataFrame, top: int = 3) -> DataFrame:
+    """(idx, table, place): the relevant tables; where there are fewer than ``top``, tables that keys connect to them follow."""
+    best = relevant_tables(items, catalog, top)
+    dbs = items.filter("db_id IS NOT NULL").select("idx", F.lower(F.trim("db_id")).alias("db"))
+    more = bridges(best.join(dbs, "idx").select("idx", "db", "table"), catalog)
+    both = best.select("idx", "table", F.lit(0).alias("bridge"), F.col("place").cast("bigint").alias("order")).union(
+        more.select("idx", "table", F.lit(1).alias("bridge"), (-F.col("links")).alias("order")))
+    place = F.row_number().over(Window.partitionBy("idx").orderBy("bridge", "order", "table"))
+    return both.withColumn("place", place).filter(F.col("place") <= top).select("idx", "table", "place")
+
+
+def ordered_docs(docs: DataFrame, limit: int = 120) -> DataFrame:
+    """(db_id, doc_id, place): a database's chunks, tables before keys before columns, the first ``limit``."""
+    rank = F.when(F.col("type") == "table", 0).when(F.col("type") == "fk", 1).when(F.col("type") == "column", 2).otherwise(99)
+    place = F.row_number().over(Window.partitionBy("db_id").orderBy(rank, "doc_id"))
+    return docs.withColumn("place", place).filter(F.col("place") <= limit).select("db_id", "doc_id", "place")

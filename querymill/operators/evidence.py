@@ -96,3 +96,14 @@ def within_budget(repair: DataFrame, budget: int) -> DataFrame:
     return due.orderBy("repair_id").limit(budget).select("repair_id", "idx")
 
 
+
+
+def first_success(ev: DataFrame) -> DataFrame:
+    """Per question and backend the first stage that ran, else the last one tried."""
+    last_first = F.when(F.col("ok"), -F.col("stage_rank")).otherwise(F.col("stage_rank"))
+    return first_by(ev, ["idx", "backend"], [~F.col("ok"), last_first, F.col("sql_key"), F.col("stage")], ["stage", "ok"])
+
+
+def support_histogram(ev: DataFrame) -> DataFrame:
+    """How many questions have their selected statement agreed on by how many backends."""
+    return by_evidence(ev).groupBy("n_same").agg(F.count("*").alias("questions"), F.sum("n_ok").alias("runs"))

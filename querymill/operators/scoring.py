@@ -174,3 +174,55 @@ def kind_priority(kind: Column) -> Column:
     return out
 
 
+
+
+def type_profile(result: Column, rows: int = 5) -> Column:
+    """Types of the cells of the first rows, counted: "types=int:2,text:3"."""
+    cells = F.flatten(F.slice(F.try_variant_get(F.try_parse_json(result), "$", "array<array<variant>>"), 1, rows))
+    raw = F.transform(cells, F.schema_of_variant)
+    name = lambda t: (F.when(t == "VOID", "null").when(t == "BOOLEAN", "bool").when(t.isin("BIGINT", "INT"), "int")
+                      .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "float").when(t == "STRING", "text").otherwise("other"))
+    names = F.transform(raw, name)
+    kinds = ("bool", "float", "int", "null", "other", "text")
+    part = lambda k: F.when(F.exists(names, lambda x: x == k), F.concat(F.lit(f"{k}:"), F.size(F.filter(names, lambda x: x == k)).cast("string")))
+    parts = F.array(*[part(k) for k in kinds])
+    text = F.array_join(F.filter(parts, lambda x: x.isNotNull()), ",")
+    return F.when(cells.isNull() | (F.size(cells) == 0), "types=unknown").otherwise(F.concat(F.lit("types="), text))
+
+
+def result_summary(result: Column, rows: int = 3, chars: int = 500) -> Column:
+    """A result as one line: shape and a sample of its first rows."""
+    from ..functions.equality import rows_of, shape
+    from ..functions.text import shorten
+
+    s = shape(result)
+    sample = shorten(F.to_json(F.slice(rows_of(result), 1, rows)), chars)
+    full = F.concat(F.lit("result=non_empty; rows="), s["rows"].cast("string"), F.lit("; cols="), s["cols"].cast("string"), F.lit("; scalar="), s["scalar"].cast("string"),
+                    F.lit("; "), type_profile(result), F.lit("; sample="), sample)
+    return F.when(result.isNull(), "result=NULL").when(s["empty"], "result=empty; rows=0; cols=0").otherwise(full)
+
+
+def candidate_text(pool: DataFrame, items: DataFrame, schemas: DataFrame, schema_chars: int = 4500) -> DataFrame:
+    """(pool_id, text): what a ranker reads of a candidate: question, schema, statement and evidence; labels stay out."""
+    from ..functions.text import shorten
+
+    totals = pool.groupBy("idx").agg(F.count_if("ok").alias("n_ok"))
+    asked = items.filter("idx IS NOT NULL").select("idx", "question", F.lower(F.trim("db_id")).alias("db")).dropDuplicates(["idx"])
+    described = schemas.select(F.lower(F.trim("db_id")).alias("db"), shorten(F.col("text"), schema_chars).alias("schema"))
+    full = structures(with_support(pool)).join(totals, "idx").join(asked, "idx", "left").join(described, "db", "left")
+    squeeze = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Question: "), squeeze(F.col("question"))), F.concat(F.lit("Database id: "), F.coalesce("db", F.lit(""))), F.lit("Schema:"), F.coalesce("schema", F.lit("")),
+        F.concat(F.lit("Candidate metadata: source="), "source", F.lit("; variant="), "variant"), F.lit("SQL:"), normal_sql(F.col("sql"), lower=False),
+        F.concat(F.lit("Execution evidence: exec_ok="), F.col("ok").cast("string"), F.lit("; result_support="), F.col("support").cast("string"), F.lit("/"), F.col("n_ok").cast("string")),
+        F.concat(F.lit("Result evidence: "), result_summary(F.col("result"))), F.concat(F.lit("SQL structure: "), F.col("structure")))
+    return full.select("pool_id", text.alias("text"))
+
+
+def training_counts(pool: DataFrame) -> DataFrame:
+    """Questions by what they offer for training."""
+    per = pool.groupBy("idx").agg(
+        F.max("labeled").alias("labeled"), F.max(F.col("labeled") & F.col("ok") & F.col("correct")).alias("right"),
+        F.max(F.col("labeled") & F.col("ok") & ~F.col("correct")).alias("hard"), F.max(~F.col("ok")).alias("failed"), F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("questions"), F.sum("n").alias("candidates"), F.count_if("labeled").alias("labeled"), F.count_if("right").alias("with_right"),
+                   F.count_if("hard").alias("with_hard_wrong"), F.count_if(F.col("right") & F.col("hard")).alias("with_both"), F.count_if("failed").alias("with_failed"))

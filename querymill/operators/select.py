@@ -200,3 +200,14 @@ SELECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "oracle_model": oracle_model, "priority_with_variant": priority_with_variant, "consensus": consensus, "oracle_consensus": oracle_consensus,
     "semantic_score": semantic_score, "hybrid": hybrid,
 }
+
+
+def correction_cases(pool: DataFrame, min_alternatives: int = 1) -> DataFrame:
+    """(idx, results, alternatives): questions worth judging: the consensus runs, others differ from it, results disagree.
+
+    Distinct results are counted over one row per question and result.
+    """
+    results = pool.filter("ok").groupBy("idx", "key").agg(F.count("*").alias("n")).groupBy("idx").agg(F.count("*").alias("results"))
+    others = alternatives(pool).groupBy("idx").agg(F.count("*").alias("alternatives"))
+    runs = consensus(pool).filter("ok").select("idx")
+    return runs.join(results.filter("results >= 2"), "idx").join(others.filter(F.col("alternatives") >= min_alternatives), "idx")

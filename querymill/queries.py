@@ -530,6 +530,7 @@ def json_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- equality of results
 
+_ROWS_JSON = "CAST(CAST(result AS JSON) AS JSON[])"
 _ROWS = "CAST(from_json(result, '[[\"VARCHAR\"]]') AS VARCHAR[][])"
 
 
@@ -817,3 +818,51 @@ def select_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = RK.train(RK.pair_differences(PR.preference_pairs(pool), features))
     scored = pool.drop("score").join(features, "pool_id").withColumn("score", F.round(RK.weighted(F.col("features"), weights), 6))
     return S.semantic_score(scored)
+
+
+# --- more of evidence, selection and catalog
+
+@query(EVIDENCE + "SELECT idx, backend, stage, ok FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx, backend ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, CASE WHEN ok THEN -stage_rank ELSE stage_rank END, sql_key, stage) AS r FROM ev) t WHERE r = 1")
+def evidence_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.first_success(evidence_of(spark, sf_dir))
+
+
+@query(EVIDENCE + "SELECT n_same, COUNT(*) AS questions, CAST(SUM(n_ok) AS BIGINT) AS runs FROM chosen GROUP BY n_same")
+def evidence_support_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.support_histogram(evidence_of(spark, sf_dir))
+
+
+@query(_ALT + ", a AS (SELECT idx, COUNT(*) AS alternatives FROM alt GROUP BY idx), r AS (SELECT idx, COUNT(DISTINCT key) AS results FROM pool WHERE ok GROUP BY idx) SELECT b.idx, results, alternatives FROM b JOIN r ON b.idx = r.idx JOIN a ON b.idx = a.idx WHERE b.ok AND results >= 2")
+def correction_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.correction_cases(pool_of(spark, sf_dir))
+
+
+@query(POOL + "SELECT COUNT(*) AS questions, CAST(SUM(n) AS BIGINT) AS candidates, COUNT(*) FILTER (l) AS labeled, COUNT(*) FILTER (r) AS with_right, COUNT(*) FILTER (h) AS with_hard_wrong, COUNT(*) FILTER (r AND h) AS with_both, COUNT(*) FILTER (f) AS with_failed "
+       "FROM (SELECT idx, COUNT(*) AS n, BOOL_OR(labeled) AS l, BOOL_OR(labeled AND ok AND correct) AS r, BOOL_OR(labeled AND ok AND NOT correct) AS h, BOOL_OR(NOT ok) AS f FROM pool GROUP BY idx) t")
+def training_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SC.training_counts(pool_of(spark, sf_dir))
+
+
+@query(f"WITH r AS (SELECT pool_id, CASE WHEN result IS NULL THEN NULL ELSE flatten(list_transform(({_ROWS_JSON})[1:5], lambda x: CAST(x AS JSON[]))) END AS cells FROM candidate_pool WHERE idx IS NOT NULL), "
+       "n AS (SELECT pool_id, list_transform(cells, lambda c: CASE json_type(c) WHEN 'VARCHAR' THEN 'text' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' ELSE 'other' END) AS t FROM r) "
+       "SELECT pool_id, CASE WHEN t IS NULL OR len(t) = 0 THEN 'types=unknown' ELSE 'types=' || array_to_string(list_filter(list_transform(['bool', 'float', 'int', 'null', 'other', 'text'], lambda k: CASE WHEN list_contains(t, k) THEN k || ':' || CAST(len(list_filter(t, lambda x: x = k)) AS VARCHAR) END), lambda z: z IS NOT NULL), ',') END AS profile FROM n")
+def result_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool_of(spark, sf_dir).select("pool_id", SC.type_profile(F.col("result")).alias("profile"))
+
+
+@query()
+def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest of what a ranker reads of every candidate."""
+    texts = SC.candidate_text(pool_of(spark, sf_dir), read(spark, sf_dir, "question_items"), C.schema_text(catalog_of(spark, sf_dir)))
+    return texts.select("pool_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query(_RELEVANT + _EDGES.format(3) + ', br AS (SELECT ch.idx, e.b AS t, COUNT(*) AS links FROM ch JOIN e ON ch.db = e.db AND ch."table" = e.a WHERE NOT EXISTS (SELECT 1 FROM ch x WHERE x.idx = ch.idx AND x."table" = e.b) GROUP BY ch.idx, e.b), '
+       'u AS (SELECT idx, "table", 0 AS bridge, place AS o FROM r WHERE place <= 3 UNION ALL SELECT idx, t, 1, -links FROM br) SELECT idx, "table", CAST(place AS INTEGER) AS place FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY bridge, o, "table") AS place FROM u) v WHERE place <= 3')
+def catalog_tables_with_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.tables_with_bridges(read(spark, sf_dir, "question_items"), catalog_of(spark, sf_dir))
+
+
+@query(_COLS + "SELECT db_id, doc_id, CAST(place AS INTEGER) AS place FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY db_id ORDER BY CASE type WHEN 'table' THEN 0 WHEN 'fk' THEN 1 ELSE 2 END, doc_id) AS place FROM docs) t WHERE place <= 120")
+def catalog_ordered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.ordered_docs(C.schema_docs(catalog_of(spark, sf_dir)))
