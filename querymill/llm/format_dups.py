@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .runtime import cut, salt_of
 from .statements import canonical_result, canonical_statement
 
-#: Entries that a task keeps from one batch to the next; beyond it the task's dictionary starts anew.
-DICTIONARY_ENTRIES = 20_000
+#: Characters that a task's dictionary holds from one batch to the next; beyond them it starts anew.
+DICTIONARY_CHARS = 16_000_000
 SALTS = 32
 
 _NULL = -1
@@ -40,18 +40,20 @@ def _identifier(text: str) -> int:
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     statements: dict[str | None, tuple[int, tuple[int, ...]]] = {}
     results: dict[tuple[str | None, tuple[int, ...]], int] = {}
+    held = 0
     for batch in batches:
         sql = batch.column(2).dictionary_encode()
         res = batch.column(3).dictionary_encode()
-        if len(statements) > DICTIONARY_ENTRIES:
+        if held > DICTIONARY_CHARS:
             statements.clear()
-        if len(results) > DICTIONARY_ENTRIES:
             results.clear()
+            held = 0
         own = []
         for text in sql.dictionary.to_pylist():
             known = statements.get(text)
             if known is None:
                 form, order = canonical_statement(text)
+                held += len(text)
                 known = statements[text] = (_identifier(form), order)
             own.append(known)
         texts = res.dictionary.to_pylist()
@@ -65,6 +67,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = (texts[r], order)
             known = results.get(key)
             if known is None:
+                held += len(key[0])
                 known = results[key] = _identifier(canonical_result(texts[r], order))
             res_ids.append(known)
         yield pa.RecordBatch.from_arrays(

@@ -42,8 +42,8 @@ SEEN = 4
 FRAGMENT = 50
 #: Texts that must end with a run that never goes on, for it to be a sign-off.
 SIGN_OFF = 3
-#: Distinct runs a task holds before it hands its counts on.
-HELD = 200_000
+#: Distinct runs, and characters counted, after which a task hands its counts on.
+HELD, HELD_CHARS = 200_000, 32_000_000
 
 # What may stand behind a cut, besides blanks.
 _BLANKS = " \t\r\n\x0b\x0c\x85\xa0\u2028\u2029\u200b…�"
@@ -89,7 +89,8 @@ def _class(tok: str) -> str:
         found = "^" if head.isupper() else tok.lower()
     if len(_KNOWN) > HELD:
         _KNOWN.clear()
-    _KNOWN[tok] = found
+    if len(tok) <= 64:
+        _KNOWN[tok] = found
     return found
 
 
@@ -251,11 +252,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(keys, pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())],
             names=["key", "ends", "total"])
 
+    chars = 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
             body = without_mark(text)
             if not body:
                 continue
+            chars += len(body)
             raw = TOKEN.findall(body)
             s = ["\n", "\n", *classes_of(raw)]
             runs.update(zip(s, s[1:], s[2:], s[3:]))  # the last run, which nothing follows, stays out
@@ -265,7 +268,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if "elect" in body or "ELECT" in body:
                 for statement in whole_statements(body):
                     sql.update(contexts(statement))
-        if len(runs) + len(words) > HELD:
+        if len(runs) + len(words) > HELD or chars > HELD_CHARS:
+            chars = 0
             yield flush()
     if runs or words or closing:
         yield flush()
