@@ -7,7 +7,8 @@ Two signs, both measured over all texts:
   terminal contexts, is a field limit; a text of that length without terminal punctuation is cut.
 * Terminal contexts. All runs of three tokens (words, with numbers, names and identifiers as classes) are
   counted with how often a sentence or line ends behind them. A text whose last run hardly ever ends one is cut,
-  as is one whose last word begins a word that occurs FRAGMENT times as often inside texts. A run that ends
+  as is one whose last word begins a word that occurs FRAGMENT times as often inside texts, or any word if
+  nothing else has it behind the two tokens before it. A run that ends
   several texts and never goes on is a sign-off. JSON left open is cut; statements have their own contexts.
 
 Counts are shuffled pre-aggregated; every distinct ending is looked up once and its verdict joined back, so that
@@ -40,6 +41,8 @@ END_SHARE = 0.05
 SEEN = 4
 #: How much more often a longer word must occur for the last word to be a piece of it.
 FRAGMENT = 50
+#: How often the two tokens before the last must occur for a piece of a word behind them to show.
+LEFT = 25
 #: Texts that must end with a run that never goes on, for it to be a sign-off.
 SIGN_OFF = 3
 #: Distinct runs, and characters counted, after which a task hands its counts on.
@@ -96,7 +99,25 @@ def _class(tok: str) -> str:
 
 def tokens(text: str) -> list[str]:
     """Tokens as classes; the first word of a sentence, line or list item counts as if it were written small."""
-    return classes_of(TOKEN.findall(text))
+    return classes_of(unwrapped(TOKEN.findall(text)))
+
+
+def unwrapped(raw: list[str]) -> list[str]:
+    """The tokens without line breaks, and the quote marks after them, that a small letter follows: wrapped lines go on."""
+    out: list[str] = []
+    start = at = 0
+    try:
+        while True:
+            at = raw.index("\n", at)
+            after = at + 1
+            while after < len(raw) and raw[after] == ">":
+                after += 1
+            if after < len(raw) and raw[after][0].islower():
+                out += raw[start:at]
+                start = after
+            at = after
+    except ValueError:
+        return out + raw[start:] if start else raw
 
 
 def classes_of(raw: list[str]) -> list[str]:
@@ -259,7 +280,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not body:
                 continue
             chars += len(body)
-            raw = TOKEN.findall(body)
+            raw = unwrapped(TOKEN.findall(body))
             s = ["\n", "\n", *classes_of(raw)]
             runs.update(zip(s, s[1:], s[2:], s[3:]))  # the last run, which nothing follows, stays out
             closing[tuple(s[-3:])] += 1
@@ -302,6 +323,7 @@ def _endings(features: DataFrame, texts: DataFrame) -> DataFrame:
         F.struct(F.lit("r3").alias("slot"), F.when(prose, F.concat(F.lit("3"), "run")).alias("key")),
         F.struct(F.lit("r2").alias("slot"), F.when(prose, F.concat(F.lit("2"), F.get(parts, 1), F.lit("\t"), F.get(parts, 2))).alias("key")),
         F.struct(F.lit("r1").alias("slot"), F.when(prose, F.concat(F.lit("1"), F.get(parts, 2))).alias("key")),
+        F.struct(F.lit("lf").alias("slot"), F.when(prose, F.concat(F.lit("2"), F.get(parts, 0), F.lit("\t"), F.get(parts, 1))).alias("key")),
         F.struct(F.lit("sq").alias("slot"), F.when(~prose, F.concat(F.lit("S"), "run")).alias("key")),
         F.struct(F.lit("cl").alias("slot"), F.when(prose, F.concat(F.lit("T"), "run")).alias("key")),
         F.struct(F.lit("wd").alias("slot"), F.concat(F.lit("W"), "word").alias("key")),
@@ -309,7 +331,7 @@ def _endings(features: DataFrame, texts: DataFrame) -> DataFrame:
     asks = asked.select("verdict", "run", "word", F.explode(keys).alias("x")).select("verdict", "run", "word", "x.*")
     met = asks.join(counts, "key", "left").groupBy("verdict", "run", "word").agg(
         *[F.coalesce(F.max(F.when(F.col("slot") == s, F.col(v))), F.lit(0)).alias(f"{s}_{v}")
-          for s in ("r3", "r2", "r1", "sq", "cl", "wd") for v in ("ends", "total")])
+          for s in ("r3", "r2", "r1", "lf", "sq", "cl", "wd") for v in ("ends", "total")])
     # the most frequent word that a last word begins
     last = met.filter("word <> ''").select("word").distinct()
     long_words = counts.filter(F.col("key").startswith("W")).select(F.expr("substring(key, 2)").alias("longer"), "total")
@@ -328,7 +350,9 @@ def _endings(features: DataFrame, texts: DataFrame) -> DataFrame:
     )  # a lower-case word that is nowhere else a word is a piece of one
     sign_off = (F.col("r3_total") == 0) & (F.col("cl_total") >= SIGN_OFF)
     sql_cut = (F.col("sq_total") >= SEEN) & (F.col("sq_ends") < END_SHARE * F.col("sq_total"))
-    fragment = F.coalesce(F.col("longer_total") > FRAGMENT * F.col("wd_total"), F.lit(False))
+    # a word that nothing else has in this place, and that begins another
+    strange = prose & (F.col("lf_total") >= LEFT) & (F.col("r3_total") + more < SEEN) & F.get(parts, 2).rlike(r"^\p{Ll}+$")
+    fragment = F.coalesce((F.col("longer_total") > FRAGMENT * F.col("wd_total")) | (strange & F.col("longer_total").isNotNull()), F.lit(False))
     decided = F.when(fragment, True).when(F.col("verdict") == SQL, sql_cut).when(
         sign_off, False).otherwise(share < END_SHARE)
     return met.join(begins, "word", "left").select("verdict", "run", "word", decided.alias("open"))
