@@ -1,18 +1,18 @@
 """Problem 2: records of the evaluation splits that also stand, exactly or almost, in the training split.
 
 Every record gets a 128-bit similarity hash of its question (character trigrams of the normalised words) and a
-64-bit identifier of its statement without formatting. Exact copies are first collapsed into classes. The code
-is cut into 32 segments of 4 bits; classes of the two sides meet if they share a statement and one segment, are
-kept within the Hamming radius, and are then verified on their words. Two codes that differ in at most 31 bits
-must share a segment, and with a third of the bits differing they still do with probability 0.9999.
+64-bit identifier of its statement without formatting. Exact copies are first collapsed into classes. Classes of
+the two sides meet if they share a statement and the multiset of their numbers, which the verifier demands; they are
+kept within the Hamming radius and a length that the verifier can accept, and are then verified on their words.
 
-A statement with more than DENSE distinct questions would fill so small segments. There the keys are two segments
-of 8 bits at a time, all 120 pairs of them, so that a bucket holds 1/65,536 of the statement's questions and none
-is left out (with an eighth of the bits differing two classes meet with probability 0.99).
+A block with more than DENSE distinct questions on a side is dealt to several tasks: the training classes are cut
+into parts, the evaluation classes too, and every part meets every part of the other side once, so that a crowded
+statement gives what a small one gives. What it costs there are comparisons of codes, as many as the product of the
+two sides; the parts are large, so that few copies of a class are shuffled.
 
-The join is keyed by statement and segment, so that only records with the same statement on both sides are
-fingerprinted pairs at all; statements without a partner are dropped before the segments are made. Copies are
-expanded into pairs only at the very end, where the result asks for pairs of records.
+The join is keyed by statement and numbers, so that only records with the same statement on both sides are compared
+at all; statements and numbers without a partner are dropped before. Copies are expanded into pairs only at the very
+end, where the result asks for pairs of records.
 
 Defined results: records with a null split, a null or blank question or a null or blank statement are no cases;
 questions without any word are equal to each other; a record never meets one of its own side; records sent
@@ -29,30 +29,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import cut
 from .statements import plain_statement
 
 WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
-BITS, SEGMENT, LONG_SEGMENT = 128, 4, 8
+BITS = 128
 RADIUS = 52
-#: Distinct questions of a statement from which two long segments make a key.
-DENSE = 2000
+#: Distinct questions of a statement, with the same numbers and of one side, from which they are dealt out, and those of a part.
+DENSE, PART = 2000, 16_384
 #: Share of the longer question's words that may be changed, dropped or misspelt, and the number always allowed.
 CHANGED_SHARE, CHANGED_WORDS = 0.45, 3
 _BUCKETS = 4096
 #: Trigrams that are looked up at once.
 GRAMS = 65_536
 _SIGNS = np.where(np.random.default_rng(20240501).integers(0, 2, (_BUCKETS, BITS)) > 0, 1, -1).astype(np.int8)
-_ENCODED = "rid bigint, train boolean, stmt bigint, txt bigint, words string, code0 bigint, code1 bigint"
+_ENCODED = "rid bigint, train boolean, stmt bigint, txt bigint, nums bigint, n int, words string, code0 bigint, code1 bigint"
 
 
 def normal_words(text: str) -> str:
     return " ".join(WORD.findall(text.lower()))
 
 
+def numbers_of(words: str) -> str:
+    """The multiset of numbers, which two equal questions share."""
+    return " ".join(sorted(w for w in words.split() if w[0].isdigit()))
+
+
 def _sums(grams: np.ndarray) -> np.ndarray:
     """The summed vector of a text's trigrams, a bounded number of them at a time."""
     total = np.zeros(BITS, np.int64)
@@ -113,8 +118,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = similarity_codes(words)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), ids(map(plain_statement, batch.column(3).to_pylist())), ids(words),
+             ids(map(numbers_of, words)), pa.array([len(w.split()) for w in words], pa.int32()),
              pa.array(words, pa.string()), pa.array(codes[:, 0]), pa.array(codes[:, 1])],
-            names=["rid", "train", "stmt", "txt", "words", "code0", "code1"],
+            names=["rid", "train", "stmt", "txt", "nums", "n", "words", "code0", "code1"],
         )
 
 
@@ -125,16 +131,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1, 2]).filter(keep)
 
 
-def _segments(width: int) -> list[Column]:
-    return [F.shiftrightunsigned(c, at).bitwiseAND(2**width - 1).cast("int") for c in ("code0", "code1") for at in range(0, 64, width)]
-
-
-def _two_at_a_time(parts: list[Column]) -> Column:
-    """Every pair of segments as one number."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(len(parts)) for j in range(i + 1, len(parts))])
-    return F.transform(pairs, lambda x: F.get(F.array(*parts), x["i"]) * 2**LONG_SEGMENT + F.get(F.array(*parts), x["j"]))
-
-
 def overlapping_pairs(df: DataFrame, record: str = "idx", text: str = "question", statement: str = "gold",
                       split: str = "split", train: str = "train", radius: int = RADIUS) -> DataFrame:
     """(train_rid, eval_rid): every verified pair of a training and an evaluation record."""
@@ -146,19 +142,24 @@ def overlapping_pairs(df: DataFrame, record: str = "idx", text: str = "question"
     both = encoded.groupBy("stmt").agg(F.max("train").alias("t"), F.min("train").alias("e")).filter("t AND NOT e")
     linked = encoded.join(both.select("stmt"), "stmt", "left_semi")
     classes = cut(
-        linked.groupBy("stmt", "txt", "train")
-        .agg(F.first("words").alias("words"), F.first("code0").alias("code0"), F.first("code1").alias("code1"))
+        linked.groupBy("stmt", "nums", "txt", "train")
+        .agg(*[F.first(c).alias(c) for c in ("n", "words", "code0", "code1")])
     )
-    crowded = classes.groupBy("stmt").agg((F.count("*") > DENSE).alias("dense"))
-    keys = F.when(F.col("dense"), _two_at_a_time(_segments(LONG_SEGMENT))).otherwise(F.array(*_segments(SEGMENT)))
-    cut_up = classes.join(crowded, "stmt").select("stmt", "txt", "train", "code0", "code1", F.posexplode(keys).alias("segment", "bits"))
-    side = lambda flag, tag: cut_up.filter(F.col("train") == flag).select(
-        "stmt", "segment", "bits", *[F.col(c).alias(c + tag) for c in ("txt", "code0", "code1")])
+    parts = lambda side: F.when(side <= DENSE, 1).otherwise(F.ceil(side / PART) + 1).cast("int")
+    blocks = classes.groupBy("stmt", "nums").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e")).filter(
+        "t > 0 AND e > 0").select("stmt", "nums", parts(F.col("t")).alias("parts_t"), parts(F.col("e")).alias("parts_e"))
+    placed = classes.drop("words").join(blocks, ["stmt", "nums"])
+    one = lambda of: F.pmod(F.xxhash64("txt"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    side = lambda flag, tag, at_t, at_e: placed.filter(F.col("train") == flag).select(
+        "stmt", "nums", at_t.alias("at_t"), at_e.alias("at_e"), *[F.col(c).alias(c + tag) for c in ("txt", "n", "code0", "code1")])
+    longer = F.greatest("n_t", "n_e")
     near = (
-        side(True, "_t").join(side(False, "_e"), ["stmt", "segment", "bits"])
+        side(True, "_t", one("parts_t"), every("parts_e")).join(side(False, "_e", every("parts_t"), one("parts_e")), ["stmt", "nums", "at_t", "at_e"])
         .filter(F.bit_count(F.col("code0_t").bitwiseXOR(F.col("code0_e")))
                 + F.bit_count(F.col("code1_t").bitwiseXOR(F.col("code1_e"))) <= radius)
-        .select("stmt", "txt_t", "txt_e").distinct()
+        .filter(F.abs(F.col("n_t") - F.col("n_e")) <= F.greatest(F.lit(CHANGED_WORDS), F.floor(longer * F.lit(CHANGED_SHARE))))
+        .select("stmt", "txt_t", "txt_e")
     )
     words = lambda flag, tag: classes.filter(F.col("train") == flag).select(
         "stmt", F.col("txt").alias("txt" + tag), F.col("words").alias("words" + tag))

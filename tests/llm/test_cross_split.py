@@ -72,6 +72,27 @@ def test_recall_against_brute_force(spark, monkeypatch, dense):
     assert got <= truth and len(got) >= 0.97 * len(truth) > 100
 
 
+@pytest.mark.parametrize("dense", [op.DENSE, 3])
+def test_a_crowded_statement_gives_what_a_small_one_gives(spark, monkeypatch, dense):
+    monkeypatch.setattr(op, "DENSE", dense)
+    monkeypatch.setattr(op, "PART", 20)
+    rnd = random.Random(8)
+    vocabulary = [f"{a}{b}{c}" for a in ("sto", "ri", "ka", "plu") for b in ("ne", "mo", "ta") for c in ("r", "s", "lin")]
+    rows = []
+    for g in range(60):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randint(8, 25))] + [str(g % 3)]
+        for _ in range(4):
+            words = list(base)
+            for i in rnd.sample(range(len(words) - 1), int(0.2 * len(words))):
+                words[i] = rnd.choice(vocabulary)
+            rows.append((len(rows), " ".join(words), GOLD, rnd.choice(["train", "test"]), "s"))
+    codes = np.unpackbits(op.similarity_codes([op.normal_words(r[1]) for r in rows]).view(np.uint8), axis=1)
+    truth = {(a[0], b[0]) for a in rows for b in rows if a[3] == "train" and b[3] == "test"
+             and (codes[a[0]] != codes[b[0]]).sum() <= op.RADIUS and op.same_question(op.normal_words(a[1]), op.normal_words(b[1]))}
+    got = found(spark, rows)
+    assert len(truth) > 40 and got == sorted(truth)
+
+
 def test_codes_do_not_depend_on_the_batch():
     texts = ["", "a", "some words here", "gruß aus köln"]
     whole = op.similarity_codes(texts)
