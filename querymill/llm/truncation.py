@@ -3,13 +3,16 @@
 Two signs, both measured over all texts:
 
 * Length spikes. Per source the lengths in characters and bytes, with and without what was put behind a cut,
-  are counted. A length that occurs SPIKE times as often as those around it, half of its texts open by their
-  terminal contexts, is a field limit; a text of that length without terminal punctuation is cut.
+  are counted. A length that occurs SPIKE times as often as those around it is a field limit if half of its texts
+  are open by their terminal contexts, or if it is the source's greatest and its texts end in many ways, which
+  those of a template don't; a text of that length without terminal punctuation is cut.
 * Terminal contexts. All runs of three tokens (words, with numbers, names and identifiers as classes) are
   counted with how often a sentence or line ends behind them. A text whose last run hardly ever ends one is cut,
   as is one whose last word begins a word that occurs FRAGMENT times as often inside texts, or any word if
   nothing else has it behind the two tokens before it. A run that ends
-  several texts and never goes on is a sign-off. JSON left open is cut; statements have their own contexts.
+  several texts and never goes on is a sign-off. Texts that end with a run speak for it as a regular ending only
+  as distinct texts, away from lengths where texts of many endings pile up, and beyond what chance may bring; so
+  copies of a cut text prove nothing. JSON left open is cut; statements have their own contexts.
 
 Counts are shuffled pre-aggregated; every distinct ending is looked up once and its verdict joined back, so that
 an ending shared by a third of all texts costs one row. Lookups are joins, no model is collected.
@@ -25,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +47,10 @@ SEEN = 4
 FRAGMENT = 50
 #: How often the two tokens before the last must occur for a piece of a word behind them to show.
 LEFT = 25
-#: Texts that must end with a run that never goes on, for it to be a sign-off.
+#: Distinct texts that must end with a run that never goes on, for it to be a sign-off.
 SIGN_OFF = 3
+#: Standard errors of a count of closing texts that are left to chance.
+ERRORS = 2
 #: Distinct runs, and characters counted, after which a task hands its counts on.
 HELD, HELD_CHARS = 200_000, 32_000_000
 
@@ -59,7 +65,7 @@ _FINAL = ".!?;"
 _OPENERS = frozenset(",:(-/=<&+|[{")
 _BEFORE_FIRST = frozenset("*-#>.!?\n")
 WHOLE, CUT, PROSE, SQL = 0, 1, 2, 3
-_FEATURES = "doc bigint, src string, chars int, bytes int, body_chars int, body_bytes int, final boolean, verdict int, run string, word string"
+_FEATURES = "doc bigint, src string, chars int, bytes int, body_chars int, body_bytes int, final boolean, verdict int, run string, word string, body bigint"
 
 
 def without_mark(text: str) -> str:
@@ -232,21 +238,21 @@ def look(text: str) -> tuple[str, int, str, str]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string())
+    types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.int64())
     names = [f.split()[0] for f in _FEATURES.split(", ")]
     for batch in batches:
         out: list[tuple] = []
         for doc, src, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             body, verdict, run, word = look(text)
             out.append((doc, src, len(text), len(text.encode()), len(body), len(body.encode()),
-                        body[-1:] in _FINAL and verdict == WHOLE or not body, verdict, run, word))
+                        body[-1:] in _FINAL and verdict == WHOLE or not body, verdict, run, word,
+                        xxhash.xxh64_intdigest(body) - (1 << 63)))
         cols = list(zip(*out)) if out else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs: Counter[tuple[str, str, str, str]] = Counter()
-    closing: Counter[tuple[str, str, str]] = Counter()
     words: Counter[str] = Counter()
     sql: Counter[tuple[str, bool]] = Counter()
 
@@ -264,9 +270,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tok, n in words.items():
             for w in WORD.findall(tok.lower()):
                 total["W" + w] += n
-        for k, n in closing.items():
-            total["T" + "\t".join(k)] += n
-        for c in (runs, closing, words, sql):
+        for c in (runs, words, sql):
             c.clear()
         keys = list(total)
         return pa.RecordBatch.from_arrays(
@@ -283,7 +287,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = unwrapped(TOKEN.findall(body))
             s = ["\n", "\n", *classes_of(raw)]
             runs.update(zip(s, s[1:], s[2:], s[3:]))  # the last run, which nothing follows, stays out
-            closing[tuple(s[-3:])] += 1
             words.update(raw)
             words[raw[-1]] -= 1  # a last word may be a piece
             if "elect" in body or "ELECT" in body:
@@ -292,27 +295,69 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(runs) + len(words) > HELD or chars > HELD_CHARS:
             chars = 0
             yield flush()
-    if runs or words or closing:
+    if runs or words:
         yield flush()
 
 
-def spikes(features: DataFrame) -> DataFrame:
-    """(src, measure, length): the field limits, by source and measure."""
-    measures = ("chars", "bytes", "body_chars", "body_bytes")
-    lengths = features.select("src", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in measures])).alias("x"), "open").select("src", "x.*", "open")
-    counted = lengths.groupBy("src", "measure", "length").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"))
+MEASURES = ("chars", "bytes", "body_chars", "body_bytes")
+
+
+def _lengths(features: DataFrame, *kept: str) -> DataFrame:
+    """The lengths of the distinct texts: copies of one text are not a limit."""
+    return features.select("src", "body", *MEASURES, *kept).distinct().select("src", "body", *kept, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES])).alias("x")).select("src", "body", *kept, "x.*")
+
+
+def piles(features: DataFrame) -> DataFrame:
+    """(src, measure, length, n, greatest, mixed): lengths that occur far more often than those around them.
+
+    ``greatest`` marks the greatest of the source, ``mixed`` one whose distinct texts without terminal punctuation
+    have many distinct endings.
+    """
+    counted = _lengths(features).groupBy("src", "measure", "length").agg(F.count("*").alias("n"))
     # a window over distinct lengths of one source and measure, not over texts
     by = Window.partitionBy("src", "measure").orderBy("length")
     wide = F.coalesce(F.sum("n").over(by.rangeBetween(-AROUND, AROUND)), F.lit(0))
     close = F.coalesce(F.sum("n").over(by.rangeBetween(-CLOSE, CLOSE)), F.lit(0))
     mean = (wide - close) / (2 * (AROUND - CLOSE))
-    return counted.withColumn("around", mean).filter((F.col("n") >= LEAST) & (F.col("n") >= SPIKE * F.col("around"))
-                                                  & (F.col("n_open") >= OPEN_SHARE * F.col("n"))).select(
-        "src", "measure", "length")
+    high = counted.withColumn("around", mean).withColumn("greatest", F.col("length") == F.max("length").over(Window.partitionBy("src", "measure"))).filter(
+        (F.col("n") >= LEAST) & (F.col("n") >= SPIKE * F.col("around"))).drop("around")
+    ending = F.when(F.col("run") != "", F.col("run"))
+    there = _lengths(features.filter(~F.col("final")), "run").join(high.select("src", "measure", "length"), ["src", "measure", "length"])
+    # one row for each distinct text first, then for each ending
+    texts = there.select("src", "measure", "length", "body", ending.alias("run")).distinct()
+    ends = texts.groupBy("src", "measure", "length", "run").agg(F.count("*").alias("n")).groupBy("src", "measure", "length").agg(
+        F.sum("n").alias("bodies"), F.count("run").alias("endings"))
+    mixed = (F.col("bodies") >= LEAST) & (F.col("endings") >= OPEN_SHARE * F.col("bodies"))
+    return high.join(ends, ["src", "measure", "length"], "left").select(
+        "src", "measure", "length", "n", "greatest", F.coalesce(mixed, F.lit(False)).alias("mixed"))
+
+
+def spikes(features: DataFrame, high: DataFrame) -> DataFrame:
+    """(src, measure, length): the field limits, by source and measure."""
+    opened = _lengths(features.filter("open")).groupBy("src", "measure", "length").agg(F.count("*").alias("n_open"))
+    return high.join(opened, ["src", "measure", "length"], "left").filter(
+        (F.coalesce("n_open", F.lit(0)) >= OPEN_SHARE * F.col("n")) | (F.col("greatest") & F.col("mixed"))).select("src", "measure", "length")
+
+
+def _at(features: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The features with ``at``, whether one of their lengths is among the source's ``lengths``."""
+    limits = lengths.groupBy("src").agg(*[
+        F.collect_set(F.when(F.col("measure") == m, F.col("length"))).alias(f"{m}_limits") for m in MEASURES])
+    at = F.lit(False)
+    for m in MEASURES:
+        at = at | F.coalesce(F.array_contains(f"{m}_limits", F.col(m)), F.lit(False))
+    return features.join(limits, "src", "left").withColumn("at", at).drop(*[f"{m}_limits" for m in MEASURES])
+
+
+def _closings(features: DataFrame, high: DataFrame) -> DataFrame:
+    """(key, ends, total): for every run, how many distinct texts end with it, away from mixed piles."""
+    away = _at(features.filter(F.col("verdict") == PROSE), high.filter("mixed")).filter("NOT at")
+    return away.select("run", "body").distinct().groupBy("run").agg(F.count("*").alias("total")).select(
+        F.concat(F.lit("T"), "run").alias("key"), F.lit(0).cast("bigint").alias("ends"), "total")
 
 
-def _endings(features: DataFrame, texts: DataFrame) -> DataFrame:
+def _endings(features: DataFrame, texts: DataFrame, high: DataFrame) -> DataFrame:
     """(verdict, run, word, cut): one verdict for every distinct ending that the contexts decide."""
     counts = cut(texts.mapInArrow(_count, "key string, ends bigint, total bigint").groupBy("key").agg(
         F.sum("ends").alias("ends"), F.sum("total").alias("total")))
@@ -329,7 +374,7 @@ def _endings(features: DataFrame, texts: DataFrame) -> DataFrame:
         F.struct(F.lit("wd").alias("slot"), F.concat(F.lit("W"), "word").alias("key")),
     )
     asks = asked.select("verdict", "run", "word", F.explode(keys).alias("x")).select("verdict", "run", "word", "x.*")
-    met = asks.join(counts, "key", "left").groupBy("verdict", "run", "word").agg(
+    met = asks.join(counts.union(_closings(features, high)), "key", "left").groupBy("verdict", "run", "word").agg(
         *[F.coalesce(F.max(F.when(F.col("slot") == s, F.col(v))), F.lit(0)).alias(f"{s}_{v}")
           for s in ("r3", "r2", "r1", "lf", "sq", "cl", "wd") for v in ("ends", "total")])
     # the most frequent word that a last word begins
@@ -340,8 +385,8 @@ def _endings(features: DataFrame, texts: DataFrame) -> DataFrame:
             "filter(transform(sequence(1, greatest(1, least(length(longer) - 1, 40))), i -> left(longer, i)), p -> p <> longer)")).alias("word"))
         .join(last, "word", "left_semi").groupBy("word").agg(F.max("total").alias("longer_total"))
     )
-    # texts that end with the run count as ends, but for two: the text itself and a copy of it
-    more = F.greatest(F.col("cl_total") - 2, F.lit(0))
+    # distinct texts that end with the run count as ends, but for what chance may bring
+    more = F.greatest(F.col("cl_total") - ERRORS * F.sqrt("cl_total"), F.lit(0))
     share = (
         F.when(F.col("r3_total") + more >= SEEN, (F.col("r3_ends") + more) / (F.col("r3_total") + more))
         .when(F.col("r2_total") >= SEEN, F.col("r2_ends") / F.col("r2_total"))
@@ -363,15 +408,10 @@ def judged(df: DataFrame, record: str = "doc_id", text: str = "text", source: st
     src = df.select(F.col(record).cast("bigint").alias("doc"), F.coalesce(F.lower(F.trim(F.col(source))), F.lit("(none)")).alias("src"),
                     F.col(text).alias("text")).filter("doc IS NOT NULL AND text rlike '\\\\S'")
     features = cut(src.mapInArrow(_features, _FEATURES))
-    ended = cut(features.join(_endings(features, src.select("text")), ["verdict", "run", "word"], "left").withColumn(
+    high = cut(piles(features))
+    ended = cut(features.join(_endings(features, src.select("text"), high), ["verdict", "run", "word"], "left").withColumn(
         "open", (F.col("verdict") == CUT) | F.coalesce("open", F.lit(False))).drop("verdict", "run", "word"))
-    measures = ("chars", "bytes", "body_chars", "body_bytes")
-    limits = spikes(ended).groupBy("src").agg(*[
-        F.collect_set(F.when(F.col("measure") == m, F.col("length"))).alias(f"{m}_limits") for m in measures])
-    at_limit = F.lit(False)
-    for m in measures:
-        at_limit = at_limit | F.coalesce(F.array_contains(f"{m}_limits", F.col(m)), F.lit(False))
-    return ended.join(limits, "src", "left").select("doc", "src", (F.col("open") | (at_limit & ~F.col("final"))).alias("cut"))
+    return _at(ended, spikes(ended, high)).select("doc", "src", (F.col("open") | (F.col("at") & ~F.col("final"))).alias("cut"))
 
 
 def cut_texts(df: DataFrame, record: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from querymill.llm import truncation as op
 
 SCHEMA = "src string, run string, open boolean, doc_id bigint, text string, source string"
@@ -56,3 +58,30 @@ def test_limits_and_shares(spark):
     shares = {r.source: r for r in op.cut_shares(df).collect()}
     assert set(shares) == {"wiki", "log"} and shares["wiki"].cut_texts >= len(limited) and shares["log"].cut_share < 0.01
     assert op.cut_texts(spark.createDataFrame([], SCHEMA)).count() == 0 and op.cut_shares(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [3, 30, 3000])
+def test_copies_of_a_cut_text_prove_nothing(spark, copies):
+    rnd = random.Random(3)
+    docs = corpus(rnd, 600)
+    docs += [d + f" A keeper of the north tower {verb} the ledger." for d, verb in zip(docs, ("reads", "wrote", "kept", "sold") * 3)]
+    rows = [(i, t, "Mail") for i, t in enumerate(docs)]
+    text = " ".join(SENTENCES) + " A keeper of the north tower"
+    rows += [(10_000 + i, text, "Mail") for i in range(copies)]
+    # distinct texts with a sign-off remain whole
+    rows += [(20_000 + i, f"{rnd.choice(SENTENCES)} Item {i} was moved.\nSigned by the registry", "Post") for i in range(9)]
+    assert cut_ids(spark, rows) == [10_000 + i for i in range(copies)]
+
+
+def test_the_greatest_length_of_a_source_is_its_limit_only_if_texts_end_in_many_ways(spark):
+    letters = [f"{a}{b}{c}" for a in ("sto", "ri", "ka", "plu") for b in ("ne", "mo", "ta") for c in ("r", "s", "lin")]
+    rnd = random.Random(4)
+    rows = [(i, t, "log") for i, t in enumerate(corpus(rnd, 300))]
+    # endings that no context decides: numbers and names
+    for i in range(30):
+        body = "Report of the day. " + " ".join(rnd.choice(letters) for _ in range(40))
+        end = f" {rnd.choice(letters)} {rnd.choice(letters)} {i}"
+        rows.append((10_000 + i, body[: 200 - len(end)] + end, "feed"))
+        rows.append((20_000 + i, "Report of the day. " * rnd.randint(1, 5), "feed"))
+        rows.append((30_000 + i, f"Ticket {1000 + i}\nOwner: Ann {10 + i}", "desk"))
+    assert cut_ids(spark, rows) == [10_000 + i for i in range(30)]
