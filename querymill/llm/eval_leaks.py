@@ -2,8 +2,11 @@
 
 The items' normalised word n-grams make a hash set that is broadcast; every text's token windows are looked up
 in it, and each pair of text and item that is hit is verified by aligning the two: hits on one diagonal, with
-single changed, dropped or added words between them, make runs; a run counts if it holds a word that few items
-use; the best chain of at most MAX_RUNS runs in the order of both texts must hold SHARE of the item's words.
+single changed, dropped or added words between them, make runs; a run counts if it holds a word that few groups
+of items use, or STRETCH words in a row that few groups hold; the best chain of at most MAX_RUNS runs in the order of both texts must hold SHARE of the item's words.
+
+Equal and nearly equal items make a group, in which a word or stretch counts once: items that share half of their
+n-grams are linked, found by bands of minimum hashes and checked exactly.
 
 The items are broadcast in blocks of at most BLOCK_WORDS words, one scan of the corpus for each block, so that
 what is broadcast is bounded however many items there are.
@@ -21,16 +24,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .group_splits import components
+from .runtime import cut
+
 N = 3
 SHARE = 0.5
 MAX_RUNS = 4
 #: Words of a run that may differ in a row, and how far its diagonal may drift.
 GAP, DRIFT = 2, 2
-#: A word is an item's own if at most this share of the items, but at least FEW of them, use it.
+#: A word or stretch is an item's own if at most this share of the groups of items, but at least FEW of them, use it.
 OWN_SHARE, FEW = 0.02, 2
+#: Words in a row that can be an item's own where no single word is.
+STRETCH = 8
+#: Share of the n-grams, of all that two items have, that nearly equal ones share; bands of minimum hashes and hashes in one.
+ALIKE, BANDS, BAND = 0.5, 64, 3
 BLOCK_WORDS = 2_000_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -41,6 +52,10 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def _hashed(words: list[str], n: int) -> list[int]:
+    return [xxhash.xxh64_intdigest(" ".join(words[k: k + n])) - (1 << 63) for k in range(len(words) - n + 1)]
+
+
 @dataclass
 class Index:
     """The n-grams of a block of items, as numbers in base ``len(vocabulary) + 1``."""
@@ -53,30 +68,32 @@ class Index:
     items: np.ndarray
     places: np.ndarray
     own: list[np.ndarray]  # per item, whether the word at a place is its own
+    stretches: list[np.ndarray]  # per item, whether the stretch from a place is its own
 
 
-def build_index(items: Sequence[tuple[int, list[str], set[str]]]) -> Index:
+def build_index(items: Sequence[tuple[int, list[str], set[str], set[int]]]) -> Index:
     vocabulary: dict[str, int] = {}
-    for _, words, _ in items:
+    for _, words, *_ in items:
         for w in words:
             vocabulary.setdefault(w, len(vocabulary) + 1)
     base = len(vocabulary) + 1
     if base**N >= 2**63:
         raise ValueError("too many distinct words in a block of items; lower BLOCK_WORDS")
-    codes, owner, place, own = [], [], [], []
-    for k, (_, words, rare) in enumerate(items):
+    codes, owner, place, own, stretches = [], [], [], [], []
+    for k, (_, words, rare, rows) in enumerate(items):
         ids = np.array([vocabulary[w] for w in words], np.int64)
         grams = _grams(ids, base)
         codes.append(grams)
         owner.append(np.full(len(grams), k))
         place.append(np.arange(len(grams)))
         own.append(np.array([w in rare for w in words], bool))
+        stretches.append(np.array([h in rows for h in _hashed(words, STRETCH)], bool))
     flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
     order = np.argsort(flat, kind="stable")
     distinct, starts = np.unique(flat[order], return_index=True)
     empty = np.zeros(0, np.int64)
-    return Index([i for i, _, _ in items], [len(w) for _, w, _ in items], vocabulary, distinct, np.r_[starts, len(flat)],
-                 np.concatenate(owner)[order] if codes else empty, np.concatenate(place)[order] if codes else empty, own)
+    return Index([i for i, *_ in items], [len(w) for _, w, *_ in items], vocabulary, distinct, np.r_[starts, len(flat)],
+                 np.concatenate(owner)[order] if codes else empty, np.concatenate(place)[order] if codes else empty, own, stretches)
 
 
 def _grams(ids: np.ndarray, base: int) -> np.ndarray:
@@ -100,7 +117,17 @@ class Run:
     held: int
 
 
-def runs_of(pairs: list[tuple[int, int]], own: np.ndarray) -> list[Run]:
+def _has_stretch(run: list[tuple[int, int]], stretches: np.ndarray) -> bool:
+    """Whether a run holds, word by word, one of the item's own stretches."""
+    row = 0
+    for k, (d, p) in enumerate(run):
+        row = row + 1 if k and run[k - 1] == (d - 1, p - 1) else 1
+        if row > STRETCH - N and stretches[p - (STRETCH - N)]:
+            return True
+    return False
+
+
+def runs_of(pairs: list[tuple[int, int]], own: np.ndarray, stretches: np.ndarray) -> list[Run]:
     """Runs of n-gram hits (place in the text, place in the item) that stay near one diagonal."""
     open_runs: list[list[tuple[int, int]]] = []
     done: list[list[tuple[int, int]]] = []
@@ -126,7 +153,7 @@ def runs_of(pairs: list[tuple[int, int]], own: np.ndarray) -> list[Run]:
         for _, p in run:
             held[p - run[0][1]: p - run[0][1] + N] = True
         first = run[0][1]
-        if not (held & own[first: first + len(held)]).any():
+        if not (held & own[first: first + len(held)]).any() and not _has_stretch(run, stretches):
             continue
         # a single changed word between held ones counts as held
         single = np.zeros_like(held)
@@ -176,35 +203,76 @@ def leaks_in(text: str, index: Index) -> list[tuple[int, float, list[tuple[int,
         return found
     spots = [m.span() for m in WORD.finditer(text)]
     for item, pairs in by_item.items():
-        if len(pairs) * N < SHARE * index.lengths[item]:
-            continue  # even disjoint hits wouldn't hold enough words
-        held, chain = best_chain(runs_of(pairs, index.own[item]))
+        if len(pairs) * (N + 1) - 1 < SHARE * index.lengths[item]:
+            continue  # even disjoint hits, with single changed words between them, wouldn't hold enough words
+        held, chain = best_chain(runs_of(pairs, index.own[item], index.stretches[item]))
         if held >= SHARE * index.lengths[item]:
             spans = [(spots[r.doc][0], spots[r.doc_end - 1][1]) for r in chain]
             found.append((index.ids[item], held / index.lengths[item], spans))
     return found
 
 
-def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, list[str], set[str]]]]:
-    """The items, with their own words, in blocks of a bounded size."""
+_FACTORS = np.random.default_rng(20240502).integers(0, 2**63, (BANDS * BAND, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH = "item bigint, txt bigint, words array<string>, grams array<bigint>, stretches array<bigint>, bands array<bigint>"
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words, n-grams and stretches of every item that has N words, and its bands of minimum hashes."""
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = words_of(text)
+            if len(words) < N:
+                continue
+            grams = sorted(set(_hashed(words, N)))
+            h = np.array(grams, np.int64).view(np.uint64)
+            least = np.array([(h * a + b).min() for a, b in _FACTORS], np.uint64).reshape(BANDS, BAND)
+            bands = [xxhash.xxh64_intdigest(row.tobytes(), seed=k) - (1 << 63) for k, row in enumerate(least)]
+            rows.append((item, xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63), sorted(set(words)), grams, sorted(set(_hashed(words, STRETCH))), bands))
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split()[0] for f in _SKETCH.split(", ")])
+
+
+def _groups(sketches: DataFrame) -> DataFrame:
+    """(txt, grp): the distinct texts of the items in groups of nearly equal ones."""
+    texts = sketches.groupBy("txt").agg(F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    met = texts.select("txt", F.explode("bands").alias("band"))
+    # every text of a band is compared with the band's first, so that a crowded band costs a row for each text
+    heads = met.groupBy("band").agg(F.min("txt").alias("head"))
+    asked = met.join(heads, "band").filter("txt <> head").select("txt", "head").distinct()
+    grams = lambda name, kept: texts.select(F.col("txt").alias(name), F.col("grams").alias(kept))
+    shared = F.size(F.array_intersect("mine", "theirs"))
+    alike = asked.join(grams("txt", "mine"), "txt").join(grams("head", "theirs"), "head").filter(
+        shared >= ALIKE * (F.size("mine") + F.size("theirs") - shared))
+    roots = components(alike.select(F.col("txt").alias("a"), F.col("head").alias("b")))
+    return texts.select("txt").join(roots.withColumnRenamed("node", "txt"), "txt", "left").select("txt", F.coalesce("root", "txt").alias("grp"))
+
+
+def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, list[str], set[str], set[int]]]]:
+    """The items, with their own words and stretches, in blocks of a bounded size."""
     words = items.select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text")).filter(
         "item IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item"])
-    n = words.count()
-    split = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    used = words.select("item", F.explode(F.array_distinct(split)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    rare = used.filter(F.col("n") <= max(FEW, int(OWN_SHARE * n))).select("word")
-    own = words.select("item", F.explode(F.array_distinct(split)).alias("word")).join(rare, "word").groupBy("item").agg(
-        F.collect_list("word").alias("own"))
-    block: list[tuple[int, list[str], set[str]]] = []
+    words = cut(words)
+    sketches = cut(words.mapInArrow(_sketches, _SKETCH))
+    grouped = cut(sketches.join(_groups(sketches), "txt").select("item", "grp", "words", "stretches"))
+    most = max(FEW, int(OWN_SHARE * grouped.select("grp").distinct().count()))
+
+    def own(column: str) -> DataFrame:
+        used = grouped.select("item", "grp", F.explode(column).alias("x"))
+        rare = used.select("grp", "x").distinct().groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") <= most)
+        return used.join(rare, "x").groupBy("item").agg(F.collect_list("x").alias(f"own_{column}"))
+
+    block: list[tuple[int, list[str], set[str], set[int]]] = []
     size = 0
-    for row in words.join(own, "item", "left").orderBy("item").toLocalIterator():
+    for row in words.join(own("words"), "item", "left").join(own("stretches"), "item", "left").orderBy("item").toLocalIterator():
         found = words_of(row.text)
         if len(found) < N:
             continue
         if block and size + len(found) > BLOCK_WORDS:
             yield block
             block, size = [], 0
-        block.append((row["item"], found, set(row.own or ())))
+        block.append((row["item"], found, set(row.own_words or ()), set(row.own_stretches or ())))
         size += len(found)
     if block:
         yield block

@@ -49,3 +49,27 @@ def test_blocks_and_removal(spark, monkeypatch):
     clean = {r.doc_id: (r.text, r.removed) for r in op.without_leaks(table(spark, docs), items(spark, tests)).collect()}
     assert clean[50] == ("clean", 0) and 51 not in clean
     assert all(clean[i][0] == "Before. . After." and clean[i][1] == len(tests[i][1]) - 1 for i in range(40))
+
+
+def test_equal_and_nearly_equal_items_leak_together(spark):
+    rnd = random.Random(3)
+    tests = [(i, passage(rnd)) for i in range(20)]
+    p = tests[5][1]
+    tests += [(100 + i, p) for i in range(4)] + [(200 + i, p.replace("novice", f"novice{i}", 1)) for i in range(4)]
+    docs = [(1, f"Before. {p} After."), (2, f"Before. {tests[7][1]} After."), (3, "At Nowhere12 a novice counts waxed sledges among 999999999 claimants, leaving blanks without a witness. " * 3)]
+    assert found(spark, docs, tests) == sorted([(1, i) for i in (5, *range(100, 104), *range(200, 204))] + [(2, 7)])
+
+
+def test_a_stretch_without_an_own_word(spark):
+    rnd = random.Random(4)
+    words = [f"w{chr(97 + i)}" for i in range(16)]
+    tests = [(i, " ".join(rnd.sample(words, 16)) + f" own{i}") for i in range(12)]
+    docs = [(1, "Before it all. " + " ".join(tests[3][1].split()[:10]) + " and after it."), (2, " ".join(sorted(words)))]
+    assert found(spark, docs, tests) == [(1, 3)]
+
+
+def test_single_changed_words_between_all_hits():
+    words = [f"w{i}" for i in range(15)]
+    index = op.build_index([(1, words + [f"x{i}" for i in range(15)], set(words), set())])
+    text = " ".join("other" if i % 4 == 3 else w for i, w in enumerate(words))
+    assert [(i, s) for i, s, _ in op.leaks_in(text, index)] == [(1, 0.5)]
