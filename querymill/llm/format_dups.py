@@ -28,6 +28,7 @@ from .statements import canonical_result, canonical_statement
 
 #: Characters that a task's dictionary holds from one batch to the next; beyond them it starts anew.
 DICTIONARY_CHARS = 16_000_000
+#: Salts of a tuple, or the session's shuffle partitions if they are more.
 SALTS = 32
 
 _NULL = -1
@@ -89,6 +90,7 @@ def encode_records(df: DataFrame, group: str, record: str, statement: str, resul
 
 def _groups(encoded: DataFrame, salts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     key = ["grp", "sql_id", "res_id"]
+    salts = max(salts, int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions", "1")))
     tuples = encoded.withColumn("salt", salt_of(F.col("rid"), salts))
     part = tuples.groupBy(*key, "salt").agg(F.min("rid").alias("part_first"), F.count("*").alias("part_n"))
     whole = part.groupBy(*key).agg(F.min("part_first").alias("first"), F.sum("part_n").alias("copies"))

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,6 +49,35 @@ def test_content_counts():
     assert not same(("SELECT a FROM t WHERE p OR q AND r", "[]"), ("SELECT a FROM t WHERE r AND p OR q", "[]"))
 
 
+@pytest.mark.parametrize("a,b,expected", [
+    ("SELECT a FROM t WHERE (x = 1 OR y = 2) AND z = 3", "SELECT a FROM t WHERE z = 3 AND (x = 1 OR y = 2)", True),
+    ("SELECT a FROM t WHERE (x = 1 AND y = 2) OR z = 3", "SELECT a FROM t WHERE (y = 2 AND x = 1) OR z = 3", True),
+    ("SELECT a FROM t WHERE x = 1 OR y = 2 AND z = 3", "SELECT a FROM t WHERE x = 1 OR z = 3 AND y = 2", True),
+    ("SELECT a FROM t WHERE x = 1 OR y = 2 AND z = 3", "SELECT a FROM t WHERE x = 1 AND y = 2 OR z = 3", False),
+    ("SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE d = 1 AND e = 2)", "SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE e = 2 AND d = 1)", True),
+    ("SELECT a FROM (SELECT b, c FROM u) v", "SELECT a FROM (SELECT c, b FROM u) v", True),
+    ("SELECT a FROM t WHERE (x, y) IN (SELECT b, c FROM u)", "SELECT a FROM t WHERE (x, y) IN (SELECT c, b FROM u)", False),
+    ("SELECT a FROM t JOIN u ON t.i = u.i AND t.j = u.j WHERE x = 1", "SELECT a FROM t JOIN u ON t.j = u.j AND t.i = u.i WHERE x = 1", True),
+    ("SELECT a FROM t JOIN u ON t.i = u.i JOIN v ON v.i = u.i", "SELECT a FROM t JOIN u ON v.i = u.i JOIN v ON t.i = u.i", False),
+    ("SELECT a FROM t WHERE x = 'it''s'", 'SELECT a FROM t WHERE x = "it\'s"', True),
+    ("SELECT a, b FROM t UNION SELECT c, d FROM u", "SELECT b, a FROM t UNION SELECT c, d FROM u", False),
+    ("SELECT a, b FROM t UNION SELECT c, d FROM u", "SELECT b, a FROM t UNION SELECT d, c FROM u", True),
+    ("SELECT a, b FROM t ORDER BY 1", "SELECT b, a FROM t ORDER BY 1", False),
+    ("SELECT a, b FROM t ORDER BY 1", "SELECT b, a FROM t ORDER BY 2", True),
+    ("SELECT a, b FROM t GROUP BY 2, a", "SELECT b, a FROM t GROUP BY b, a", True),
+    ("SELECT CASE WHEN x = 1 AND y = 2 THEN 1 ELSE 0 END FROM t WHERE p AND q", "SELECT CASE WHEN x = 1 AND y = 2 THEN 1 ELSE 0 END FROM t WHERE q AND p", True),
+    ("SELECT a FROM t WHERE COALESCE(x, y) = 1", "SELECT a FROM t WHERE COALESCE(y, x) = 1", False),
+    ("SELECT a FROM t WHERE (x = 1", "SELECT a FROM t WHERE x = 1", False),
+])
+def test_statements_inside_statements(a, b, expected):
+    assert (canonical_statement(a)[0] == canonical_statement(b)[0]) is expected
+
+
+def test_cells_stay_with_fields_that_are_not_named():
+    assert not same(("SELECT * FROM t", "[[1, 2]]"), ("SELECT * FROM t", "[[2, 1]]"))
+    assert same(("SELECT * FROM t", "[[1, 2], [3, 4]]"), ("select * from [t];", "[[3, 4], [1, 2]]"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a = 1", "b <> 'x and y'", "c BETWEEN 1 AND 2", "d IN (SELECT e FROM f WHERE g = 1 AND h = 2)"]), min_size=1, max_size=4, unique=True),
        st.permutations(["a", "b", "COUNT(*)"]), st.randoms())
