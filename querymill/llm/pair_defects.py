@@ -12,12 +12,14 @@ code fence or bare text) and prose. Then, in this order:
 * ``truncated``: the JSON or a literal is left open inside a statement, the statement is a proper prefix of the
   failing one, or the terminal context (last three token classes) hardly ever ends a whole statement. The
   contexts are counted over all failing statements of the table, which are whole.
-* ``refusal``: no statement, and a phrase of the refusal dictionary. Prose without a statement, a refusal phrase
-  or a copy is no repair either and counts as a refusal.
+* ``refusal``: no statement, and a phrase of the refusal dictionary or a word of declining. English prose without
+  a statement that declines nothing is none of the five kinds and is not flagged.
 
 Defined results: a null or blank response of the stage is empty; null statements, questions and errors are
 blank prompts that nothing copies; rows of other stages are no cases; repeated rows are each judged; whole
 responses are read, however long.
+
+Failing statements and their words are made once for each distinct text of a task's batches.
 """
 
 from __future__ import annotations
@@ -69,6 +71,14 @@ LEAD_IN = 12
 #: A context that ends fewer than this share of its occurrences in whole statements is a cut.
 END_SHARE = 0.002
 
+#: Characters of failing statements whose forms a task keeps from one batch to the next.
+KEPT_CHARS = 16_000_000
+
+# Words that decline, for refusals that no phrase of the dictionary covers.
+_DECLINES = re.compile(
+    r"\b(?:can(?:no|')t|can not|could(?:n't| not)|won't|will not|unable|not able|decline[sd]?|declining|refuse[sd]?|refusing|refrain|"
+    r"not (?:allowed|permitted|authori[sz]ed|possible)|no (?:repair|fix|statement|query|answer))\b"
+)
 _SETS = {k: frozenset(v.split()) for k, v in LANGUAGES.items()}
 _ENGLISH_ONLY = _SETS["en"]
 _STRUCTURE = frozenset(
@@ -78,32 +88,31 @@ _STRUCTURE = frozenset(
 _START = re.compile(r"\b(?:select|with)\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _WORDS = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
-_LABELS = frozenset("database id original sql mysql execution error question schema prompt".split())
-_LABEL_PAIRS = ({"database", "id"}, {"original", "sql"}, {"execution", "error"})
+_NOTHING = frozenset(("null", "none", "sql", "json", "n"))
+#: A label in front of a part of the prompt.
+_LABEL = re.compile(r"(?m)^[^\S\n]*[^\W\d_](?:[^\W\d_]|[ \t])*:[^\S\n]*")
+_ROUND = re.compile(r"\}\s*(?:```)?[ \t]*\n[ \t]*\n+")
+_FENCE = re.compile(r"```[a-zA-Z]*")
+_COMMENT = re.compile(r"(?m)^\s*(?:--|#)\s?")
+_JSON = re.compile(r'\{\s*"')
+_BARE = re.compile(r"(?is)(select\b.*|with\s+\S+\s+as\b.*)")
+_MARK = re.compile(r'["{}\[\]]')
+_STRING = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
+_LITERAL = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`")
 
 
 def last_round(text: str) -> str:
     """The answer of the last round: what follows the last complete JSON answer and a blank line."""
     cut = 0
-    for m in re.finditer(r"\}\s*(?:```)?[ \t]*\n[ \t]*\n+", text):
+    for m in _ROUND.finditer(text):
         if text[m.end():].strip():
             cut = m.end()
     return text[cut:]
 
 
-def _string_end(text: str, at: int) -> int:
-    """Where the JSON string that opens before ``at`` closes, or -1."""
-    while at < len(text):
-        if text[at] == "\\":
-            at += 2
-            continue
-        if text[at] == '"':
-            return at
-        at += 1
-    return -1
-
-
 def _unescaped(raw: str) -> str:
+    if "\\" not in raw:
+        return raw
     try:
         return json.loads(f'"{raw}"', strict=False)
     except ValueError:
@@ -112,106 +121,104 @@ def _unescaped(raw: str) -> str:
 
 def take_apart(answer: str) -> tuple[list[str], str, bool]:
     """Statements, prose, and whether the last statement is left open by its wrapping."""
-    text = re.sub(r"```[a-zA-Z]*", "\n", answer)
-    text = re.sub(r"(?m)^\s*(?:--|#)\s?", "", text)
+    text = _COMMENT.sub("", _FENCE.sub("\n", answer))
     statements: list[str] = []
     prose: list[str] = []
     open_end = False
-    found = re.search(r'\{\s*"', text)
+    found = _JSON.search(text)
     if found is None:
         bare = text.strip()
-        if (m := _START.search(bare)) and re.match(r"(?is)(select\b.*|with\s+\S+\s+as\b.*)", bare[m.start():]):
+        if (m := _START.search(bare)) and _BARE.match(bare, m.start()):
             lead = bare[:m.start()]
             # "with" or "select" inside a sentence is prose, unless it opens a line
             if not lead.strip() or lead.rstrip(" \t").endswith(("\n", ":")):
                 return [bare[m.start():]], lead, False
         return [], bare, False
     prose.append(text[:found.start()])
-    at, key, depth = found.start(), "", 0
-    while at < len(text):
-        c = text[at]
+    at, depth = found.start(), 0
+    while mark := _MARK.search(text, at):
+        c, at = mark.group(), mark.end()
         if c == '"':
-            end = _string_end(text, at + 1)
-            raw = text[at + 1: end if end >= 0 else len(text)]
-            value = _unescaped(raw)
-            if end < 0:
+            string = _STRING.match(text, at)
+            value = _unescaped(text[at: string.end() - 1 if string else len(text)])
+            if not (string and depth == 1 and text[string.end():].lstrip()[:1] == ":"):
+                if _START.match(value.strip()):
+                    statements.append(value)
+                else:
+                    prose.append(value)
+            if string is None:
                 open_end = True
-            after = text[end + 1:].lstrip()[:1] if end >= 0 else ""
-            if after == ":" and depth == 1:
-                key = value
-            elif _START.match(value.strip()):
-                statements.append(value)
-            else:
-                prose.append(value)
-            if end < 0:
                 break
-            at = end + 1
+            at = string.end()
             continue
         depth += (c in "{[") - (c in "}]")
-        at += 1
         if depth == 0:
             prose.append(text[at:])
             break
     else:
-        open_end = open_end or depth > 0
+        open_end = depth > 0
     return statements, "\n".join(prose), open_end
 
 
-def _classes(statement: str) -> list[str]:
-    out = []
-    for tok in sql_tokens(statement):
-        if tok[0] == "\x01":
-            out.append("name")
-        elif tok in ("group", "order"):
-            out.append("sorted")  # either is followed by names and may end with them
-        elif tok in _STRUCTURE or not (tok[0].isalnum() or tok[0] == "_"):
-            out.append(tok)
-        else:
-            out.append("number" if tok[0].isdigit() else "name")
-    return out
+def _class(tok: str) -> str:
+    if tok[0] == "\x01":
+        return "name"
+    if tok in ("group", "order"):
+        return "sorted"  # either is followed by names and may end with them
+    if tok in _STRUCTURE or not (tok[0].isalnum() or tok[0] == "_"):
+        return tok
+    return "number" if tok[0].isdigit() else "name"
 
 
 def contexts(statement: str) -> Iterator[tuple[str, bool]]:
     """Every run of three token classes, and whether the statement ends with it."""
-    cls = ["", "", *_classes(statement)]
+    cls = ["", "", *map(_class, sql_tokens(statement))]
     for i in range(2, len(cls)):
         yield " ".join(cls[i - 2: i + 1]), i == len(cls) - 1
 
 
 def _open_literal(statement: str) -> bool:
-    low = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`", "", statement)
+    low = _LITERAL.sub("", statement) if "'" in statement or '"' in statement or "`" in statement else statement
     return any(q in low for q in "'\"`") or low.count("(") > low.count(")") or low.count("[") > low.count("]")
 
 
-def is_cut(statement: str, failing: list[str], ends: Mapping[str, tuple[int, int]]) -> bool:
+def is_cut(statement: str, failing: list[str], ends: Mapping[str, tuple[int, int]], tokens: list[str] | None = None) -> bool:
+    """``tokens`` are those of the statement, if they are known."""
     body = statement.rstrip(" \t\r\n…�")
-    body = body[:-3].rstrip() if body.endswith("...") else body
-    if body.rstrip().endswith(";"):
+    if body.endswith("..."):
+        body = body[:-3].rstrip()
+    if body.endswith(";"):
         return False
-    plain = plain_statement(body)
+    if tokens is None or len(body) != len(statement):
+        tokens = sql_tokens(body)
+    plain = _plain(tokens)
     if not plain:
         return False
     if _open_literal(body):
         return True
     for whole in failing:
-        if whole != plain and whole.startswith(plain):
+        if len(whole) > len(plain) and whole.startswith(plain):
             return True
-    last = ""
-    for last, _ in contexts(body):
-        pass
-    n_end, n = ends.get(last, (0, 0))
+    n_end, n = ends.get(" ".join(["", "", *map(_class, tokens[-3:])][-3:]), (0, 0))
     if n and n_end < END_SHARE * n:
         return True
-    words, known = plain.split(), {w for f in failing for w in f.split()}
-    if n == 0 and "from" not in words:
+    if n == 0 and "from" not in plain.split():
         return True
     # a name that stops short of one in the failing statement
-    tail = words[-1]
-    return bool(failing) and tail[0].isalpha() and tail not in known and tail not in _STRUCTURE and any(
-        k.startswith(tail) for k in known)
+    tail = plain.rpartition(" ")[2]
+    if not failing or not tail[0].isalpha() or tail in _STRUCTURE:
+        return False
+    known = {w for f in failing for w in f.split()}
+    return tail not in known and any(k.startswith(tail) for k in known)
+
+
+def _plain(tokens: list[str]) -> str:
+    return " ".join(tokens).replace("\x01", "")
 
 
 def foreign(prose: str) -> bool:
+    if not prose.strip():
+        return False
     words = [w.lower() for w in _LETTERS.findall(prose)]
     letters = "".join(words)
     if not letters:
@@ -226,59 +233,77 @@ def foreign(prose: str) -> bool:
 
 
 def _shrinks(answer: str, prompt: str) -> bool:
+    """Whether the answer, compressed with its prompt as the dictionary, shrinks to COPY_SHARE of its length."""
     raw = answer.encode()
     book = prompt.encode()
     if not raw or len(book) < 8:
         return False
     packed = zstandard.ZstdCompressor(
-        level=3, dict_data=zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-        write_content_size=False, write_checksum=False, write_dict_id=False,
+        compression_params=zstandard.ZstdCompressionParameters(
+            window_log=max(10, (len(raw) + len(book)).bit_length()), hash_log=max(10, min(20, len(book).bit_length())), chain_log=10,
+            search_log=1, min_match=5, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False),
+        dict_data=zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
     ).compress(raw)
     return len(packed) - 9 <= COPY_SHARE * len(raw)
 
 
-def _is_copy(statements: list[str], prose: str, failing: list[str], question: str, prompt: list[str]) -> bool:
-    plain = [plain_statement(s) for s in statements]
-    book = " \n ".join([*failing, question, *prompt])
-    answer = " ".join([*plain, " ".join(_WORDS.findall(prose.lower()))])
-    if not _shrinks(answer, book):
+def _words(text: str) -> str:
+    return " ".join(_WORDS.findall(text.lower()))
+
+
+def _last_word(text: str) -> str:
+    found = _WORDS.findall(text[-80:].lower())
+    return found[-1] if found else ""
+
+
+def _is_copy(plain: list[str], answer: str, statements: list[str], prose: str, failing: list[str], question: str, prompt: list[str]) -> bool:
+    if not _shrinks(" ".join([*plain, prose.lower()]), " \n ".join([*failing, question.lower(), *(p.lower() for p in prompt)])):
         return False
     if plain and all(p in failing for p in plain):
         return True
-    words = _WORDS.findall(" ".join([prose, *statements]).lower())
-    asked = question.split()
-    if asked and words[-len(asked):] == asked and len(words) - len(asked) <= LEAD_IN:
-        return True
-    # the prompt with its labels: the failing statement inside, all else from the prompt
-    whole = " ".join(words)
-    known = set(" ".join(prompt + [question]).split()) | _LABELS
+    told = [*statements, prose]
+    if question and (last := _last_word(question)) and any(_last_word(t) == last for t in told):
+        asked = _words(question).split()
+        words = _words(" ".join([prose, *statements])).split()
+        if words[-len(asked):] == asked and len(words) - len(asked) <= LEAD_IN:
+            return True
+    # the prompt: without labels the failing statement and at least one more part, and hardly a word besides
+    low = answer.lower()
+    if not any((first := _WORDS.search(p.lower())) and first.group() in low for p in (question, *prompt)):
+        return False
+    bare = ""
     for f in failing:
-        own = " ".join(_WORDS.findall(f))
-        if own and own in whole:
-            left = whole.replace(own, " ", 1).split()
-            if any(pair <= set(left) for pair in _LABEL_PAIRS) and sum(w not in known for w in left) <= 2:
-                return True
+        own = _words(f)
+        bare = bare or _words(_LABEL.sub(" ", answer))
+        if not own or own not in bare:
+            continue
+        left = bare.replace(own, " ", 1)
+        parts = [p for p in map(_words, (question, *prompt)) if p and p in left]
+        for p in parts:
+            left = left.replace(p, " ", 1)
+        if parts and len(left.split()) <= 2:
+            return True
     return False
 
 
 def classify(response: str | None, failing: list[str], question: str, prompt: list[str],
              ends: Mapping[str, tuple[int, int]]) -> str | None:
-    """The defect of one answer, or None. ``failing`` and ``question`` come without formatting."""
+    """The defect of one answer, or None. ``failing`` comes without formatting."""
     answer = last_round(response or "")
     statements, prose, open_end = take_apart(answer)
     statements = [s for s in statements if _WORDS.search(s)]
-    said = [w for w in _LETTERS.findall(prose) if w.lower() not in ("null", "none", "sql", "json", "n")]
-    if not statements and not said:
+    if not statements and not any(w.lower() not in _NOTHING for w in _LETTERS.findall(prose)):
         return "truncated" if open_end and _WORDS.search(prose) else "empty"
     if foreign(prose):
         return "language"
-    if _is_copy(statements, prose, failing, question, prompt):
+    tokens = [sql_tokens(s) for s in statements]
+    if _is_copy([_plain(t) for t in tokens], answer, statements, prose, failing, question, prompt):
         return "copy"
     if statements:
-        return "truncated" if open_end or is_cut(statements[-1], failing, ends) else None
-    if open_end and not any(p in prose.lower() for p in REFUSALS):
-        return "truncated"
-    return "refusal"
+        return "truncated" if open_end or is_cut(statements[-1], failing, ends, tokens[-1]) else None
+    low = prose.lower().replace("’", "'")
+    declines = any(p in low for p in REFUSALS) or _DECLINES.search(low) is not None
+    return "refusal" if declines else "truncated" if open_end else None
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,14 +344,26 @@ def defects(df: DataFrame, record: str = "repair_id", stage: str = "mysql_dialec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ends.value
+        plain: dict[str, str] = {}
+        held = 0
+
+        def form(text: str) -> str:
+            nonlocal held
+            known = plain.get(text)
+            if known is None:
+                if held > KEPT_CHARS:
+                    plain.clear()
+                    held = 0
+                held += 2 * len(text)
+                known = plain[text] = plain_statement(text)
+            return known
+
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             rids, kinds = [], []
             for rid, answer, *rest in zip(*cols):
-                whole = list(dict.fromkeys(p for s in rest[:n] if s and (p := plain_statement(s))))
-                words = " ".join(_WORDS.findall((rest[n] or "").lower()))
-                other = [" ".join(_WORDS.findall(p.lower())) for p in rest[n + 1:] if p]
-                kind = classify(answer, whole, words, other, model)
+                whole = list(dict.fromkeys(p for s in rest[:n] if s and (p := form(s))))
+                kind = classify(answer, whole, rest[n] or "", [p for p in rest[n + 1:] if p], model)
                 if kind:
                     rids.append(rid)
                     kinds.append(kind)

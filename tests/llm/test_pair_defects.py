@@ -19,11 +19,12 @@ def kind(text):
 
 CASES = {
     None: [FIXED, f'{{"sqls": ["{FIXED}"]}}', f"Sorry about that. Fixed:\n```sql\n{FIXED};\n```", "Unable to run as written, so a cast is added:\n" + f'{{"sqls": ["{FIXED}"]}}',
-           f'{{"sqls": ["{FAILING}"]}}\n\n{{"sqls": ["{FIXED}"]}}', FAILING.replace("10", "11") + "\n", f'{{"sqls": ["{FIXED}"]}}\nNo other change'],
+           f'{{"sqls": ["{FAILING}"]}}\n\n{{"sqls": ["{FIXED}"]}}', FAILING.replace("10", "11") + "\n", f'{{"sqls": ["{FIXED}"]}}\nNo other change',
+           "Renamed the column to match the catalog; rerun the statement.", f"Original SQL: {FAILING}\nCorrected as asked: the column is cast now, see the next message for the reasons."],
     "empty": [None, "", " \n", "{}", '""', "null", ";", "-", "```sql\n```", '{"sqls": []}', '{"sqls": [""]}', '{"sqls": null}', '{"sqls": [";"]}', f'{{"sqls": ["{FIXED}"]}}\n\n{{"sqls": []}}'],
     "truncated": [FIXED[:40], f'{{"sqls": ["{FIXED[:30]}', f'{{"sqls": ["{FIXED}", "SELECT na', "```sql\nSELECT name, hei…", FAILING[:60] + "...", FAILING.split(" ORDER")[0]],
-    "refusal": ["I am sorry, but I cannot help with that.", "-- No repair can be offered by me.", '{"error": "I must decline to answer."}', '{"sqls": "I can\'t rewrite this statement."}'],
-    "copy": [FAILING.lower(), f'{{"sqls": ["{FAILING};"]}}', f"Here it is:\n```sql\n{FAILING}\n```", QUESTION.upper(), f"Q: {QUESTION}",
+    "refusal": ["I am sorry, but I cannot help with that.", "There is no fix that could be given here.", "That is something I couldn’t write.", "-- No repair can be offered by me.", '{"error": "I must decline to answer."}', '{"sqls": "I can\'t rewrite this statement."}'],
+    "copy": [f"Statement:\n{FAILING}\nError:\n1054 unknown column width", FAILING.lower(), f'{{"sqls": ["{FAILING};"]}}', f"Here it is:\n```sql\n{FAILING}\n```", QUESTION.upper(), f"Q: {QUESTION}",
              f"Database id:\ndome db\nOriginal SQL:\n{FAILING}\nMySQL execution error:\n1054 unknown column width"],
     "language": ["Die Abfrage schlägt fehl, weil die Spalte nicht in der Tabelle ist.", "查询失败,请改为小写后重新执行。", f"Voici la requête corrigée, la table est en minuscules :\n{FIXED}",
                  '{"sqls": [], "hinweis": "Die Spalte gibt es nicht, deshalb ist keine Korrektur möglich"}', "SELECCIONAR nombre DE tabla DONDE nombre NO ES NULO ORDENAR POR nombre;"],
@@ -41,7 +42,8 @@ def test_table(spark):
     rows = [("a", "b", 1, None, None, None, None, None, "llm", None), ("a", "b", 2, "d", QUESTION, FAILING, None, "e", "llm", FAILING),
             ("a", "b", 3, "d", QUESTION, FAILING, FAILING, "e", "none", None), ("a", "b", 4, "d", QUESTION, FAILING, FAILING, "e", None, None),
             ("a", "b", 5, "d", QUESTION, FAILING, FAILING, "e", "llm", FIXED), ("a", "b", 6, None, None, None, None, None, "llm", "x" * 300_000),
+            ("a", "b", 7, None, None, None, None, None, "llm", "I must decline. " * 20_000),
             ("a", "b", 2, "d", QUESTION, FAILING, None, "e", "llm", FAILING)]
     got = sorted(tuple(r) for r in op.defects(spark.createDataFrame(rows, schema)).collect())
-    assert got == [(1, "empty"), (2, "copy"), (2, "copy"), (6, "refusal")]
+    assert got == [(1, "empty"), (2, "copy"), (2, "copy"), (7, "refusal")]
     assert op.defects(spark.createDataFrame([], schema)).count() == 0
