@@ -54,6 +54,9 @@ def test_limits_and_shares(spark):
         rows.append((i, t, source))
     got = set(cut_ids(spark, rows))
     assert limited and limited <= got and len(got - limited) <= 2
+    signs = op.judged(spark.createDataFrame([("s", "r", True, *r) for r in rows], SCHEMA)).collect()
+    at_limit = {r.doc for r in signs if r.at_limit}
+    assert limited <= at_limit and len(at_limit - limited) <= 2
     df = spark.createDataFrame([("s", "r", True, *r) for r in rows], SCHEMA)
     shares = {r.source: r for r in op.cut_shares(df).collect()}
     assert set(shares) == {"wiki", "log"} and shares["wiki"].cut_texts >= len(limited) and shares["log"].cut_share < 0.01
@@ -73,6 +76,29 @@ def test_copies_of_a_cut_text_prove_nothing(spark, copies):
     assert cut_ids(spark, rows) == [10_000 + i for i in range(copies)]
 
 
+def test_keys_of_runs_agree():
+    import numpy as np
+
+    runs = [("a", "b", "c"), ("^", "\n", "0"), ("x", "x", "x")]
+    columns = [np.array([op._hash(r[k]) for r in runs], np.uint64) for k in range(3)]
+    for n in (1, 2, 3):
+        assert op._run_keys(*columns[3 - n:]).tolist() == [op.run_key(*map(op._hash, r[3 - n:])) for r in runs]
+    assert op.run_key(1, 2) != op.run_key(2, 1) != op.run_key(0, 1, 2)
+
+
+def test_counts_of_runs_and_words():
+    import pyarrow as pa
+
+    texts = ["The cat sat. The cat ran", "the cat sat.\nA dog sat.", "", " ..."]
+    rows = [r for b in op._count(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])])) for r in b.to_pylist()]
+    words = {r["word"]: r["total"] for r in rows if r["word"] is not None}
+    assert words["cat"] == 3 and words["sat"] == 3 and "ran" not in words and words["the"] == 3
+    runs = {r["key"]: (r["ends"], r["total"]) for r in rows if r["key"] is not None}
+    key = lambda *run: op.run_key(*map(op._hash, run))
+    assert runs[key("the", "cat", "sat")] == (2, 2) and runs[key("sat")] == (3, 3) and runs[key("\n", "\n", "the")] == (0, 2)
+    assert key("the", "cat", "ran") not in runs and runs[key("cat")] == (0, 3)
+
+
 def test_the_greatest_length_of_a_source_is_its_limit_only_if_texts_end_in_many_ways(spark):
     letters = [f"{a}{b}{c}" for a in ("sto", "ri", "ka", "plu") for b in ("ne", "mo", "ta") for c in ("r", "s", "lin")]
     rnd = random.Random(4)
