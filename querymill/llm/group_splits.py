@@ -5,30 +5,34 @@ a question are linked to the smallest of them; components come from alternating
 rounds, each a join written to the checkpoint folder, so that neither links nor components leave the cluster.
 
 Placement is grouped iterative stratification over label vectors: the rarest outstanding label first, its
-items by falling count, each to the split that needs the label most. What is placed one by one is bounded:
-components that hold at least 1/HEAVY of all records or of a label (at most HEAVY for each label), and the
-light ones summed into BUCKETS buckets for each of their rarest labels. A light component is below 1/HEAVY of
-every label, so the buckets cost next to no balance.
+items by falling count, each to the split that needs the label most. Every component is placed by that rule.
+Components that hold at least 1/HEAVY of a label (at most HEAVY for each label) are placed first, against the
+proportions of all records. What the splits then still need is shared out to shards of about SHARD of the other
+components, in proportion to the labels that a shard has, and every shard is placed in a task of its own. So what
+the driver and a task hold is bounded, and a shard's rounding, less than one light component for each label and
+split, is below 1/HEAVY of the shard.
 
 Defined results: a database counts without letter case and outer blanks, a question by its letters and digits
 without letter case. A null or blank database ties nothing; such a record follows its question, and stands
-alone without one. Questions without letters and digits tie nothing. Null labels are a label of their own,
-labels beyond the MAX_LABELS most frequent are counted together. Ties go to the split named first. An empty
+alone without one. Questions without letters and digits tie nothing. Null labels are a label of their own. Labels
+are classes to balance by: more than MAX_LABELS of them are an error. Ties go to the split named first. An empty
 table gives empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import cut
 
 HEAVY = 1000
-BUCKETS = 128
-MAX_LABELS = 32
+#: Light components that a task places together, and labels there may be.
+SHARD = 20_000
+MAX_LABELS = 1000
 MAX_ROUNDS = 60
 _LONE = "\x00"
 
@@ -96,30 +100,41 @@ def tied_databases(df: DataFrame, catalog: DataFrame, record: str = "idx", datab
     ).filter(F.col(f"{database}_a") < F.col(f"{database}_b")).drop("root")
 
 
-def stratify(items: Sequence[tuple[object, Sequence[int]]], shares: Sequence[float]) -> dict[object, int]:
-    """Iterative stratification of a bounded number of items with label vectors; the split's number for each."""
-    width = len(items[0][1]) if items else 0
-    left = [sum(v[k] for _, v in items) for k in range(width)]
-    want = [[s * n for n in left] for s in shares]
-    total = [s * sum(left) for s in shares]
+def component_members(df: DataFrame, record: str = "idx", database: str = "db_id", question: str = "question") -> DataFrame:
+    """(root, <database>): the databases that share a component with others, one row for each, without their pairs."""
+    named = components(links(_nodes(df, record, database, question))).filter(~F.col("node").startswith(_LONE))
+    first = named.groupBy("root").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return named.join(first, "root").select(F.col("first").alias("root"), F.col("node").alias(database))
+
+
+Vector = Mapping[int, int]
+
+
+def stratify(items: Iterable[tuple[object, Vector]], want: list[dict[int, float]]) -> dict[object, int]:
+    """Iterative stratification of a bounded number of items with label vectors; the split's number for each.
+
+    ``want`` has what every split still needs of every label, and is lessened by what is placed.
+    """
     open_items = dict(items)
+    having: dict[int, list[object]] = {}
+    left: dict[int, int] = {}
+    for key, vector in open_items.items():
+        for label, n in vector.items():
+            having.setdefault(label, []).append(key)
+            left[label] = left.get(label, 0) + n
+    total = [sum(w.values()) for w in want]
+    splits = range(len(want))
     placed: dict[object, int] = {}
-    while open_items:
-        outstanding = [k for k in range(width) if left[k] > 0]
-        if not outstanding:
-            for key in list(open_items):
-                placed[key] = max(range(len(shares)), key=lambda s: total[s])
-            break
+    while outstanding := [label for label, n in left.items() if n > 0]:
         label = min(outstanding, key=lambda k: (left[k], k))
-        having = sorted((k for k, v in open_items.items() if v[label] > 0), key=lambda k: (-open_items[k][label], str(k)))
-        for key in having:
+        for key in sorted((k for k in having[label] if k in open_items), key=lambda k: (-open_items[k][label], str(k))):
             vector = open_items.pop(key)
-            best = max(range(len(shares)), key=lambda s: (want[s][label], total[s], -s))
+            best = max(splits, key=lambda s: (want[s].get(label, 0.0), total[s], -s))
             placed[key] = best
-            total[best] -= sum(vector)
-            for k in range(width):
-                left[k] -= vector[k]
-                want[best][k] -= vector[k]
+            for k, n in vector.items():
+                left[k] -= n
+                want[best][k] = want[best].get(k, 0.0) - n
+                total[best] -= n
     return placed
 
 
@@ -128,37 +143,45 @@ def assign(df: DataFrame, splits: Mapping[str, float], record: str = "idx", data
     """(record, label, <out>): every record with its new split; proportions are scaled to one."""
     nodes = _nodes(df, record, database, question)
     parts = components(links(nodes))
-    frequent = [r.label for r in df.groupBy(F.coalesce(F.col(label), F.lit("(none)")).alias("label")).count()
-                .orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()]
-    labels = [*frequent, "(other)"]
-    shown = F.coalesce(F.col(label), F.lit("(none)"))
     rows = df.select(F.col(record).alias("record"), F.col(record).cast("string").alias("rid"), normal_name(F.col(database)).alias("db"),
-                     question_key(F.col(question)).alias("q"), shown.alias("label"))
+                     question_key(F.col(question)).alias("q"), F.coalesce(F.col(label).cast("string"), F.lit("(none)")).alias("label"))
     lone = F.concat(F.lit(_LONE), F.coalesce("q", F.concat(F.lit("row"), F.coalesce("rid", F.lit("")))))
-    rows = rows.select("record", F.coalesce("db", lone).alias("node"),
-                       F.when(F.col("label").isin(frequent), F.col("label")).otherwise("(other)").alias("bin"),
-                       F.col("label").alias(label))
-    by_node = rows.groupBy("node").agg(*[F.count_if(F.col("bin") == v).alias(f"n{i}") for i, v in enumerate(labels)])
-    names = [f"n{i}" for i in range(len(labels))]
-    vectors = by_node.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("grp"), *names)
-    grouped = cut(vectors.groupBy("grp").agg(*[F.sum(c).alias(c) for c in names]))
-    whole = grouped.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    rarity = sorted((i for i in range(len(names)) if whole[i]), key=lambda i: (whole[i], i))
-    rarest = F.lit(-1)
-    for i in reversed(rarity):
-        rarest = F.when(F.col(names[i]) > 0, i).otherwise(rarest)
-    size = sum((F.col(c) for c in names), F.lit(0))
-    heavy = size >= max(1.0, sum(whole) / HEAVY)
-    for i in rarity:
-        heavy = heavy | ((F.col(names[i]) > 0) & (F.col(names[i]) >= whole[i] / HEAVY))
-    unit = F.when(heavy, F.concat(F.lit("g"), F.col("grp"))).otherwise(
-        F.concat(F.lit("b"), rarest.cast("string"), F.lit(":"), F.pmod(F.xxhash64("grp"), F.lit(BUCKETS)).cast("string")))
-    placed_units = cut(grouped.withColumn("unit", unit))
-    items = [(r.unit, [r[c] for c in names])
-             for r in placed_units.groupBy("unit").agg(*[F.sum(c).alias(c) for c in names]).orderBy("unit").collect()]
+    rows = rows.select("record", F.coalesce("db", lone).alias("node"), "label")
+    by_node = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
+    counts = cut(by_node.join(parts, "node", "left").withColumn("grp", F.coalesce("root", "node")).drop("root"))
+    by_group = counts.groupBy("grp", "label").agg(F.sum("n").alias("n"))
+    whole = {r.label: r.n for r in by_group.groupBy("label").agg(F.sum("n").alias("n")).orderBy("label").limit(MAX_LABELS + 1).collect()}
+    if len(whole) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    number = {name: i for i, name in enumerate(whole)}
+    # one row for each label, at most MAX_LABELS
+    labels = F.broadcast(df.sparkSession.createDataFrame([(name, i, n / HEAVY) for name, i, n in zip(whole, number.values(), whole.values())], "label string, k int, least double"))
+    listed = by_group.join(labels, "label").groupBy("grp").agg(F.max(F.col("n") >= F.col("least")).alias("heavy"), F.collect_list(F.struct("k", "n")).alias("x"))
+    grouped = cut(listed.select("grp", "heavy", F.col("x.k").alias("ks"), F.col("x.n").alias("ns")))
     scale = sum(splits.values())
-    chosen = stratify(items, [v / scale for v in splits.values()])
+    want = [{number[name]: share * n / scale for name, n in whole.items()} for share in splits.values()]
+    heavy = [(r.grp, dict(zip(r.ks, r.ns))) for r in grouped.filter("heavy").orderBy("grp").collect()]  # at most HEAVY for each label
+    chosen = stratify(heavy, want)
+    rest = dict(enumerate(whole.values()))  # what the light components have of every label
+    for _, vector in heavy:
+        for k, n in vector.items():
+            rest[k] -= n
+    light = grouped.filter("NOT heavy")
+    shards = max(1, -(-light.count() // SHARD))
+
+    def place(frames: pd.DataFrame) -> pd.DataFrame:
+        items = [(g, dict(zip(map(int, ks), map(int, ns)))) for g, ks, ns in sorted(zip(frames["grp"], frames["ks"], frames["ns"]), key=lambda x: x[0])]
+        own: dict[int, int] = {}
+        for _, vector in items:
+            for k, n in vector.items():
+                own[k] = own.get(k, 0) + n
+        needs = [{k: w.get(k, 0.0) * n / rest[k] for k, n in own.items()} for w in want]
+        placed = stratify(items, needs)
+        return pd.DataFrame({"grp": list(placed), "split": pd.array(list(placed.values()), "int32")})
+
     spark, kinds = df.sparkSession, list(splits)
-    table = spark.createDataFrame([(u, kinds[s]) for u, s in chosen.items()], f"unit string, {out} string")
-    per_node = vectors.select("node", "grp").join(placed_units.join(table, "unit").select("grp", out), "grp").select("node", out)
-    return rows.join(per_node, "node").select(F.col("record").alias(record), label, out)
+    placed = light.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInPandas(place, "grp string, split int")
+    placed = placed.union(spark.createDataFrame(list(chosen.items()), "grp string, split int"))
+    name = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("split") + 1)
+    per_node = counts.select("node", "grp").distinct().join(placed, "grp").select("node", name.alias(out))
+    return rows.join(per_node, "node").select(F.col("record").alias(record), F.col("label").alias(label), out)

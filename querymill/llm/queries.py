@@ -36,6 +36,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_splits.tied_databases(read(spark, sf_dir, "question_items"), read(spark, sf_dir, "db_catalog"))
 
 
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components that have several databases: root and members."""
+    return group_splits.component_members(read(spark, sf_dir, "question_items"))
+
+
 #: Proportions of the new splits.
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_overlap_report": p2_overlap_report,
     "p3_found": p3_found,
+    "p3_members": p3_members,
     "p3_split_balance": p3_split_balance,
     "p4_found": p4_found,
     "p5_found": p5_found,

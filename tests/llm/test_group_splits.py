@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from querymill.llm import group_splits as op
 
 SCHEMA = "node string, root string, idx int, db_id string, question string, source string"
@@ -56,6 +58,34 @@ def test_balance_and_togetherness(spark, monkeypatch):
 
 
 def test_stratify_places_rare_labels_first():
-    items = [("x", [1, 50]), ("y", [1, 50]), ("z", [0, 60]), ("w", [0, 40])]
-    placed = op.stratify(items, [0.5, 0.5])
+    items = [("x", {0: 1, 1: 50}), ("y", {0: 1, 1: 50}), ("z", {1: 60}), ("w", {1: 40})]
+    placed = op.stratify(items, [{0: 1.0, 1: 100.0}, {0: 1.0, 1: 100.0}])
     assert placed["x"] != placed["y"] and placed["z"] != placed["w"]
+
+
+def test_shards_are_as_balanced_as_one_placement(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(i, None if i % 2 else f"db{int(rnd.paretovariate(0.8)) % 500}", f"q {i}", rnd.choice(["a"] * 30 + ["b"] * 9 + ["c"])) for i in range(6000)]
+    shares = {"train": 0.8, "valid": 0.1, "test": 0.1}
+    total = Counter(r[3] for r in rows)
+
+    def worst(shard):
+        monkeypatch.setattr(op, "SHARD", shard)
+        out = op.assign(table(spark, rows), shares).collect()
+        assert len(out) == len(rows)
+        parts = Counter((r.new_split, r.source) for r in out)
+        return max(abs(parts[kind, label] / n - share) for label, n in total.items() for kind, share in shares.items())
+
+    whole = worst(10**9)
+    assert whole < 0.02 and worst(300) < whole + 0.01
+
+
+def test_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(op, "MAX_LABELS", 3)
+    with pytest.raises(ValueError):
+        op.assign(table(spark, [(i, f"d{i}", "q", f"s{i}") for i in range(5)]), {"a": 1})
+
+
+def test_members(spark):
+    rows = [(1, "b", "q", "s"), (2, "A ", "Q!", "s"), (3, "c", "other", "s"), (4, None, "q", "s")]
+    assert sorted(tuple(r) for r in op.component_members(table(spark, rows)).collect()) == [("a", "a"), ("a", "b")]
