@@ -65,7 +65,7 @@ SALTS = 16
 # What may stand behind a cut, besides blanks.
 _BLANKS = " \t\r\n\x0b\x0c\x85\xa0\u2028\u2029\u200b…�"
 _BRACKETED = re.compile(r"(?:\[\s*(?:\.\.\.|…|truncated|cut|snip|more)\s*\]|\(\s*(?:\.\.\.|…|truncated|cut|more)\s*\)|<\s*(?:\.\.\.|…|truncated|cut|more)\s*>)\Z", re.I)
-TOKEN = re.compile(r"[^\W_]+(?:[_.'’-][^\W_]+)*_?|[^\w\s]|\n+")
+TOKEN = re.compile(r"\w++(?:[.'’-]\w++)*+|\S|\n+")
 WORD = re.compile(r"[^\W\d]\w*")
 STATEMENT = re.compile(r"(?im)^[ \t>]*(select\b)")
 CLAUSE = re.compile(r"(?i)[\s>]*(?:from|where|group|order|limit|having|join|left|inner|on|and|or|union|offset|$)")
@@ -96,7 +96,7 @@ def _class(tok: str) -> str:
     head = tok[0]
     if head == "\n":
         return "\n"
-    if not head.isalnum():
+    if not (head.isalnum() or head == "_"):
         return tok
     if head.isdigit():
         return "0"
@@ -105,13 +105,8 @@ def _class(tok: str) -> str:
     return "^" if head.isupper() else tok.lower()
 
 
-def tokens(text: str) -> list[str]:
-    """Tokens as classes; the first word of a sentence, line or list item counts as if it were written small."""
-    return classes_of(unwrapped(TOKEN.findall(text)))
-
-
 def unwrapped(raw: list[str]) -> list[str]:
-    """The tokens without line breaks, and the quote marks after them, that a small letter follows: wrapped lines go on."""
+    """The tokens without the line breaks, and the quote marks after them, that a small letter follows: wrapped lines go on."""
     out: list[str] = []
     start = at = 0
     try:
@@ -129,6 +124,7 @@ def unwrapped(raw: list[str]) -> list[str]:
 
 
 def classes_of(raw: list[str]) -> list[str]:
+    """Tokens as classes; the first word of a sentence, line or list item counts as if it were written small."""
     out = [_class(t) for t in raw]
     at = -1
     try:
@@ -253,9 +249,11 @@ def look(text: str) -> tuple[str, int, tuple[str, ...], str]:
         return body, CUT, (), ""
     if not (last.isalnum() or last == "_"):
         return body, WHOLE, (), ""
-    ending = tokens(body[-400:])
-    if len(ending) < 5:  # the text is short, or its last tokens are long
-        ending = tokens(body)
+    raw = unwrapped(TOKEN.findall(body[-400:]))
+    if len(raw) < 5:  # the text is short, or its last tokens are long
+        raw = unwrapped(TOKEN.findall(body))
+    # the token before the last three says whether they begin a sentence
+    ending = classes_of(raw[-4:])[-3:]
     return body, PROSE, tuple((["\n", "\n"] + ending)[-3:]), last_word(body)
 
 
@@ -280,6 +278,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, and for every value the place of its own."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 class _Known(dict):
     """Tokens by number, with their hashed classes; number 0 is the break before a text."""
 
@@ -340,13 +344,15 @@ class _Counts:
             inside = flat[3:] != 0
             ends = ends[inside]
             a, b, c = h[:-3][inside], h[1:-2][inside], h[2:-1][inside]
-            threes, where, back = np.unique(_run_keys(a, b, c), return_index=True, return_inverse=True)
+            threes, back = _distinct(_run_keys(a, b, c))
+            where = np.zeros(len(threes), np.int64)
+            where[back] = np.arange(len(back))
             total = np.bincount(back, minlength=len(threes))
             ended = np.bincount(back, weights=ends, minlength=len(threes)).astype(np.int64)
             b, c = b[where], c[where]
             keys, sums, finals = [threes], [total], [ended]
             for shorter in (_run_keys(b, c), _run_keys(c)):
-                own, back = np.unique(shorter, return_inverse=True)
+                own, back = _distinct(shorter)
                 keys.append(own)
                 sums.append(np.bincount(back, weights=total, minlength=len(own)).astype(np.int64))
                 finals.append(np.bincount(back, weights=ended, minlength=len(own)).astype(np.int64))
@@ -397,14 +403,14 @@ def limits(features: DataFrame) -> DataFrame:
     wide = F.coalesce(F.sum("n").over(by.rangeBetween(-AROUND, AROUND)), F.lit(0))
     close = F.coalesce(F.sum("n").over(by.rangeBetween(-CLOSE, CLOSE)), F.lit(0))
     around = (wide - close) / (2 * (AROUND - CLOSE))
-    marked = counted.withColumn("spike", (F.col("n") >= LEAST) & (F.col("n") >= SPIKE * around))
+    marked = cut(counted.withColumn("spike", (F.col("n") >= LEAST) & (F.col("n") >= SPIKE * around)))
     # what is left of a source away from its spikes says how its texts end; all sources where that is little
     away = lambda what: F.sum(F.when(~F.col("spike"), F.col(what)).otherwise(0))
     own = Window.partitionBy("src", "measure")
-    every = marked.agg(F.try_divide(away("finals"), away("n")).alias("share"))
+    every = marked.agg(F.coalesce(F.try_divide(away("finals"), away("n")), F.lit(0.0)).alias("share")).first().share
     share = F.when(away("n").over(own) >= OWN, away("finals").over(own) / away("n").over(own))
-    high = marked.withColumn("own_share", share).filter("spike").crossJoin(F.broadcast(every))  # one row
-    expected = F.col("n") * F.coalesce("own_share", "share", F.lit(0.0))
+    high = marked.withColumn("own_share", share).filter("spike")
+    expected = F.col("n") * F.coalesce("own_share", F.lit(every))
     high = high.filter((F.col("finals") <= LIMIT_SHARE * expected) & (expected - F.col("finals") >= EXPECTED)).select("src", "measure", "length")
     there = _lengths(texts.filter(~F.col("final")), "k3").join(high, ["src", "measure", "length"])
     ends = there.groupBy("src", "measure", "length", "k3").agg(F.count("*").alias("n")).groupBy("src", "measure", "length").agg(
