@@ -11,8 +11,9 @@ are composed across buckets from a plan made on the histogram (largest bucket fi
 as fully as up to three more buckets allow, repeated until one of them is used up). Items of a bucket are
 interchangeable, so the plan says for every rank in a bucket which container it goes to.
 
-Ranks come from counts by bucket and salt and a row number inside each; no task holds a bucket. The plan is
-broadcast: its size depends on the capacity, not on the texts.
+Ranks come from counts by bucket and salt and a row number inside each; a bucket has a salt for every SALT_ITEMS
+items, so no task holds a bucket. A rank finds its containers in the bucket's own list. The plan is broadcast: its
+size depends on the capacity, not on the texts.
 
 Defined results: null texts and texts without tokens have no item; repeated rows are items of their own; ties
 are ranked by identifier and piece; an empty table gives an empty result.
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, salt_of
+from .runtime import cut
 
 CAPACITY = 1024
 #: Buckets of ``pack``.
 BUCKETS = 768
-SALTS = 64
+#: Items of a bucket that are ranked together.
+SALT_ITEMS = 100_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that belongs to the ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,8 +73,6 @@ def boundaries(counts: np.ndarray, buckets: int, batched: bool = False) -> list[
     sizes = np.flatnonzero(counts)
     if not len(sizes):
         return []
-    if not batched and len(sizes) <= buckets:
-        return sizes.tolist()
     n = np.r_[0, np.cumsum(counts[sizes])].astype(float)
     mass = np.r_[0, np.cumsum(counts[sizes] * sizes)].astype(float)
     k = len(sizes)
@@ -157,15 +157,17 @@ def _items(df: DataFrame, record: str, text: str, capacity: int, tokenizer: str)
         F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("int").alias("size"))
 
 
-def _ranked(items: DataFrame, bounds: list[int], salts: int) -> DataFrame:
+def _ranked(items: DataFrame, bounds: list[int], counts: np.ndarray, salt_items: int) -> DataFrame:
     """The items with their bucket's upper bound and their rank in the bucket."""
     # sizes are at most the capacity, so a lookup by size stands for the search
-    lookup = F.array(*[F.lit(b) for b in _by_size(bounds)])
-    salted = items.withColumn("bucket", F.element_at(lookup, F.col("size"))).withColumn(
-        "salt", salt_of(F.struct("record", "piece"), salts))
-    counts = salted.groupBy("bucket", "salt").agg(F.count("*").alias("n"))
+    salts = {b: max(1, -(-n // salt_items)) for b, n in _bucketed(counts, bounds).items()}
+    by_size = _by_size(bounds)
+    at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("size"))
+    salted = items.withColumn("bucket", at(by_size)).withColumn(
+        "salt", F.pmod(F.xxhash64("record", "piece"), at([salts.get(b, 1) for b in by_size])).cast("int"))
+    parts = salted.groupBy("bucket", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = parts.select("bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("record", "piece"))
     return salted.withColumn("inside", inside).join(offsets, ["bucket", "salt"]).withColumn(
         "rank", F.col("offset") + F.col("inside") - 1)
@@ -186,34 +188,35 @@ def _bucketed(counts: np.ndarray, bounds: list[int]) -> dict[int, int]:
     return {b: int(counts[lo + 1: b + 1].sum()) for lo, b in zip([0, *bounds], bounds)}
 
 
-def _placed(items: DataFrame, bounds: list[int], plan: list[tuple[int, list[int]]], record: str, salts: int) -> DataFrame:
-    rows, base, used = [], 0, dict.fromkeys(bounds, 0)
+def _placed(items: DataFrame, bounds: list[int], counts: np.ndarray, plan: list[tuple[int, list[int]]], record: str, salt_items: int) -> DataFrame:
+    lists: dict[int, list[tuple[int, int, int]]] = {b: [] for b in bounds}
+    base, used = 0, dict.fromkeys(bounds, 0)
     for times, pattern in plan:
         for bucket in dict.fromkeys(pattern):
             per = pattern.count(bucket)
-            rows.append((bucket, used[bucket], used[bucket] + times * per, base, per))
+            lists[bucket].append((used[bucket], base, per))
             used[bucket] += times * per
         base += times
-    spark = items.sparkSession
-    table = spark.createDataFrame(rows, "bucket int, lo bigint, hi bigint, base bigint, per int")
-    ranked = _ranked(items, bounds, salts)
     # bounded by the capacity: every pattern uses up a bucket
-    placed = ranked.join(F.broadcast(table), "bucket").filter("rank >= lo AND rank < hi")
-    return placed.select(F.col("record").alias(record), "piece", F.col("size").alias("tokens"),
-                         (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).alias("container"))
+    table = items.sparkSession.createDataFrame(list(lists.items()), "bucket int, stretches array<struct<lo: bigint, base: bigint, per: int>>")
+    ranked = _ranked(items, bounds, counts, salt_items).join(F.broadcast(table), "bucket")
+    mine = F.element_at(F.filter("stretches", lambda x: x["lo"] <= F.col("rank")), -1)
+    return ranked.withColumn("x", mine).select(
+        F.col("record").alias(record), "piece", F.col("size").alias("tokens"),
+        (F.col("x.base") + F.floor((F.col("rank") - F.col("x.lo")) / F.col("x.per"))).alias("container"))
 
 
 def pack(df: DataFrame, record: str = "doc_id", text: str = "text", capacity: int = CAPACITY, buckets: int = BUCKETS,
-         tokenizer: str = TOKENIZER, salts: int = SALTS) -> DataFrame:
+         tokenizer: str = TOKENIZER, salt_items: int = SALT_ITEMS) -> DataFrame:
     """(record, piece, tokens, container): every piece with its container, composed across buckets."""
     items = cut(_items(df, record, text, capacity, tokenizer))
     counts = _histogram(items, capacity)
     bounds = boundaries(counts, buckets)
-    return _placed(items, bounds or [capacity], compose(capacity, _bucketed(counts, bounds)), record, salts)
+    return _placed(items, bounds or [capacity], counts, compose(capacity, _bucketed(counts, bounds)), record, salt_items)
 
 
 def bucket_batches(df: DataFrame, record: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-                   buckets: int = BUCKETS, tokenizer: str = TOKENIZER, salts: int = SALTS) -> DataFrame:
+                   buckets: int = BUCKETS, tokenizer: str = TOKENIZER, salt_items: int = SALT_ITEMS) -> DataFrame:
     """(record, piece, tokens, container): batches inside each bucket only."""
     items = cut(_items(df, record, text, capacity, tokenizer))
     counts = _histogram(items, capacity)
@@ -222,7 +225,7 @@ def bucket_batches(df: DataFrame, record: str = "doc_id", text: str = "text", ca
     for bucket, n in _bucketed(counts, bounds).items():
         full, rest = divmod(n, capacity // bucket)
         plan += [(full, [bucket] * (capacity // bucket))] * (full > 0) + [(1, [bucket] * rest)] * (rest > 0)
-    return _placed(items, bounds or [capacity], plan, record, salts)
+    return _placed(items, bounds or [capacity], counts, plan, record, salt_items)
 
 
 def fill(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -27,6 +27,8 @@ def test_boundaries_against_brute_force():
                 got = op.boundaries(counts, k, batched)
                 assert len(got) <= k and got[-1] == sizes[-1] and cost(got) == pytest.approx(best)
     assert op.boundaries(np.zeros(5, np.int64), 3) == []
+    counts[:] = [0, 3, 0, 1, 5, 0, 0, 2, 0, 0, 0, 0, 9]
+    assert op.boundaries(counts, 50) == [1, 3, 4, 7, 12]
 
 
 def test_compose_uses_every_item_once():
@@ -66,7 +68,7 @@ def test_round_trip(spark, f):
     rows = [(1, 2, 3, i, t) for i, t in texts.items()] + [(1, 2, 3, 600, None)]
     encode = op._encoding(op.TOKENIZER).encode_ordinary
     sizes = {i: len(encode(t)) for i, t in texts.items() if encode(t)}
-    got = [tuple(r) for r in f(spark.createDataFrame(rows, SCHEMA), capacity=64, buckets=9, salts=3).collect()]
+    got = [tuple(r) for r in f(spark.createDataFrame(rows, SCHEMA), capacity=64, buckets=9, salt_items=7).collect()]
     check(got, sizes, 64)
     one = op.fill(f(spark.createDataFrame(rows, SCHEMA), capacity=64), 64).first()
     assert one.tokens == sum(sizes.values())
