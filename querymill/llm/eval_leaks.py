@@ -8,8 +8,9 @@ of items use, or STRETCH words in a row that few groups hold; the best chain of
 Equal and nearly equal items make a group, in which a word or stretch counts once: items that share half of their
 n-grams are linked, found by bands of minimum hashes and checked exactly.
 
-The items are broadcast in blocks of at most BLOCK_WORDS words, one scan of the corpus for each block, so that
-what is broadcast is bounded however many items there are.
+The items are broadcast in blocks of at most BLOCK_WORDS words, one scan of the corpus for each block; a block's
+hits are written before the next block is made, so that what the driver and a worker hold is bounded however many
+items there are. Runs of one part of an item are one class in the chain, so a text that repeats a phrase costs no more.
 
 Defined results: null or blank texts and items without N words are no cases; items with equal texts leak
 together; rows sent twice under one identifier give one row; no items or no texts give an empty result. Whole
@@ -19,6 +20,7 @@ texts are scanned, in one pass.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -163,24 +165,50 @@ def runs_of(pairs: list[tuple[int, int]], own: np.ndarray, stretches: np.ndarray
 
 
 def best_chain(runs: list[Run]) -> tuple[int, list[Run]]:
-    """The most words held by at most MAX_RUNS runs that follow one another in the text and in the item."""
-    runs = sorted(runs, key=lambda r: (r.item, r.doc))
-    best: list[list[tuple[int, list[Run]]]] = []
-    top: tuple[int, list[Run]] = (0, [])
-    for i, r in enumerate(runs):
-        row = [(r.held, [r])]
-        for size in range(1, MAX_RUNS):
-            pick = (0, [])
-            for j in range(i):
-                q = runs[j]
-                over = max(0, q.item_end - r.item)
-                if len(best[j]) >= size and q.doc_end <= r.doc and q.item < r.item and over < r.held and over < q.held:
-                    held, chain = best[j][size - 1]
-                    if chain and held - over > pick[0]:
-                        pick = (held - over, chain)
-            row.append((pick[0] + r.held, [*pick[1], r]) if pick[1] else (0, []))
-        best.append(row)
-        top = max([top, *row], key=lambda x: x[0])
+    """The most words held by at most MAX_RUNS runs that follow one another in the text and in the item.
+
+    Runs that hold the same part of the item differ only in where they stand. Of those only the earliest one behind
+    what comes before is asked for, and of the chains up to a part only those that no other beats in both words
+    and end; so the work depends on the item, not on how often the text repeats itself.
+    """
+    classes: dict[tuple[int, int, int], list[Run]] = {}
+    for r in sorted(runs, key=lambda r: r.doc):
+        classes.setdefault((r.item, r.item_end, r.held), []).append(r)
+    order = sorted(classes)
+    starts = {c: [r.doc for r in classes[c]] for c in order}
+    soonest: dict[tuple[int, int, int], list[Run]] = {}  # at every place the run from there on that ends first
+    for c, own_runs in classes.items():
+        ends = list(own_runs)
+        for k in range(len(ends) - 2, -1, -1):
+            if ends[k + 1].doc_end < ends[k].doc_end:
+                ends[k] = ends[k + 1]
+        soonest[c] = ends
+    fronts = {c: [(soonest[c][0].doc_end, c[2], [soonest[c][0]])] for c in order}
+    top: tuple[int, list[Run]] = max(((f[0][1], f[0][2]) for f in fronts.values()), key=lambda x: x[0], default=(0, []))
+    for _ in range(1, MAX_RUNS):
+        longer: dict[tuple[int, int, int], list[tuple[int, int, list[Run]]]] = {}
+        for c in order:
+            item, _, own = c
+            met: list[tuple[int, int, list[Run]]] = []
+            for b, front in fronts.items():
+                over = max(0, b[1] - item)
+                if b[0] >= item or over >= own or over >= b[2]:
+                    continue
+                for end, held, chain in front:
+                    at = bisect_left(starts[c], end)
+                    if at < len(starts[c]):
+                        run = soonest[c][at]
+                        met.append((run.doc_end, held + own - over, [*chain, run]))
+            best, kept = 0, []
+            for end, held, chain in sorted(met, key=lambda x: (x[0], -x[1])):
+                if held > best:
+                    best = held
+                    kept.append((end, held, chain))
+            if kept:
+                longer[c] = kept
+                if kept[-1][1] > top[0]:
+                    top = (kept[-1][1], kept[-1][2])
+        fronts = longer
     return top
 
 
@@ -280,13 +308,14 @@ def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int,
 
 def _scan(df: DataFrame, items: DataFrame, columns: list, schema: str, item: str, item_text: str,
           make: Callable[[Index], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]) -> DataFrame:
-    out = None
+    out = df.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, item, item_text):
         shared = df.sparkSession.sparkContext.broadcast(build_index(block))
-        part = df.select(*columns).filter("doc IS NOT NULL AND text rlike '\\\\S'").mapInArrow(
+        part = df.select(*columns).filter("text rlike '\\\\S'").mapInArrow(
             lambda batches, shared=shared: make(shared.value)(batches), schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else df.sparkSession.createDataFrame([], schema)
+        out = out.union(cut(part))  # what was found, not the corpus
+        shared.destroy()
+    return out
 
 
 def leaks(df: DataFrame, items: DataFrame, record: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -304,36 +333,51 @@ def leaks(df: DataFrame, items: DataFrame, record: str = "doc_id", text: str = "
         return run
 
     columns = [F.col(record).cast("bigint").alias("doc"), F.col(text).alias("text")]
-    found = _scan(df, items, columns, "doc bigint, item bigint, share double", item, item_text, make)
+    found = _scan(df.filter(F.col(record).isNotNull()), items, columns, "doc bigint, item bigint, share double", item, item_text, make)
     return found.groupBy(F.col("doc").alias(record), F.col("item").cast(items.schema[item].dataType).alias(item)).agg(F.max("share").alias("share"))
 
 
 def without_leaks(df: DataFrame, items: DataFrame, record: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text") -> DataFrame:
-    """(record, <text>, removed): every text that is not null, leaked spans cut out, and the characters removed."""
-    blocks = list(_blocks(items, item, item_text))
-    cleaned = df.select(F.col(record).alias("record"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    cleaned = cleaned.withColumn("removed", F.lit(0).cast("bigint"))
-    schema = cleaned.select("record", "text", "removed").schema
-    for block in blocks:
-        shared = df.sparkSession.sparkContext.broadcast(build_index(block))
+    """(record, <text>, removed): every text that is not null, leaked spans cut out, and the characters removed.
+
+    Spans are found block by block and joined to the texts once, by the text's hash.
+    """
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def make(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, gone = [], []
-                for t, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    whole = _WRAP.sub("", t)
-                    spans = sorted(s for _, _, found in leaks_in(t, shared.value) for s in found)
-                    kept, at = [], 0
-                    for a, b in spans:
-                        if b > at:
-                            kept.append(whole[at:max(a, at)])
-                            at = b
-                    clean = "".join([*kept, whole[at:]]) if spans else t
-                    texts.append(clean)
-                    gone.append(before + (len(whole) - len(clean) if spans else 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())],
-                                                 names=["record", "text", "removed"])
-
-        cleaned = cleaned.mapInArrow(run, schema)
+                rows = [(h, a, b) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for _, _, spans in leaks_in(t, index) for a, b in spans]
+                cols = list(zip(*rows)) if rows else [[], [], []]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["txt", "a", "b"])
+
+        return run
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = [], []
+            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if not spans:
+                    texts.append(t)
+                    gone.append(0)
+                    continue
+                whole = _WRAP.sub("", t)
+                kept, at = [], 0
+                for a, b in sorted((s["a"], s["b"]) for s in spans):
+                    if b > at:
+                        kept.append(whole[at:max(a, at)])
+                        at = b
+                clean = "".join([*kept, whole[at:]])
+                texts.append(clean)
+                gone.append(len(whole) - len(clean))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())],
+                                             names=["record", "text", "removed"])
+
+    texts = df.select(F.col(record).alias("record"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("txt")).filter("text IS NOT NULL")
+    found = _scan(texts, items, [F.col("txt"), F.col("text")], "txt bigint, a bigint, b bigint", item, item_text, make)
+    spans = found.groupBy("txt").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # those of one text
+    joined = texts.join(spans, "txt", "left").select("record", "text", "spans")
+    schema = joined.select("record", "text", F.lit(0).cast("bigint").alias("removed")).schema
+    cleaned = joined.mapInArrow(remove, schema)
     return cleaned.select(F.col("record").alias(record), F.col("text").alias(text), "removed")

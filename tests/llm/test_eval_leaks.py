@@ -73,3 +73,47 @@ def test_single_changed_words_between_all_hits():
     index = op.build_index([(1, words + [f"x{i}" for i in range(15)], set(words), set())])
     text = " ".join("other" if i % 4 == 3 else w for i, w in enumerate(words))
     assert [(i, s) for i, s, _ in op.leaks_in(text, index)] == [(1, 0.5)]
+
+
+def plain_chain(runs):
+    best = 0
+
+    def grow(chain, held):
+        nonlocal best
+        best = max(best, held)
+        if len(chain) == op.MAX_RUNS:
+            return
+        q = chain[-1]
+        for r in runs:
+            over = max(0, q.item_end - r.item)
+            if q.doc_end <= r.doc and q.item < r.item and over < r.held and over < q.held:
+                grow([*chain, r], held + r.held - over)
+
+    for r in runs:
+        grow([r], r.held)
+    return best
+
+
+def test_chain_against_brute_force():
+    rnd = random.Random(7)
+    for _ in range(300):
+        runs = []
+        for _ in range(rnd.randint(0, 9)):
+            d, p, n = rnd.randrange(40), rnd.randrange(20), rnd.randint(3, 8)
+            runs.append(op.Run(d, d + n + rnd.randint(-2, 2), p, p + n, rnd.randint(n - 2, n)))
+        held, chain = op.best_chain(runs)
+        assert held == plain_chain(runs)
+        assert all(a.doc_end <= b.doc and a.item < b.item for a, b in zip(chain, chain[1:]))
+
+
+def test_a_text_that_repeats_a_phrase():
+    runs = [op.Run(10 * k, 10 * k + 5, p, p + 5, 5) for k in range(20_000) for p in (k % 7,)]
+    assert op.best_chain(runs)[0] == 11
+
+
+def test_texts_without_identifier_are_cleaned_too(spark):
+    rnd = random.Random(9)
+    tests = [(i, passage(rnd)) for i in range(5)]
+    docs = [(None, f"Before. {tests[1][1]} After."), (None, "clean"), (7, f"Before. {tests[1][1]} After."), (7, "other")]
+    got = sorted((r.text, r.removed > 0) for r in op.without_leaks(table(spark, docs), items(spark, tests)).collect())
+    assert got == [("Before. . After.", True)] * 2 + [("clean", False), ("other", False)]
