@@ -69,13 +69,13 @@ def sql_key(text: Column) -> Column:
 
 
 def field_list(normal: Column) -> Column:
-    """The selected fields of a statement in normal form."""
-    return F.trim(F.regexp_extract(normal, r"^select (.*?) from ", 1))
+    """The selected fields of a statement in normal form: of the first SELECT with a FROM behind it, wherever it stands."""
+    return F.trim(F.regexp_extract(normal, r"(?s)\bselect\b\s+(.*?)\s+\bfrom\b", 1))
 
 
 def group_fields(normal: Column) -> Column:
     """The GROUP BY fields of a statement in normal form."""
-    return F.trim(F.regexp_extract(normal, r" group by (.*?)(?: having | order by | limit |;|$)", 1))
+    return F.trim(F.regexp_extract(normal, r"(?s)\bgroup\s+by\b\s+(.*?)(?:\border\s+by\b|\bhaving\b|\blimit\b|;|$)", 1))
 
 
 def string_literals(sql: Column) -> Column:
@@ -119,11 +119,46 @@ def clean_answer(text: Column) -> Column:
 
 
 def answer_statements(text: Column) -> Column:
-    """The candidate list of a JSON answer, each once, in its order; empty where there is none."""
+    """The candidates of a JSON answer, its list ``sqls`` before its single ``sql``, each once; empty where there is none."""
     outer = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\{.*\})", 1)
-    listed = F.from_json(outer, "struct<sqls:array<string>>")["sqls"]
-    return F.array_distinct(F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda s: F.trim(s) != ""))
+    parsed = F.from_json(outer, "struct<sqls:array<string>,sql:string>")
+    listed = F.concat(F.coalesce(parsed["sqls"], F.array().cast("array<string>")), F.array(parsed["sql"]))
+    return F.array_distinct(F.filter(F.transform(listed, lambda s: F.trim(s)), lambda s: s != ""))
 
 
-def has_word(text: Column, word: str) -> Column:
-    return text.rlike(rf"\b{word}\b")
+def file_name(model: Column) -> Column:
+    """A model's name as part of a file name."""
+    return F.translate(model, "/: ", "___")
+
+
+def with_semicolon(sql: Column) -> Column:
+    """A target statement trimmed and closed by a semicolon; nothing stays nothing."""
+    bare = F.trim(F.coalesce(sql, F.lit("")))
+    return F.when((bare != "") & ~bare.endswith(";"), F.concat(bare, F.lit(";"))).otherwise(bare)
+
+
+# Words that are no value behind a keyword.
+_AGES = ("old", "young", "oldest", "youngest")
+
+
+def value_after(question: Column, keyword: str) -> Column:
+    """The word behind a keyword, in any case; null where there is none or it only tells an age."""
+    found = F.nullif(F.regexp_extract(question, rf"(?i){keyword}\s+([A-Za-z][A-Za-z-]*)", 1), F.lit(""))
+    return F.when(~F.lower(found).isin(*_AGES), found)
+
+
+def compared(question: Column) -> Column:
+    """(op, value) of the first comparison with a number in words; null where there is none."""
+    low = F.lower(question)
+    more = F.regexp_extract(low, r"(heavier|greater|more)\s+than\s+(\d+)", 2)
+    less = F.regexp_extract(low, r"(less|lighter|under)\s+than\s+(\d+)", 2)
+    pair = lambda op, v: F.struct(F.lit(op).alias("op"), v.try_cast("bigint").alias("value"))
+    return F.when(more != "", pair(">", more)).when(less != "", pair("<", less))
+
+
+def judgment(response: Column) -> Column:
+    """(winner, confidence, scores) of a judge's answer: the outermost braces as JSON; A without confidence where it can't be read."""
+    outer = F.regexp_extract(F.regexp_replace(F.coalesce(response, F.lit("")), r"```[a-zA-Z]*", ""), r"(?s)(\{.*\})", 1)
+    read = F.from_json(outer, "winner string, confidence double, scores map<string,struct<A:double,B:double>>")
+    return F.struct(F.when(F.upper(F.trim(read["winner"])) == "B", "B").otherwise("A").alias("winner"),
+                    F.coalesce(read["confidence"], F.lit(0.0)).alias("confidence"), read["scores"].alias("scores"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import identifier_words, plural_forms
+from ..functions.text import identifier_words, normal_question, plural_forms
 
 MAX_COLUMNS, MAX_KEYS = 80, 60
 
@@ -43,21 +43,21 @@ def _with_columns(catalog: DataFrame) -> DataFrame:
 
 
 def schema_docs(catalog: DataFrame) -> DataFrame:
-    """(doc_id, db_id, type, text): one chunk per table, column and foreign key."""
+    """(doc_id, db_id, type, text, tables): one chunk per table, column and foreign key, with the tables it is about."""
     flag = F.when(F.col("is_key"), F.lit(" [PK]")).otherwise("")
     cols = _with_columns(catalog)
     listed = cols.groupBy("db_id", "tbl", "table").agg(F.array_join(_listed(cols, F.concat(F.col("column"), F.lit(":"), F.col("type"), flag)), ", ").alias("cols"))
     text = lambda *parts: F.concat_ws("\n", F.concat(F.lit("Database: "), F.col("db_id")), *parts)
     line = lambda name, *c: F.concat(F.lit(name + ": "), *c)
     t = listed.select(F.concat_ws("::", "db_id", F.lit("table"), "table").alias("doc_id"), "db_id", F.lit("table").alias("type"),
-                      text(line("Table", F.col("table")), line("Columns", F.col("cols"))).alias("text"))
+                      text(line("Table", F.col("table")), line("Columns", F.col("cols"))).alias("text"), F.array("table").alias("tables"))
     dotted = F.concat_ws(".", "table", "column")
     c = columns(catalog).select(F.concat_ws("::", "db_id", F.lit("col"), dotted).alias("doc_id"), "db_id", F.lit("column").alias("type"),
-                                text(line("Column", dotted), line("Type", F.col("type"), flag)).alias("text"))
+                                text(line("Column", dotted), line("Type", F.col("type"), flag)).alias("text"), F.array("table").alias("tables"))
     to = F.concat_ws(".", "to_table", "to_column")
     hint = F.concat(F.col("table"), F.lit(" JOIN "), F.col("to_table"), F.lit(" ON "), dotted, F.lit(" = "), to)
     f = foreign_keys(catalog).select(F.concat_ws("::", "db_id", F.lit("fk"), F.col("pos").cast("string")).alias("doc_id"), "db_id", F.lit("fk").alias("type"),
-                                     text(line("ForeignKey", dotted, F.lit(" -> "), to), line("JoinHint", hint)).alias("text"))
+                                     text(line("ForeignKey", dotted, F.lit(" -> "), to), line("JoinHint", hint)).alias("text"), F.array("table", "to_table").alias("tables"))
     return t.unionByName(c).unionByName(f)
 
 
@@ -81,33 +81,42 @@ def schema_text(catalog: DataFrame) -> DataFrame:
 
 
 def schema_links(pool: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(pool_id, n_tables, n_columns): tables and columns of its database that a statement names.
+    """(pool_id, n_tables, n_columns): tables of its database that a statement names, and columns, by name or with their table before.
 
-    The catalog has one row per database and is joined by a shuffle unless Spark finds it small.
+    Columns of one name in several tables count each, as a bare name may mean any. The catalog has one row per
+    database and is joined by a shuffle unless Spark finds it small.
     """
-    names = catalog.select(F.lower(F.trim("db_id")).alias("db"), F.array_distinct(F.transform("table_names_original", F.lower)).alias("tables"),
-                           F.array_distinct(F.transform("column_names_original", lambda c: F.lower(c["name"]))).alias("cols"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("sql", F.lit(""))), F.lit("[a-z_][a-z0-9_]*"), F.lit(0)))
-    used = pool.select("pool_id", F.lower(F.trim("db_id")).alias("db"), words.alias("words"))
-    return used.join(names, "db").select("pool_id", F.size(F.array_intersect("words", "tables")).alias("n_tables"), F.size(F.array_intersect("words", "cols")).alias("n_columns"))
+    db = F.lower(F.trim("db_id")).alias("db")
+    qualified = F.transform(F.filter("column_names_original", lambda c: c["tbl"] >= 0), lambda c: F.struct(
+        F.lower(c["name"]).alias("name"), F.lower(F.concat_ws(".", F.get("table_names_original", c["tbl"]), c["name"])).alias("qualified")))
+    names = catalog.select(db, F.transform("table_names_original", F.lower).alias("tables"), qualified.alias("cols"))
+    low = F.lower(F.coalesce("sql", F.lit("")))
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z_][a-z0-9_]*"), F.lit(0)))
+    used = pool.select("pool_id", db, low.alias("low"), words.alias("words"))
+    hit = lambda c: F.array_contains("words", c["name"]) | F.contains("low", c["qualified"])
+    return used.join(names, "db").select(
+        "pool_id", F.size(F.filter("tables", lambda t: F.array_contains("words", t))).alias("n_tables"), F.size(F.filter("cols", hit)).alias("n_columns"))
 
 
 def relevant_tables(items: DataFrame, catalog: DataFrame, top: int = 3) -> DataFrame:
     """(idx, table, score, place): tables by 3 for every word of the name, 2 for every column word, 1 for every column met.
 
-    Tables without a score are left out; a database's few tables are ranked inside the row.
+    Tables without a score are left out, but where none has one the database's first two stand in, in catalog
+    order. A database's few tables are ranked inside the row.
     """
     cols = columns(catalog).groupBy("db_id", "tbl", "table").agg(F.array_sort(F.collect_list("column")).alias("cols"))
     words = F.array_distinct(F.flatten(F.transform("cols", identifier_words)))
-    described = cols.select(F.lower(F.trim("db_id")).alias("db"), F.struct(F.col("table"), F.array_distinct(identifier_words(F.col("table"))).alias("tw"), words.alias("cw"),
+    described = cols.select(F.lower(F.trim("db_id")).alias("db"), F.struct(F.col("tbl"), F.col("table"), F.array_distinct(identifier_words(F.col("table"))).alias("tw"), words.alias("cw"),
                                                                  F.transform("cols", identifier_words).alias("each")).alias("t"))
-    per_db = described.groupBy("db").agg(F.collect_list("t").alias("ts"))
+    per_db = described.groupBy("db").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     asked = items.filter("question IS NOT NULL AND db_id IS NOT NULL").select(
         "idx", F.lower(F.trim("db_id")).alias("db"), plural_forms(F.array_distinct(identifier_words(F.col("question")))).alias("q"))
     score = lambda t: (3 * F.size(F.array_intersect("q", t["tw"])) + 2 * F.size(F.array_intersect("q", t["cw"]))
                        + F.size(F.filter(t["each"], lambda w: F.size(F.array_intersect("q", w)) > 0)))
     ranked = F.array_sort(F.filter(F.transform("ts", lambda t: F.struct((-score(t)).alias("s"), t["table"].alias("table"))), lambda x: x["s"] < 0))
-    return asked.join(per_db, "db").select("idx", F.posexplode(F.slice(ranked, 1, top)).alias("p", "x")).select(
+    instead = F.transform(F.slice("ts", 1, min(2, top)), lambda t: F.struct(F.lit(0).alias("s"), t["table"].alias("table")))
+    shown = asked.join(per_db, "db").withColumn("ranked", ranked).select("idx", F.when(F.size("ranked") > 0, F.slice("ranked", 1, top)).otherwise(instead).alias("shown"))
+    return shown.select("idx", F.posexplode("shown").alias("p", "x")).select(
         "idx", F.col("x.table").alias("table"), (-F.col("x.s")).alias("score"), (F.col("p") + 1).alias("place"))
 
 
@@ -142,3 +151,13 @@ def ordered_docs(docs: DataFrame, limit: int = 120) -> DataFrame:
     rank = F.when(F.col("type") == "table", 0).when(F.col("type") == "fk", 1).when(F.col("type") == "column", 2).otherwise(99)
     place = F.row_number().over(Window.partitionBy("db_id").orderBy(rank, "doc_id"))
     return docs.withColumn("place", place).filter(F.col("place") <= limit).select("db_id", "doc_id", "place")
+
+
+def question_lookup(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """(idx, found): for every wanted question the first known item of its database with the same normal question.
+
+    Known questions are reduced to one row for each database and normal form before they are joined.
+    """
+    key = [F.lower(F.trim("db_id")).alias("db"), normal_question(F.col("question")).alias("q")]
+    first = known.select("idx", *key).filter("db IS NOT NULL AND q <> ''").groupBy("db", "q").agg(F.min("idx").alias("found"))
+    return wanted.select("idx", *key).filter("db IS NOT NULL AND q <> ''").join(first, ["db", "q"]).select("idx", "found")

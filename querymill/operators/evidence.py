@@ -37,7 +37,8 @@ def merged(ev: DataFrame) -> DataFrame:
     return ev.groupBy("idx", "sql_key").agg(
         F.count_distinct(F.when(F.col("same"), F.col("backend"))).alias("n_same"), F.count_distinct(F.when(F.col("ok"), F.col("backend"))).alias("n_ok"),
         F.count_distinct("backend").alias("n_backends"), F.max("stage_rank").alias("best_stage"), F.min("arrival").alias("arrival"),
-        F.length("sql_key").alias("length"))
+        # the statement as the last evidence wrote it
+        F.length(F.max_by("sql", F.struct("arrival", "sql"))).alias("length"))
 
 
 def by_evidence(ev: DataFrame) -> DataFrame:
@@ -47,11 +48,64 @@ def by_evidence(ev: DataFrame) -> DataFrame:
 
 
 def stage_mode(ev: DataFrame) -> DataFrame:
-    """Per question the stage most of its running evidence has, then the more original, then the name."""
-    votes = ev.filter("ok").groupBy("idx", "stage", "stage_rank").agg(F.count("*").alias("votes"))
+    """Per question the stage that most of the evidence of its selected statement has, then the more original, then the name."""
+    chosen = by_evidence(ev).select("idx", "sql_key")
+    votes = ev.join(chosen, ["idx", "sql_key"], "left_semi").groupBy("idx", "stage", "stage_rank").agg(F.count("*").alias("votes"))
     return first_by(votes, ["idx"], [-F.col("votes"), -F.col("stage_rank"), F.col("stage")], ["stage", "votes"])
 
 
+def output_summary(ev: DataFrame) -> DataFrame:
+    """(measure, value): how many selected statements agree and run, on any and on all three backends, and their evidence by stage."""
+    chosen = by_evidence(ev)
+    flags = {"total": F.lit(True), "has_same_result": F.col("n_same") > 0, "has_exec_ok": F.col("n_ok") > 0, "all_three_same_result": F.col("n_same") == 3, "all_three_exec_ok": F.col("n_ok") == 3}
+    counted = chosen.agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
+    stages = ev.join(chosen.select("idx", "sql_key"), ["idx", "sql_key"], "left_semi").groupBy("stage").agg(F.count("*").alias("value"))
+    long = counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in flags])).alias("x")).select("x.*")
+    return long.unionByName(stages.select(F.concat(F.lit("stage:"), "stage").alias("measure"), "value"))
+
+
+def long_evidence(wide: DataFrame, backend: str = "mysql", prefix: str = "mysql_") -> DataFrame:
+    """Evidence of a backend's wide rows: the raw run, the normalised statement if one was used, the model's repair if one was attempted.
+
+    The raw statement is the backend's own, or the selected one where it has none.
+    """
+    c = lambda name: F.col(f"{prefix}{name}")
+    stage = c("dialect_repair_stage")
+    row = lambda name, sql, ok, same, error, used: F.when(used, F.struct(
+        F.lit(name).alias("stage"), sql.alias("sql"), F.coalesce(ok, F.lit(False)).alias("exec_ok"), F.coalesce(same, F.lit(False)).alias("same_result"), error.alias("error")))
+    repaired = lambda name, used: row(name, c("dialect_repair_sql"), c("dialect_repair_exec_ok"), c("dialect_repair_exec_ok"), c("dialect_repair_error"), used)
+    rows = F.array(
+        row("raw", F.coalesce(c("sql"), F.col("selected_sql")), c("exec_ok"), c("crossdb_same_result"), c("exec_error"), F.lit(True)),
+        repaired("normalize", F.coalesce(stage == "normalize", F.lit(False))),
+        repaired("llm_repair", F.coalesce((stage == "llm") & c("dialect_repair_attempted"), F.lit(False))))
+    long = wide.filter("idx IS NOT NULL").select("repair_id", "idx", F.lit(backend).alias("backend"), F.explode(rows).alias("x")).filter("x IS NOT NULL")
+    return long.select("repair_id", "idx", "backend", "x.*").filter("sql IS NOT NULL")
+
+
+def dialect_stage(wide: DataFrame, budget: int) -> DataFrame:
+    """(repair_id, due): pass where the raw run gave the same result, normalize where that mended it, else a model's turn while the budget lasts, by identifier."""
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+    normalised = F.coalesce(F.col("mysql_dialect_repair_stage") == "normalize", F.lit(False)) & flag("mysql_dialect_repair_exec_ok")
+    staged = wide.filter("repair_id IS NOT NULL").select("repair_id", F.when(flag("mysql_exec_ok") & flag("mysql_crossdb_same_result"), "pass").when(normalised, "normalize").otherwise("llm").alias("due"))
+    within = staged.filter("due = 'llm'").select("repair_id").orderBy("repair_id").limit(budget).withColumn("within", F.lit(True))  # the budget is the feature
+    return staged.join(within, "repair_id", "left").select(
+        "repair_id", F.when((F.col("due") == "llm") & F.col("within").isNull(), "over_budget").otherwise(F.col("due")).alias("due"))
+
+
+def base_row(ev: DataFrame) -> DataFrame:
+    """(idx, backend, sql): the raw statement of the first backend, in their order, that has one."""
+    return first_by(ev.filter("stage = 'raw'"), ["idx"], [F.col("arrival"), F.col("backend"), F.col("sql")], ["backend", "sql"])
+
+
+def mismatch_hint(target: Column, candidate: Column, rows: int = 3) -> Column:
+    """What a repair is told of two results: their numbers of rows and first rows in normal order."""
+    from ..functions.equality import normal_rows
+
+    part = lambda c: F.coalesce(normal_rows(c), F.array().cast("array<array<string>>"))
+    text = lambda c: F.concat(F.size(part(c)).cast("string"), F.lit(", sample="), F.to_json(F.slice(part(c), 1, rows)))
+    return F.concat(F.lit("target rows="), text(target), F.lit("; candidate rows="), text(candidate))
+
+
 def portability(ev: DataFrame) -> DataFrame:
     """Per question: runs on all backends, same result on all, raw and with the later stages."""
     flags = {f"{name}_{what}": F.count_distinct(F.when(cond & F.col(what), F.col("backend")))

@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.equality import MISSING, is_empty
+from ..functions.equality import MISSING, is_empty, typed_key
+from .pool import first_by
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -45,9 +46,26 @@ def source_and_all(pool: DataFrame) -> DataFrame:
 
 
 def selected(choice: DataFrame) -> DataFrame:
-    """Of a selection: executable and correct shares, share of repaired variants."""
+    """Of a selection: executable and correct shares, share and number of repaired variants, mean latency where one is known."""
+    repaired = F.col("variant").isin("repair", "strong_repair")
+    latency = F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 4) if "latency_ms" in choice.columns else F.lit(0.0)
     return choice.agg(F.count("*").alias("questions"), share(F.col("ok")).alias("exec_rate"), share(F.col("correct")).alias("accuracy"),
-                      share(F.col("variant") == "strong_repair").alias("repair_share"))
+                      share(repaired).alias("repair_share"), F.count_if(repaired).alias("repairs"), latency.alias("mean_latency_ms"))
+
+
+def with_latency(choice: DataFrame, pool: DataFrame) -> DataFrame:
+    return choice.join(pool.select("pool_id", "latency_ms"), "pool_id")
+
+
+def exec_accuracy(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """Executed predictions (idx, ok, result) against executed gold statements of the same columns: equal bags of typed rows are right."""
+    g = gold.select("idx", F.col("ok").alias("gold_ok"), typed_key(F.col("result")).alias("gold_key"))
+    p = predicted.select("idx", F.col("ok").alias("pred_ok"), typed_key(F.col("result")).alias("pred_key"))
+    ok = lambda c: F.coalesce(F.col(c), F.lit(False))
+    right = ok("gold_ok") & ok("pred_ok") & F.coalesce(F.col("gold_key") == F.col("pred_key"), F.lit(False))
+    return p.join(g, "idx", "left").agg(
+        F.count("*").alias("total"), F.count_if(ok("gold_ok")).alias("gold_executable"), F.count_if(ok("pred_ok")).alias("pred_executable"),
+        share(ok("gold_ok")).alias("gold_exec_rate"), share(ok("pred_ok")).alias("pred_exec_rate"), F.count_if(right).alias("exec_correct"), share(right).alias("exec_acc"))
 
 
 def histogram(df: DataFrame, by: str, right: str = "correct") -> DataFrame:
@@ -94,6 +112,20 @@ def repairs(pool: DataFrame) -> DataFrame:
         share(F.col("ok")).alias("repair_rate"), F.count_if(F.col("ok") & ~F.col("original_ok")).alias("mended"))
 
 
+def first_before_after(pool: DataFrame) -> DataFrame:
+    """Per source, of the first candidate of each question: rates before repair, and after a repair that runs took the place of a failed original.
+
+    Rates over no question are null.
+    """
+    first = first_by(pool.filter("repaired = 0"), ["idx", "source"], [F.col("ord"), F.col("pool_id")], ["candidate_index", "ok", "correct"])
+    fixed = pool.filter("repaired = 1").groupBy("idx", "source", "candidate_index").agg(F.max("ok").alias("r_ok"), F.max(F.col("ok") & F.col("correct")).alias("r_right"))
+    both = first.join(fixed, ["idx", "source", "candidate_index"], "left").na.fill(False, ["r_ok", "r_right"])
+    after_ok, after_right = F.col("ok") | F.col("r_ok"), F.when(F.col("ok"), F.col("correct")).when(F.col("r_ok"), F.col("r_right")).otherwise(F.col("correct"))
+    exact = lambda flag: F.round(F.try_divide(F.count_if(flag).cast("double"), F.count("*")), 6)
+    return both.groupBy("source").agg(F.count("*").alias("questions"), exact(F.col("ok")).alias("exec_before"), exact(F.col("correct")).alias("accuracy_before"),
+                                      exact(after_ok).alias("exec_after"), exact(after_right).alias("accuracy_after"))
+
+
 def before_after(pool: DataFrame) -> DataFrame:
     """Per source and question: the best original, and with repairs that run or are right in its place."""
     per = pool.groupBy("source", "idx").agg(

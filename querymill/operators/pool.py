@@ -6,12 +6,12 @@ choices per question are aggregates over structs, which Spark combines before th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.equality import MISSING, is_empty, result_key
+from ..functions.equality import MISSING, is_empty, result_key, rows_of
 
 # Sources by reliability, best first; anything else ranks behind.
 SOURCES = ("embedrag", "bm25rag", "lora_rag", "loraonly_ep3", "promptonly")
@@ -60,16 +60,13 @@ def with_support(pool: DataFrame) -> DataFrame:
     return joined.withColumn("support", F.when(F.col("ok"), F.coalesce("support", F.lit(0))).otherwise(0))
 
 
-def question_totals(pool: DataFrame) -> DataFrame:
-    return pool.groupBy("idx").agg(
-        F.count("*").alias("n_candidates"), F.count_if("ok").alias("n_ok"), F.max("correct").alias("any_correct"),
-        F.approx_count_distinct(F.when(F.col("ok"), F.col("key")), 0.01).alias("n_results_about"))
-
-
 def enriched(pool: DataFrame) -> DataFrame:
-    """Support and its share of the question's executable candidates."""
-    totals = pool.groupBy("idx").agg(F.count_if("ok").alias("n_ok"))
-    return with_support(pool).join(totals, "idx").withColumn(
+    """Support and its share of the question's executable candidates, by one join with a row for each result of a question."""
+    results = pool.groupBy("idx", "key").agg(F.count_if("ok").alias("n"))
+    totals = results.groupBy("idx").agg(F.sum("n").alias("n_ok"))
+    known = results.join(totals, "idx")
+    support = F.when(F.col("ok") & (F.col("key") != MISSING), F.col("n")).otherwise(0)
+    return pool.join(known, ["idx", "key"]).withColumn("support", support).drop("n").withColumn(
         "support_share", F.when(F.col("n_ok") > 0, F.round(F.col("support") / F.col("n_ok"), 6)).otherwise(0.0))
 
 
@@ -92,10 +89,59 @@ def nested_candidates(items: DataFrame) -> DataFrame:
         "idx", "position", "c.source", "c.sql", "c.model", F.col("c.error").alias("error"))
 
 
-def nest(candidates: DataFrame, limit: int = 1000) -> DataFrame:
-    """The candidates of a question as one array by position; positions from ``limit`` on stay out, so an array is bounded."""
+def nest(candidates: DataFrame, size: int = 1000) -> DataFrame:
+    """(idx, chunk, candidates): the candidates of a question by position, in arrays of at most ``size`` positions."""
     packed = F.struct("position", "source", "sql", "model", "error")
-    return candidates.filter(F.col("position") < limit).groupBy("idx").agg(F.array_sort(F.collect_list(packed)).alias("candidates"))
+    return candidates.groupBy("idx", F.floor(F.col("position") / size).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list(packed)).alias("candidates"))
+
+
+def zipped(base: DataFrame, sources: Mapping[str, DataFrame]) -> DataFrame:
+    """(idx, position, source, sql, model, error): predictions of several sources side by side, by the number of their row.
+
+    A source without a row leaves its candidate out; rows beyond the base are left out.
+    """
+    parts = [df.select("idx", F.lit(k).alias("position"), F.lit(name).alias("source"), "sql", "model", "error") for k, (name, df) in enumerate(sources.items())]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both.join(base.select("idx"), "idx", "left_semi")
+
+
+def wide_candidates(pool: DataFrame) -> DataFrame:
+    """One row per candidate with its repair beside it, as the repair stages write them; of rows sent again the first counts."""
+    taken = ["sql", "ok", "correct", "labeled", "result", "latency_ms", "repair_available"]
+    first = first_by(pool.filter("candidate_index IS NOT NULL"), ["idx", "candidate_index", "repaired"], [F.col("ord"), F.col("pool_id")], ["source", *taken])
+    of = lambda k: F.min(F.when(F.col("repaired") == k, F.struct(F.col("source"), *[F.col(c) for c in taken])))
+    both = first.groupBy("idx", "candidate_index").agg(of(0).alias("o"), of(1).alias("r")).filter("o IS NOT NULL")
+    return both.select(
+        "idx", "candidate_index", F.col("o.source").alias("source"), *[F.col(f"o.{c}").alias(c) for c in taken[:-1]],
+        F.col("r").isNotNull().alias("repair_attempted"), *[F.col(f"r.{c}").alias(f"repair_{c}") for c in taken[:-1]])
+
+
+def united(wide: DataFrame, rule: str) -> DataFrame:
+    """Originals and repairs in one pool, each question's in their order.
+
+    weak and strong: a repair that was attempted, a strong one without latency; scored: attempted or with a
+    statement, labels left out.
+    """
+    if rule not in ("weak", "strong", "scored"):
+        raise ValueError(f"unknown rule {rule!r}")
+    attempted = F.coalesce("repair_attempted", F.lit(False))
+    there = attempted | (F.trim(F.coalesce("repair_sql", F.lit(""))) != "") if rule == "scored" else attempted
+    shown = ["idx", "candidate_index", "source"]
+    label = [] if rule == "scored" else [F.coalesce("correct", F.lit(False)).alias("correct")]
+    original = wide.select(*shown, F.lit("original").alias("variant"), "sql", F.coalesce("ok", F.lit(False)).alias("ok"), *label, "result", "latency_ms")
+    label = [] if rule == "scored" else [F.coalesce("repair_correct", F.lit(False)).alias("correct")]
+    latency = F.col("repair_latency_ms") if rule == "weak" else F.lit(None).cast("double")
+    name = "repair" if rule == "weak" else "strong_repair"
+    repair = wide.filter(there).select(*shown, F.lit(name).alias("variant"), F.col("repair_sql").alias("sql"), F.coalesce("repair_ok", F.lit(False)).alias("ok"), *label,
+                                       F.col("repair_result").alias("result"), latency.alias("latency_ms"))
+    return original.unionByName(repair)
+
+
+def preview(result: Column, rows: int = 5) -> Column:
+    """The first rows of a result."""
+    return F.slice(rows_of(result), 1, rows)
 
 
 def needs_repair(pool: DataFrame, mode: str = "strong") -> Column:

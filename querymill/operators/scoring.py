@@ -32,6 +32,7 @@ STATEMENT = {
     "anti": r"\bnot\s+in\s*\(|\bnot\s+exists\b", "is_null": r"\bis\s+null\b", "member": r"\bin\s*\(|\bexists\b|\bdistinct\b",
     "isofficial": "isofficial", "governmentform": "governmentform", "enrollment": "enrollment", "where": r"\bwhere\b", "distinct": r"\bdistinct\b",
 }
+# How far each source is relied on, and names of columns that hold text.
 RELIABILITY = {"embedrag": 5.0, "bm25rag": 4.0, "lora_rag": 3.0, "promptonly": 1.0, "loraonly_ep3": 0.5}
 _TEXT_LIKE = r"\b(name|text|title|first_name|last_name|fname|lname)\b"
 
@@ -157,7 +158,7 @@ def candidate_kinds(pool: DataFrame) -> DataFrame:
     rows = F.from_json("result", "array<array<string>>")
     shape = F.when(rows.isNotNull(), F.concat_ws("x", F.size(rows), F.when(F.size(rows) > 0, F.size(F.get(rows, 0))).otherwise(0))).otherwise("none")
     typed = with_support(pool).withColumn("shape", shape)
-    right = typed.filter("labeled AND ok AND correct").select("idx", "shape").distinct().withColumn("right_shape", F.lit(True))
+    right = typed.filter("labeled AND correct").select("idx", "shape").distinct().withColumn("right_shape", F.lit(True))
     joined = typed.join(right, ["idx", "shape"], "left")
     wrong = F.col("labeled") & F.col("ok") & ~F.col("correct")
     kind = (

@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.equality import MISSING
 from .pool import first_by, source_rank, with_support
 
 KEEP = ["pool_id", "source", "variant", "ok", "correct"]
@@ -49,7 +48,9 @@ def by_score(pool: DataFrame) -> DataFrame:
 
 
 def fixed_model(pool: DataFrame, default: str = "embedrag") -> DataFrame:
-    return _pick(pool, F.col("source") != default, ~F.col("ok"), F.col("rank"))
+    """The first candidate of the default model, whether it runs or not; without one an executable candidate by rank, else any."""
+    other = F.col("source") != default
+    return _pick(pool, other, F.when(other, ~F.col("ok")), F.when(other, F.col("rank")))
 
 
 def oracle_model(pool: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def semantic_score(pool: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def _by_result(pool: DataFrame, inner: list[Column], keep: list[str]) -> DataFrame:
     """One row per question and result with its votes and best candidate; failed candidates make one result without votes."""
     key = F.when(F.col("ok"), F.col("key")).otherwise("\x00")
-    votes = F.when(F.first("ok") & (F.first("key") != MISSING), F.count("*")).otherwise(0)
+    votes = F.when(F.first("ok"), F.count("*")).otherwise(0)
     best = F.min(F.struct(*[o.alias(f"_{i}") for i, o in enumerate([*inner, *_col("ord", "pool_id")])], *[F.col(k).alias(f"k_{k}") for k in keep]))
     return pool.withColumn("group_key", key).groupBy("idx", "group_key").agg(
         votes.alias("votes"), F.max("ok").alias("g_ok"), F.max("empty").alias("g_empty"), best.alias("best"))
@@ -122,38 +123,38 @@ def hybrid(pool: DataFrame, margin: float = 0.25) -> DataFrame:
 
 
 def conservative_switch(pool: DataFrame, default: str = "embedrag") -> DataFrame:
-    """Keep the default model's candidate unless the others give a reason, by a list of decisions.
+    """Keep the default model's first candidate unless the others give a reason, by a list of decisions.
 
     Nothing executable: the default, else the best source. Default missing or failed: consensus. Default shared
     and not empty: keep. Some non-empty result shared by three: that. Default empty and another not: that.
-    Default alone and two others agree on a non-empty result: that. Else keep.
+    Default alone and two others agree on a non-empty result: the best of such others. Else keep.
     """
     is_default = F.col("source") == default
     keyed = pool.withColumn("group_key", F.when(F.col("ok"), F.col("key")).otherwise("\x00"))
     keep = [F.col(k).alias(f"k_{k}") for k in KEEP]
-    inner = [F.col("rank").alias("_0"), F.when(F.col("ok"), F.col("latency")).otherwise(0.0).alias("_1"), F.col("ord").alias("_2"), F.col("pool_id").alias("_3")]
+    row = F.struct(F.col("rank").alias("_0"), F.col("ord").alias("_1"), F.col("pool_id").alias("_2"), *keep)
     own = F.struct(F.col("ord").alias("_0"), F.col("pool_id").alias("_1"), *keep)
     groups = keyed.groupBy("idx", "group_key").agg(
-        F.when(F.first("ok") & (F.first("key") != MISSING), F.count("*")).otherwise(0).alias("votes"),
-        F.count_if(~is_default).alias("others"), F.max("ok").alias("g_ok"), F.max("empty").alias("g_empty"),
-        F.min(F.struct(*inner, *keep)).alias("best"), F.min(F.when(is_default, own)).alias("default_row"))
-    ranked = F.struct(-F.col("votes").alias("v"), F.col("g_empty").alias("e"), F.col("best").alias("b"))
+        F.when(F.first("ok"), F.count("*")).otherwise(0).alias("votes"), F.count_if(~is_default).alias("others"),
+        F.max("ok").alias("g_ok"), F.max("empty").alias("g_empty"), F.min(row).alias("best"),
+        F.min(F.when(~is_default, row)).alias("best_other"), F.min(F.when(is_default, own)).alias("default_row"))
     full = F.col("g_ok") & ~F.col("g_empty")
+    votes = -F.col("votes").alias("v")
     per = groups.groupBy("idx").agg(
-        F.max("g_ok").alias("any_ok"), F.min(F.when(F.col("g_ok"), ranked)).alias("consensus"), F.min(F.when(full, ranked)).alias("full_best"),
-        F.max(F.when(full, F.col("votes"))).alias("full_votes"), F.max(F.when(full, F.col("others"))).alias("full_others"),
-        F.min(F.when(~F.col("g_ok"), F.col("best"))).alias("failed_best"), F.min("default_row").alias("any_default"),
-        F.min(F.when(F.col("g_ok") & F.col("default_row").isNotNull(), F.struct("default_row", "votes", "g_empty"))).alias("d"))
-    row = lambda c: F.struct(*[F.col(f"{c}.k_{k}").alias(k) for k in KEEP])
-    best_full = row("full_best.b")
+        F.max("g_ok").alias("any_ok"), F.min(F.when(F.col("g_ok"), F.struct(votes, F.col("g_empty").alias("e"), F.col("best").alias("b")))).alias("consensus"),
+        F.min(F.when(full, F.struct(votes, F.col("best").alias("b")))).alias("full_best"), F.max(F.when(full, F.col("votes"))).alias("full_votes"),
+        F.min(F.when(full & (F.col("others") >= 2), F.struct(votes, F.col("best_other").alias("b")))).alias("agreed"),
+        F.min(F.when(~F.col("g_ok"), F.col("best"))).alias("failed_best"),
+        F.min(F.when(F.col("default_row").isNotNull(), F.struct("default_row", "votes", "g_empty", "g_ok"))).alias("d"))
+    shown = lambda c: F.struct(*[F.col(f"{c}.k_{k}").alias(k) for k in KEEP])
     chosen = (
-        F.when(~F.col("any_ok"), F.when(F.col("any_default").isNotNull(), row("any_default")).otherwise(row("failed_best")))
-        .when(F.col("d").isNull(), row("consensus.b"))
-        .when((F.col("d.votes") >= 2) & ~F.col("d.g_empty"), row("d.default_row"))
-        .when(F.coalesce(F.col("full_votes"), F.lit(0)) >= 3, best_full)
-        .when(F.col("d.g_empty") & F.col("full_best").isNotNull(), best_full)
-        .when((F.col("d.votes") == 1) & (F.coalesce(F.col("full_others"), F.lit(0)) >= 2), best_full)
-        .otherwise(row("d.default_row")))
+        F.when(~F.col("any_ok"), F.when(F.col("d").isNotNull(), shown("d.default_row")).otherwise(shown("failed_best")))
+        .when(F.col("d").isNull() | ~F.col("d.g_ok"), shown("consensus.b"))
+        .when((F.col("d.votes") >= 2) & ~F.col("d.g_empty"), shown("d.default_row"))
+        .when(F.coalesce(F.col("full_votes"), F.lit(0)) >= 3, shown("full_best.b"))
+        .when(F.col("d.g_empty") & F.col("full_best").isNotNull(), shown("full_best.b"))
+        .when((F.col("d.votes") == 1) & F.col("agreed").isNotNull(), shown("agreed.b"))
+        .otherwise(shown("d.default_row")))
     return per.select("idx", chosen.alias("x")).select("idx", "x.*")
 
 
@@ -186,6 +187,56 @@ def corrected(judged: DataFrame, min_confidence: float = 0.72, min_gain: float =
     return per.select("idx", F.aggregate("steps", start, step).alias("x")).select("idx", "x.*")
 
 
+# What a judge scores each side by.
+CRITERIA = ("selected_output", "filters", "aggregation_grouping", "join_schema_grounding", "ordering_limit_distinct", "result_plausibility")
+
+
+def rubric_total(scores: Column, side: str) -> Column:
+    """The sum of a side's scores over all criteria; a missing or unreadable one counts nothing."""
+    return sum((F.coalesce(F.try_element_at(scores, F.lit(c))[side], F.lit(0.0)) for c in CRITERIA), F.lit(0.0))
+
+
+def with_judgments(alternatives: DataFrame, cache: DataFrame) -> DataFrame:
+    """Alternatives with the recorded judgment of their ``cache_key``; without one the base wins, without confidence.
+
+    The cache has (cache_key, response); of several entries the last in order of the text counts.
+    """
+    from ..functions.text import judgment
+
+    last = cache.groupBy("cache_key").agg(F.max("response").alias("response"))
+    read = alternatives.join(last, "cache_key", "left").withColumn("j", judgment(F.col("response")))
+    return read.select(*alternatives.columns, F.col("j.winner").alias("winner"), F.col("j.confidence").alias("confidence"),
+                       rubric_total(F.col("j.scores"), "A").alias("total_a"), rubric_total(F.col("j.scores"), "B").alias("total_b"))
+
+
+def matched_choice(choices: DataFrame, pool: DataFrame) -> DataFrame:
+    """(choice_id, pool_id): the first candidate of a question that a recorded choice (choice_id, idx, source, variant, sql) means.
+
+    What the choice leaves open (null or '') is not compared; statements are compared without case and outer blanks.
+    Choices with a statement meet candidates by it, those without by source and variant, so that no question is paired with itself.
+    """
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    plain = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    asked = choices.filter("idx IS NOT NULL").select("choice_id", "idx", some("source").alias("c_source"), some("variant").alias("c_variant"), plain("sql").alias("text"))
+    there = pool.withColumn("text", plain("sql"))
+    by_text = first_by(there, ["idx", "text", "source", "variant"], _col("ord", "pool_id"), ["ord", "pool_id"])
+    by_source = first_by(there, ["idx", "source", "variant"], _col("ord", "pool_id"), ["ord", "pool_id"])
+    fits = (F.col("c_source").isNull() | (F.col("c_source") == F.col("source"))) & (F.col("c_variant").isNull() | (F.col("c_variant") == F.col("variant")))
+    told = asked.filter("text <> ''").join(by_text, ["idx", "text"]).filter(fits)
+    bare = asked.filter("text = ''").join(by_source, "idx").filter(fits)
+    both = told.select("choice_id", "ord", "pool_id").unionByName(bare.select("choice_id", "ord", "pool_id"))
+    return first_by(both, ["choice_id"], _col("ord", "pool_id"), ["pool_id"])
+
+
+def aligned(a: DataFrame, b: DataFrame, key: str = "idx") -> DataFrame:
+    """The rows of both by key, a's columns as ``a`` and b's as ``b``; an error if any row has no partner or a key repeats."""
+    left = a.groupBy(key).agg(F.first(F.struct(*[c for c in a.columns if c != key])).alias("a"), F.count("*").alias("n_a"))
+    right = b.groupBy(key).agg(F.first(F.struct(*[c for c in b.columns if c != key])).alias("b"), F.count("*").alias("n_b"))
+    fine = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    checked = F.when(fine, F.col("a")).otherwise(F.raise_error(F.concat(F.lit("not aligned by key: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return left.join(right, key, "full").select(key, checked.alias("a"), "b")
+
+
 def judged_by_score(pool: DataFrame) -> DataFrame:
     """A stand-in judge: the alternatives of every question, compared with its base by score."""
     gap = F.col("score") - F.col("base_score")

@@ -7,6 +7,7 @@ nothing else, so the resamples are multinomial draws from those counts and no qu
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ def discordant(outcomes: DataFrame) -> DataFrame:
     c = outcomes.agg(F.count("*").alias("n"), F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"),
                      F.count_if(~F.col("a") & F.col("b")).alias("only_b"), F.count_if(~F.col("a") & ~F.col("b")).alias("neither"))
     d = F.col("only_a") + F.col("only_b")
-    gap = F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0))
+    gap = F.abs(F.col("only_a") - F.col("only_b")) - 1  # squared: equal counts give 1 / n
     return c.withColumn("chi2", F.round(F.coalesce(F.try_divide((gap * gap).cast("double"), d), F.lit(0.0)), 6))
 
 
@@ -34,13 +35,21 @@ def mcnemar_p(chi2: float) -> float:
 
 
 def mcnemar_exact(only_a: int, only_b: int) -> float:
-    """Two-sided binomial p, at most 1."""
+    """Two-sided binomial p, at most 1.
+
+    Summed from the largest term down, each from the one above it, until terms no longer count; so some tens of
+    standard deviations are gone through, whatever the counts.
+    """
     n, k = only_a + only_b, min(only_a, only_b)
     if n == 0:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, 2 * math.exp(top) * sum(math.exp(x - top) for x in logs))
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    total = 0.0
+    while term > total * 1e-18 and k >= 0:
+        total += term
+        term *= k / (n - k + 1)
+        k -= 1
+    return min(1.0, 2 * total)
 
 
 def bootstrap(n: int, only_a: int, only_b: int, resamples: int = 10_000, seed: int = 42) -> tuple[float, float]:
@@ -60,3 +69,25 @@ def paired_report(outcomes: DataFrame, resamples: int = 10_000, seed: int = 42)
     row = (r.n, acc(r.both + r.only_a), acc(r.both + r.only_b), acc(r.only_a - r.only_b), r.chi2, mcnemar_p(r.chi2), mcnemar_exact(r.only_a, r.only_b), low, high)
     return outcomes.sparkSession.createDataFrame(
         [row], "n bigint, acc_a double, acc_b double, diff double, chi2 double, p_chi2 double, p_exact double, low double, high double")
+
+
+def matrix_report(outcomes: DataFrame, pairs: Sequence[tuple[str, str]], resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row for each pair of systems; ``outcomes`` has (idx, system, correct), one row for each question and system.
+
+    All pairs are counted in one pass over the questions; each is four counts for the driver.
+    """
+    names = sorted({x for p in pairs for x in p})
+    wide = outcomes.filter(F.col("system").isin(*names)).groupBy("idx").agg(*[F.max(F.when(F.col("system") == n, F.col("correct"))).alias(n) for n in names])
+    both = lambda a, b: F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
+    counted = wide.agg(*[c for k, (a, b) in enumerate(pairs) for c in (
+        F.count_if(both(a, b)).alias(f"n{k}"), F.count_if(both(a, b) & F.col(f"`{a}`") & ~F.col(f"`{b}`")).alias(f"a{k}"),
+        F.count_if(both(a, b) & ~F.col(f"`{a}`") & F.col(f"`{b}`")).alias(f"b{k}"), F.count_if(both(a, b) & F.col(f"`{a}`") & F.col(f"`{b}`")).alias(f"c{k}"))]).first()
+    rows = []
+    for k, (a, b) in enumerate(pairs):
+        n, only_a, only_b, both_right = (counted[f"{x}{k}"] for x in ("n", "a", "b", "c"))
+        low, high = bootstrap(n, only_a, only_b, resamples, seed)
+        chi2 = (abs(only_a - only_b) - 1) ** 2 / (only_a + only_b) if only_a + only_b else 0.0
+        share = lambda x: round(x / n, 6) if n else 0.0  # noqa: E731, B023
+        rows.append((a, b, n, share(both_right + only_a), share(both_right + only_b), share(only_a - only_b), only_a, only_b, round(chi2, 6), mcnemar_p(chi2), mcnemar_exact(only_a, only_b), low, high))
+    return outcomes.sparkSession.createDataFrame(
+        rows, "a string, b string, n bigint, acc_a double, acc_b double, diff double, only_a bigint, only_b bigint, chi2 double, p_chi2 double, p_exact double, low double, high double")

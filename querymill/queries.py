@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,7 +22,8 @@ from .operators import select as S
 from .operators import stats as ST
 from .plans import validate as V
 from .plans.engine import Engine
-from .runtime import cut
+from .runtime import cut, shared_folder
+from .sources import files as FI
 from .streaming import ingest as ST_IN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,7 @@ WITH base AS (
 pool AS (
   SELECT *, key IN ('[]', 'NULL_RESULT') AS empty,
     CASE WHEN ok AND key <> 'NULL_RESULT' THEN COUNT(*) FILTER (ok) OVER (PARTITION BY idx, key) ELSE 0 END AS support,
+    CASE WHEN ok THEN COUNT(*) FILTER (ok) OVER (PARTITION BY idx, key) ELSE 0 END AS votes,
     MAX(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY idx) AS any_ok
   FROM base)
 """
@@ -83,7 +84,7 @@ def _voted(inner: str, nonempty: bool = True) -> str:
   SELECT *, CASE WHEN ok THEN key ELSE chr(0) END AS grp,
     ROW_NUMBER() OVER (PARTITION BY idx, CASE WHEN ok THEN key ELSE chr(0) END ORDER BY {inner}, ord, pool_id) AS place FROM pool),
  outside AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, -support, {empty}, {inner}, ord, pool_id) AS top FROM inside WHERE place = 1)
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, -votes, {empty}, {inner}, ord, pool_id) AS top FROM inside WHERE place = 1)
 SELECT idx, pool_id, source, variant, ok, correct FROM outside WHERE top = 1"""
 
 
@@ -101,7 +102,7 @@ _selector("rule_priority", _choice(f"{_OK}, rank"))
 _selector("repaired_last", _choice(f"{_OK}, repaired, rank"))
 _selector("oracle_repaired", _choice(f"{_OK}, CASE WHEN correct THEN 0 ELSE 1 END, repaired, rank"))
 _selector("by_score", _choice("-score, CASE source WHEN 'embedrag' THEN 0 WHEN 'bm25rag' THEN 1 WHEN 'lora_rag' THEN 2 WHEN 'promptonly' THEN 3 WHEN 'loraonly_ep3' THEN 4 ELSE 999 END, repaired"))
-_selector("fixed_model", _choice(f"CASE WHEN source = 'embedrag' THEN 0 ELSE 1 END, {_OK}, rank"))
+_selector("fixed_model", _choice(f"CASE WHEN source = 'embedrag' THEN 0 ELSE 1 END, CASE WHEN source = 'embedrag' THEN 0 ELSE {_OK} END, CASE WHEN source = 'embedrag' THEN 0 ELSE rank END"))
 _selector("oracle_model", _choice("CASE WHEN correct THEN 0 WHEN ok THEN 1 ELSE 2 END, rank"))
 _selector("priority_with_variant", _choice(f"{_OK}, rank, repaired"))
 _selector("semantic_score", _choice(f"{_OK}, -score, rank, repaired"))
@@ -118,19 +119,20 @@ SELECT b.idx, CASE WHEN o.score >= b.score + 0.25 THEN o.pool_id ELSE b.pool_id
   CASE WHEN o.score >= b.score + 0.25 THEN o.variant ELSE b.variant END AS variant, CASE WHEN o.score >= b.score + 0.25 THEN o.ok ELSE b.ok END AS ok,
   CASE WHEN o.score >= b.score + 0.25 THEN o.correct ELSE b.correct END AS correct
 FROM b JOIN o ON b.idx = o.idx"""))
-_selector("conservative_switch", POOL + f""", c AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY {_OK}, -support, CASE WHEN ok AND empty THEN 1 ELSE 0 END, rank, {_LATENCY}, ord, pool_id) AS any_place,
-    ROW_NUMBER() OVER (PARTITION BY idx ORDER BY CASE WHEN ok AND NOT empty THEN 0 ELSE 1 END, -support, rank, {_LATENCY}, ord, pool_id) AS full_place,
-    ROW_NUMBER() OVER (PARTITION BY idx ORDER BY CASE WHEN source = 'embedrag' AND ok THEN 0 ELSE 1 END, ord, pool_id) AS ok_default_place,
-    ROW_NUMBER() OVER (PARTITION BY idx ORDER BY CASE WHEN source = 'embedrag' THEN 0 ELSE 1 END, CASE WHEN source = 'embedrag' THEN ord END, pool_id) AS default_place,
-    CASE WHEN ok AND NOT empty THEN COUNT(*) FILTER (ok AND source <> 'embedrag') OVER (PARTITION BY idx, key) ELSE 0 END AS others FROM pool),
- q AS (SELECT idx, MAX(any_ok) AS any_ok, BOOL_OR(source = 'embedrag') AS has_default, BOOL_OR(source = 'embedrag' AND ok) AS default_ok,
-    MAX(CASE WHEN ok_default_place = 1 THEN support END) AS d_votes, BOOL_OR(ok_default_place = 1 AND empty) AS d_empty,
-    MAX(CASE WHEN ok AND NOT empty THEN support END) AS full_votes, MAX(others) AS full_others, BOOL_OR(ok AND NOT empty) AS has_full FROM c GROUP BY idx),
- d AS (SELECT *, CASE WHEN any_ok = 0 AND has_default THEN 'default' WHEN any_ok = 0 OR NOT default_ok THEN 'any' WHEN d_votes >= 2 AND NOT d_empty THEN 'ok_default'
-    WHEN COALESCE(full_votes, 0) >= 3 OR (d_empty AND has_full) OR (d_votes = 1 AND full_others >= 2) THEN 'full' ELSE 'ok_default' END AS way FROM q)
+_FULL = "ok AND NOT empty"
+_selector("conservative_switch", POOL + f""", g AS (SELECT *, COUNT(*) FILTER (ok AND source <> 'embedrag') OVER (PARTITION BY idx, key) AS others FROM pool),
+ c AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY {_OK}, -votes, CASE WHEN ok AND empty THEN 1 ELSE 0 END, rank, ord, pool_id) AS any_place,
+    ROW_NUMBER() OVER (PARTITION BY idx ORDER BY CASE WHEN {_FULL} THEN 0 ELSE 1 END, -votes, rank, ord, pool_id) AS full_place,
+    ROW_NUMBER() OVER (PARTITION BY idx ORDER BY CASE WHEN {_FULL} AND source <> 'embedrag' AND others >= 2 THEN 0 ELSE 1 END, -votes, rank, ord, pool_id) AS agreed_place,
+    ROW_NUMBER() OVER (PARTITION BY idx ORDER BY CASE WHEN source = 'embedrag' THEN 0 ELSE 1 END, ord, pool_id) AS default_place FROM g),
+ q AS (SELECT idx, MAX(any_ok) AS any_ok, BOOL_OR(source = 'embedrag') AS has_default, BOOL_OR(source = 'embedrag' AND default_place = 1 AND ok) AS d_ok,
+    MAX(CASE WHEN default_place = 1 THEN votes END) AS d_votes, BOOL_OR(default_place = 1 AND empty) AS d_empty, MAX(CASE WHEN {_FULL} THEN votes END) AS full_votes,
+    BOOL_OR({_FULL}) AS has_full, BOOL_OR({_FULL} AND source <> 'embedrag' AND others >= 2) AS has_agreed FROM c GROUP BY idx),
+ d AS (SELECT *, CASE WHEN any_ok = 0 AND has_default THEN 'default' WHEN any_ok = 0 OR NOT has_default OR NOT d_ok THEN 'any' WHEN d_votes >= 2 AND NOT d_empty THEN 'default'
+    WHEN COALESCE(full_votes, 0) >= 3 OR (d_empty AND has_full) THEN 'full' WHEN d_votes = 1 AND has_agreed THEN 'agreed' ELSE 'default' END AS way FROM q)
 SELECT c.idx, pool_id, source, variant, ok, correct FROM c JOIN d ON c.idx = d.idx
-WHERE (way = 'any' AND any_place = 1) OR (way = 'full' AND full_place = 1) OR (way = 'ok_default' AND ok_default_place = 1) OR (way = 'default' AND default_place = 1)""")
+WHERE (way = 'any' AND any_place = 1) OR (way = 'full' AND full_place = 1) OR (way = 'agreed' AND agreed_place = 1) OR (way = 'default' AND default_place = 1)""")
 
 
 @query(POOL + "SELECT idx, pool_id, support FROM pool")
@@ -212,9 +214,11 @@ def metrics_source_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.source_and_all(pool_of(spark, sf_dir))
 
 
-@query(f"SELECT COUNT(*) AS questions, {_share('ok')} AS exec_rate, {_share('correct')} AS accuracy, " + _share("variant = 'strong_repair'") + f" AS repair_share FROM ({SQL['select_practical']}) s")
+@query(f"SELECT COUNT(*) AS questions, {_share('s.ok')} AS exec_rate, {_share('s.correct')} AS accuracy, " + _share("s.variant IN ('repair', 'strong_repair')") +
+       f" AS repair_share, COUNT(*) FILTER (s.variant IN ('repair', 'strong_repair')) AS repairs, ROUND(COALESCE(AVG(p.latency_ms), 0), 4) AS mean_latency_ms FROM ({SQL['select_practical']}) s JOIN candidate_pool p ON p.pool_id = s.pool_id")
 def metrics_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.selected(S.practical(pool_of(spark, sf_dir)))
+    pool = pool_of(spark, sf_dir)
+    return M.selected(M.with_latency(S.practical(pool), pool))
 
 
 @query(f"SELECT source, COUNT(*) AS n, COUNT(*) FILTER (correct) AS n_correct FROM ({SQL['select_practical']}) s GROUP BY source")
@@ -285,9 +289,10 @@ WITH ev AS (SELECT DISTINCT idx, LOWER(TRIM(backend, ' ')) AS backend, COALESCE(
     LOWER(regexp_replace(TRIM(regexp_replace(sql, '\\s+', ' ', 'g'), ' '), '[; ]+$', '')) AS sql_key,
     CASE stage WHEN 'normalize' THEN 2 WHEN 'llm_repair' THEN 1 WHEN 'raw' THEN 3 ELSE CASE WHEN stage IS NULL THEN 3 ELSE 0 END END AS stage_rank
   FROM evidence WHERE idx IS NOT NULL AND backend IS NOT NULL AND sql IS NOT NULL),
+ came AS (SELECT *, CASE backend WHEN 'duckdb' THEN 0 WHEN 'postgres' THEN 10 WHEN 'mysql' THEN 20 ELSE 90 END + 3 - stage_rank AS arrival FROM ev),
  merged AS (SELECT idx, sql_key, COUNT(DISTINCT CASE WHEN same THEN backend END) AS n_same, COUNT(DISTINCT CASE WHEN ok THEN backend END) AS n_ok, COUNT(DISTINCT backend) AS n_backends,
-    MAX(stage_rank) AS best_stage, MIN(CASE backend WHEN 'duckdb' THEN 0 WHEN 'postgres' THEN 10 WHEN 'mysql' THEN 20 ELSE 90 END + 3 - stage_rank) AS arrival FROM ev GROUP BY idx, sql_key),
- chosen AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY n_same DESC, n_ok DESC, n_backends DESC, best_stage DESC, LENGTH(sql_key), arrival, sql_key) AS r FROM merged) t WHERE r = 1)
+    MAX(stage_rank) AS best_stage, MIN(arrival) AS arrival, LENGTH(arg_max(sql, ROW(arrival, sql))) AS written FROM came GROUP BY idx, sql_key),
+ chosen AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY n_same DESC, n_ok DESC, n_backends DESC, best_stage DESC, written, arrival, sql_key) AS r FROM merged) t WHERE r = 1)
 """
 
 
@@ -305,7 +310,7 @@ def evidence_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.by_evidence(evidence_of(spark, sf_dir))
 
 
-@query(EVIDENCE + "SELECT idx, stage, votes FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY votes DESC, stage_rank DESC, stage) AS r FROM (SELECT idx, stage, stage_rank, COUNT(*) AS votes FROM ev WHERE ok GROUP BY idx, stage, stage_rank) v) t WHERE r = 1")
+@query(EVIDENCE + "SELECT idx, stage, votes FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY votes DESC, stage_rank DESC, stage) AS r FROM (SELECT ev.idx, stage, stage_rank, COUNT(*) AS votes FROM ev JOIN chosen c ON c.idx = ev.idx AND c.sql_key = ev.sql_key GROUP BY ev.idx, stage, stage_rank) v) t WHERE r = 1")
 def evidence_stage_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stage_mode(evidence_of(spark, sf_dir))
 
@@ -346,7 +351,7 @@ _PAIRED = POOL + ", o AS (SELECT idx, BOOL_OR(correct) FILTER (source = 'embedra
 
 
 @query(_PAIRED + ", c AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (a AND b) AS \"both\", COUNT(*) FILTER (a AND NOT b) AS only_a, COUNT(*) FILTER (NOT a AND b) AS only_b, COUNT(*) FILTER (NOT a AND NOT b) AS neither FROM q) "
-       "SELECT *, ROUND(COALESCE(POWER(GREATEST(ABS(only_a - only_b) - 1, 0), 2) / NULLIF(only_a + only_b, 0), 0), 6) AS chi2 FROM c")
+       "SELECT *, ROUND(COALESCE(POWER(ABS(only_a - only_b) - 1, 2) / NULLIF(only_a + only_b, 0), 0), 6) AS chi2 FROM c")
 def stats_discordant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.discordant(ST.paired_outcomes(pool_of(spark, sf_dir), "embedrag", "bm25rag"))
 
@@ -395,7 +400,7 @@ _CASES = f"""
  + CASE WHEN ok AND empty THEN -0.5 ELSE 0 END + CASE WHEN ok AND support > 1 THEN LEAST(2, 0.5 * (support - 1)) ELSE 0 END"""
 _NORMAL_SQL = "LOWER(TRIM(regexp_replace(regexp_replace(regexp_replace(COALESCE({}, ''), '--[^\\n]*', ' ', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '\\s+', ' ', 'g'), ' '))"
 _SCORED = POOL + f""", texts AS (SELECT p.*, LOWER(COALESCE(i.question, '')) AS q, {_NORMAL_SQL.format('p.sql')} AS s FROM pool p LEFT JOIN question_items i ON p.idx = i.idx),
- parts AS (SELECT *, TRIM(regexp_extract(s, '^select (.*?) from ', 1), ' ') AS chosen, TRIM(regexp_extract(s, ' group by (.*?)(?: having | order by | limit |;|$)', 1), ' ') AS grouped,
+ parts AS (SELECT *, TRIM(regexp_extract(s, '(?s)\\bselect\\b\\s+(.*?)\\s+\\bfrom\\b', 1), ' ') AS chosen, TRIM(regexp_extract(s, '(?s)\\bgroup\\s+by\\b\\s+(.*?)(?:\\border\\s+by\\b|\\bhaving\\b|\\blimit\\b|;|$)', 1), ' ') AS grouped,
    len(regexp_extract_all(q, '[a-z0-9_'']+')) AS q_words, len(regexp_extract_all(s, '[a-z0-9_'']+')) AS s_words FROM texts),
  scored AS (SELECT *, ROUND(CAST({_CASES} AS DOUBLE), 4) AS rule_score FROM parts)
 """
@@ -431,7 +436,7 @@ def score_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SHAPE = "CASE WHEN result IS NULL THEN 'none' ELSE CAST(len(CAST(from_json(result, '[[\"VARCHAR\"]]') AS VARCHAR[][])) AS VARCHAR) || 'x' || CAST(COALESCE(len((CAST(from_json(result, '[[\"VARCHAR\"]]') AS VARCHAR[][]))[1]), 0) AS VARCHAR) END"
-_KINDS = POOL + f""", shaped AS (SELECT *, {_SHAPE} AS shape FROM pool), good AS (SELECT DISTINCT idx, shape FROM shaped WHERE labeled AND ok AND correct),
+_KINDS = POOL + f""", shaped AS (SELECT *, {_SHAPE} AS shape FROM pool), good AS (SELECT DISTINCT idx, shape FROM shaped WHERE labeled AND correct),
  kinds AS (SELECT a.*, CASE WHEN labeled AND ok AND NOT correct THEN CASE WHEN support >= 2 THEN 'hard_supported_executable_wrong' WHEN g.idx IS NOT NULL THEN 'hard_same_shape_executable_wrong' WHEN NOT empty THEN 'hard_non_empty_executable_wrong' ELSE 'hard_empty_executable_wrong' END
    WHEN labeled AND ok AND correct THEN 'positive_execution_correct' WHEN ok AND NOT labeled THEN 'hard_executable_wrong' WHEN NOT ok THEN 'easy_execution_error' ELSE 'other_semantic_wrong' END AS kind
   FROM shaped a LEFT JOIN good g ON a.idx = g.idx AND a.shape = g.shape)
@@ -444,11 +449,10 @@ def candidate_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PRIORITY = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(SC.KINDS)) + " ELSE 999 END"
-_PAIRS = _KINDS + f""", r1 AS (SELECT idx, pool_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx, LOWER(COALESCE(sql, '')) ORDER BY rank, ord, pool_id) AS r FROM kinds WHERE kind = 'positive_execution_correct') t WHERE r = 1),
- rights AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY md5('42:' || CAST(pool_id AS VARCHAR)), pool_id) AS turn FROM r1) t WHERE turn <= 80),
- nr AS (SELECT idx, MAX(turn) AS n FROM rights GROUP BY idx),
- wrongs AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY {_PRIORITY}, rank, repaired, ord, pool_id) AS place FROM kinds WHERE kind <> 'positive_execution_correct') t WHERE place <= 80),
- pairs AS (SELECT w.idx, CAST(place AS INTEGER) AS place, r.pool_id AS positive, w.pool_id AS negative, kind FROM wrongs w JOIN nr ON w.idx = nr.idx JOIN rights r ON r.idx = w.idx AND r.turn = (place - 1) % n + 1)
+_PAIRS = _KINDS + f""", rights AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY md5('42:' || CAST(pool_id AS VARCHAR)), pool_id) AS turn FROM kinds WHERE labeled AND correct) t WHERE turn <= 80),
+ wrongs AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY {_PRIORITY}, ord, pool_id) AS spot FROM kinds WHERE labeled AND NOT correct),
+ every AS (SELECT w.idx, ROW_NUMBER() OVER (PARTITION BY w.idx ORDER BY spot, turn) AS place, r.pool_id AS positive, w.pool_id AS negative, w.kind FROM wrongs w JOIN rights r ON r.idx = w.idx WHERE spot <= 80),
+ pairs AS (SELECT idx, CAST(place AS INTEGER) AS place, positive, negative, kind FROM every WHERE place <= 80)
 """
 
 
@@ -462,11 +466,26 @@ def preference_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.pair_counts(PR.preference_pairs(pool_of(spark, sf_dir)))
 
 
-@query()
+_FOLDS = """WITH RECURSIVE sizes AS (SELECT COALESCE(NULLIF(LOWER(TRIM(db_id, ' ')), ''), 'unknown') AS db_id, COUNT(*) AS n FROM question_items GROUP BY 1),
+ o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY n DESC, db_id) AS i FROM sizes),
+ r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS loads, CAST(NULL AS VARCHAR) AS db_id, CAST(NULL AS BIGINT) AS n, CAST(NULL AS INTEGER) AS fold
+   UNION ALL SELECT o.i, list_transform(r.loads, lambda x, k: CASE WHEN k = list_position(r.loads, list_min(r.loads)) THEN x + o.n ELSE x END), o.db_id, o.n, CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INTEGER)
+   FROM r JOIN o ON o.i = r.i + 1),
+ folds AS (SELECT db_id, n AS rows, fold FROM r WHERE i > 0)
+"""
+
+
+@query(_FOLDS + "SELECT db_id, rows, fold FROM folds")
 def database_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.database_folds(read(spark, sf_dir, "question_items"), 5)
 
 
+@query(_FOLDS + "SELECT idx, CASE WHEN fold = 2 THEN 'eval' ELSE 'train' END AS split FROM question_items q JOIN folds f ON f.db_id = COALESCE(NULLIF(LOWER(TRIM(q.db_id, ' ')), ''), 'unknown')")
+def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "question_items")
+    return PR.fold_rows(items, PR.database_folds(items, 5), 2)
+
+
 # --- text
 
 _STOP = ", ".join(f"'{w}'" for w in TX.STOP_WORDS)
@@ -494,7 +513,7 @@ def text_normal_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "candidate_pool").select("pool_id", TX.normal_sql(sql).alias("normal"), TX.sql_key(sql).alias("key"))
 
 
-@query("SELECT pool_id, TRIM(regexp_extract(n, '^select (.*?) from ', 1), ' ') AS fields, TRIM(regexp_extract(n, ' group by (.*?)(?: having | order by | limit |;|$)', 1), ' ') AS groups FROM (SELECT pool_id, " + _NORMAL_SQL.format("sql") + " AS n FROM candidate_pool) t")
+@query("SELECT pool_id, TRIM(regexp_extract(n, '(?s)\\bselect\\b\\s+(.*?)\\s+\\bfrom\\b', 1), ' ') AS fields, TRIM(regexp_extract(n, '(?s)\\bgroup\\s+by\\b\\s+(.*?)(?:\\border\\s+by\\b|\\bhaving\\b|\\blimit\\b|;|$)', 1), ' ') AS groups FROM (SELECT pool_id, " + _NORMAL_SQL.format("sql") + " AS n FROM candidate_pool) t")
 def text_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal = read(spark, sf_dir, "candidate_pool").select("pool_id", TX.normal_sql(F.col("sql")).alias("n"))
     return normal.select("pool_id", TX.field_list(F.col("n")).alias("fields"), TX.group_fields(F.col("n")).alias("groups"))
@@ -516,10 +535,16 @@ def text_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statement of every model answer beside the one that was taken from it."""
+    """The statement of every model answer."""
+    raw = F.col("mysql_dialect_repair_raw_response")
+    return read(spark, sf_dir, "mysql_repair").filter(raw.isNotNull()).select("repair_id", TX.clean_answer(raw).alias("statement"))
+
+
+@query()
+def text_answer_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many statements the JSON of every model answer holds."""
     raw = F.col("mysql_dialect_repair_raw_response")
-    df = read(spark, sf_dir, "mysql_repair").filter(raw.isNotNull())
-    return df.select("repair_id", TX.clean_answer(raw).alias("statement"), F.size(TX.answer_statements(raw)).alias("candidates"))
+    return read(spark, sf_dir, "mysql_repair").filter(raw.isNotNull()).select("repair_id", F.size(TX.answer_statements(raw)).alias("candidates"))
 
 
 @query("SELECT event_type, COUNT(*) AS n, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, COUNT(DISTINCT json_extract_string(props, '$.k')) AS kinds FROM events GROUP BY event_type")
@@ -540,7 +565,8 @@ def result_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.select("pool_id", F.md5("key").alias("key_digest"), F.col("shape.rows").alias("n_rows"), F.col("shape.cols").alias("n_cols"))
 
 
-@query()
+@query(POOL + """SELECT idx, COUNT(DISTINCT key) AS untyped, COUNT(DISTINCT CASE WHEN result IS NULL THEN 'NULL_RESULT' ELSE CAST(list_sort(list_transform(CAST(CAST(result AS JSON) AS JSON[]), lambda r: CAST(r AS VARCHAR))) AS VARCHAR) END) AS typed,
+ COUNT(DISTINCT COALESCE(CAST(to_json(CAST(from_json(result, '[["VARCHAR"]]') AS VARCHAR[][])) AS VARCHAR), '')) AS ordered FROM pool GROUP BY idx""")
 def result_keys_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the four rules of equality split the results of a question."""
     r = F.col("result")
@@ -566,11 +592,28 @@ def item_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.nested_candidates(read(spark, sf_dir, "question_items")).select("idx", "position", "source", "sql", "model")
 
 
-@query("SELECT idx, len(candidates) AS n FROM question_items WHERE len(candidates) > 0")
+@query("SELECT idx, CAST(c AS INTEGER) AS chunk, CAST(LEAST(len(candidates) - 1000 * c, 1000) AS INTEGER) AS n FROM (SELECT idx, candidates, UNNEST(range(0, (len(candidates) + 999) // 1000)) AS c FROM question_items WHERE len(candidates) > 0) t")
 def item_renested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates taken apart and nested again."""
     items = read(spark, sf_dir, "question_items")
-    return P.nest(P.nested_candidates(items)).select("idx", F.size("candidates").alias("n"))
+    return P.nest(P.nested_candidates(items)).select("idx", "chunk", F.size("candidates").alias("n"))
+
+
+@query("WITH c AS (SELECT idx, UNNEST(candidates) AS c FROM question_items WHERE candidates IS NOT NULL), b AS (SELECT DISTINCT idx FROM question_items WHERE split = 'dev') "
+       "SELECT c.idx, CAST(CASE c.c.source WHEN 'embedrag' THEN 0 ELSE 1 END AS INTEGER) AS position, c.c.source AS source, c.c.sql AS sql FROM c JOIN b ON b.idx = c.idx WHERE c.c.source IN ('embedrag', 'promptonly')")
+def item_zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions of two sources beside the items of the dev split."""
+    items = read(spark, sf_dir, "question_items")
+    made = P.nested_candidates(items)
+    return P.zipped(items.filter("split = 'dev'").select("idx").distinct(), {n: made.filter(F.col("source") == n) for n in ("embedrag", "promptonly")}).select("idx", "position", "source", "sql")
+
+
+@query("WITH n AS (SELECT idx, split, LOWER(TRIM(db_id, ' ')) AS db, TRIM(regexp_replace(regexp_replace(regexp_replace(LOWER(question), '[‘’]', '''', 'g'), '[^a-z0-9_'']+', ' ', 'g'), ' +', ' ', 'g'), ' ') AS q FROM question_items) "
+       "SELECT a.idx, MIN(b.idx) AS found FROM n a JOIN n b ON a.db = b.db AND a.q = b.q WHERE a.q <> '' AND a.split IN ('dev', 'test') AND b.split = 'train' GROUP BY a.idx")
+def question_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of dev and test that a cache of the train questions would answer."""
+    items = read(spark, sf_dir, "question_items")
+    return C.question_lookup(items.filter("split IN ('dev', 'test')"), items.filter("split = 'train'"))
 
 
 @query("SELECT q.idx FROM question_items q WHERE NOT EXISTS (SELECT 1 FROM mysql_repair m WHERE m.idx = q.idx)")
@@ -588,9 +631,9 @@ WITH raw AS (SELECT db_id, table_names_original AS tn, column_types AS ct, prima
  fks AS (SELECT db_id, pos, tn[cn[fk[1] + 1].tbl + 1] AS tname, cn[fk[1] + 1].name AS cname, tn[cn[fk[2] + 1].tbl + 1] AS to_table, cn[fk[2] + 1].name AS to_column FROM fkr WHERE len(fk) >= 2 AND cn[fk[1] + 1].tbl >= 0 AND cn[fk[2] + 1].tbl >= 0),
  tabs AS (SELECT db_id, UNNEST(table_names_original) AS tname, UNNEST(range(0, len(table_names_original))) AS tbl FROM db_catalog),
  tcols AS (SELECT t.db_id, t.tbl, t.tname, col, cname, ctype, is_key FROM tabs t LEFT JOIN cols c ON t.db_id = c.db_id AND t.tbl = c.tbl),
- docs AS (SELECT db_id || '::table::' || tname AS doc_id, db_id, 'table' AS type, 'Database: ' || db_id || chr(10) || 'Table: ' || tname || chr(10) || 'Columns: ' || COALESCE(string_agg(cname || ':' || ctype || CASE WHEN is_key THEN ' [PK]' ELSE '' END, ', ' ORDER BY col), '') AS text FROM tcols GROUP BY db_id, tbl, tname
-  UNION ALL SELECT db_id || '::col::' || tname || '.' || cname, db_id, 'column', 'Database: ' || db_id || chr(10) || 'Column: ' || tname || '.' || cname || chr(10) || 'Type: ' || ctype || CASE WHEN is_key THEN ' [PK]' ELSE '' END FROM cols
-  UNION ALL SELECT db_id || '::fk::' || CAST(pos AS VARCHAR), db_id, 'fk', 'Database: ' || db_id || chr(10) || 'ForeignKey: ' || tname || '.' || cname || ' -> ' || to_table || '.' || to_column || chr(10) || 'JoinHint: ' || tname || ' JOIN ' || to_table || ' ON ' || tname || '.' || cname || ' = ' || to_table || '.' || to_column FROM fks)
+ docs AS (SELECT db_id || '::table::' || tname AS doc_id, db_id, 'table' AS type, 'Database: ' || db_id || chr(10) || 'Table: ' || tname || chr(10) || 'Columns: ' || COALESCE(string_agg(cname || ':' || ctype || CASE WHEN is_key THEN ' [PK]' ELSE '' END, ', ' ORDER BY col), '') AS text, [tname] AS tabs FROM tcols GROUP BY db_id, tbl, tname
+  UNION ALL SELECT db_id || '::col::' || tname || '.' || cname, db_id, 'column', 'Database: ' || db_id || chr(10) || 'Column: ' || tname || '.' || cname || chr(10) || 'Type: ' || ctype || CASE WHEN is_key THEN ' [PK]' ELSE '' END, [tname] FROM cols
+  UNION ALL SELECT db_id || '::fk::' || CAST(pos AS VARCHAR), db_id, 'fk', 'Database: ' || db_id || chr(10) || 'ForeignKey: ' || tname || '.' || cname || ' -> ' || to_table || '.' || to_column || chr(10) || 'JoinHint: ' || tname || ' JOIN ' || to_table || ' ON ' || tname || '.' || cname || ' = ' || to_table || '.' || to_column, [tname, to_table] FROM fks)
 """
 
 
@@ -605,7 +648,7 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_COLS + "SELECT doc_id, db_id, type, text FROM docs")
 def catalog_schema_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.schema_docs(catalog_of(spark, sf_dir))
+    return C.schema_docs(catalog_of(spark, sf_dir)).drop("tables")
 
 
 @query(_COLS + "SELECT type, COUNT(*) AS docs, COUNT(DISTINCT db_id) AS databases FROM docs GROUP BY type")
@@ -620,19 +663,22 @@ def catalog_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.schema_text(catalog_of(spark, sf_dir))
 
 
-@query("SELECT pool_id, len(list_intersect(w, t)) AS n_tables, len(list_intersect(w, c)) AS n_columns FROM (SELECT pool_id, LOWER(TRIM(db_id, ' ')) AS db, list_distinct(regexp_extract_all(LOWER(COALESCE(sql, '')), '[a-z_][a-z0-9_]*')) AS w FROM candidate_pool) p "
-       "JOIN (SELECT LOWER(TRIM(db_id, ' ')) AS db, list_distinct(list_transform(table_names_original, lambda x: LOWER(x))) AS t, list_distinct(list_transform(column_names_original, lambda x: LOWER(x.name))) AS c FROM db_catalog) d ON p.db = d.db")
+@query("SELECT pool_id, CAST(len(list_filter(t, lambda x: list_contains(w, x))) AS INTEGER) AS n_tables, CAST(len(list_filter(c, lambda x: list_contains(w, x.name) OR contains(low, x.qualified))) AS INTEGER) AS n_columns "
+       "FROM (SELECT pool_id, LOWER(TRIM(db_id, ' ')) AS db, LOWER(COALESCE(sql, '')) AS low, regexp_extract_all(LOWER(COALESCE(sql, '')), '[a-z_][a-z0-9_]*') AS w FROM candidate_pool) p "
+       "JOIN (SELECT LOWER(TRIM(db_id, ' ')) AS db, list_transform(table_names_original, lambda x: LOWER(x)) AS t, list_transform(list_filter(column_names_original, lambda x: x.tbl >= 0), "
+       "lambda x: {'name': LOWER(x.name), 'qualified': LOWER(table_names_original[x.tbl + 1] || '.' || x.name)}) AS c FROM db_catalog) d ON p.db = d.db")
 def catalog_schema_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.schema_links(read(spark, sf_dir, "candidate_pool"), catalog_of(spark, sf_dir))
 
 
 _IDENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda w: LOWER(w)), lambda w: LENGTH(w) >= 2)"
 _PLURAL = "CASE WHEN suffix(w, 'ies') AND LENGTH(w) > 4 THEN LEFT(w, LENGTH(w) - 3) || 'y' WHEN suffix(w, 'es') AND LENGTH(w) > 4 THEN LEFT(w, LENGTH(w) - 2) WHEN suffix(w, 's') AND LENGTH(w) > 3 THEN LEFT(w, LENGTH(w) - 1) ELSE w END"
-_RELEVANT = _COLS + f""", t AS (SELECT LOWER(TRIM(db_id, ' ')) AS db, tname, list_distinct({_IDENT.format('tname')}) AS tw, list_distinct(flatten(list({_IDENT.format('cname')}))) AS cw, list({_IDENT.format('cname')}) AS each FROM cols GROUP BY db_id, tbl, tname),
+_RELEVANT = _COLS + f""", t AS (SELECT LOWER(TRIM(db_id, ' ')) AS db, tbl, tname, list_distinct({_IDENT.format('tname')}) AS tw, list_distinct(flatten(list({_IDENT.format('cname')}))) AS cw, list({_IDENT.format('cname')}) AS each FROM cols GROUP BY db_id, tbl, tname),
  a AS (SELECT idx, LOWER(TRIM(db_id, ' ')) AS db, {_IDENT.format('question')} AS w0 FROM question_items WHERE question IS NOT NULL AND db_id IS NOT NULL),
  b AS (SELECT idx, db, list_distinct(list_concat(w0, list_transform(w0, lambda w: {_PLURAL}))) AS q FROM a),
- m AS (SELECT idx, tname, 3 * len(list_intersect(q, tw)) + 2 * len(list_intersect(q, cw)) + len(list_filter(each, lambda e: len(list_intersect(q, e)) > 0)) AS score FROM b JOIN t ON b.db = t.db),
- r AS (SELECT idx, tname AS "table", CAST(score AS INTEGER) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY idx ORDER BY score DESC, tname) AS INTEGER) AS place FROM m WHERE score > 0)
+ m AS (SELECT idx, tbl, tname, 3 * len(list_intersect(q, tw)) + 2 * len(list_intersect(q, cw)) + len(list_filter(each, lambda e: len(list_intersect(q, e)) > 0)) AS score FROM b JOIN t ON b.db = t.db),
+ r AS (SELECT idx, tname AS "table", CAST(score AS INTEGER) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY idx ORDER BY score DESC, tname) AS INTEGER) AS place FROM m WHERE score > 0
+  UNION ALL SELECT idx, tname, 0, CAST(place AS INTEGER) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY tbl) AS place, MAX(score) OVER (PARTITION BY idx) AS top FROM m) f WHERE top = 0 AND place <= 2)
 """
 
 
@@ -685,24 +731,58 @@ def retrieval_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONTEXT = _COLS + ", asked AS (SELECT idx, question, LOWER(TRIM(db_id, ' ')) AS db FROM question_items WHERE idx % 100 = 0 AND question IS NOT NULL AND db_id IS NOT NULL), " + _bm25(
-    "docs", "doc_id", "text", "asked", "idx", "question", keep=", LOWER(TRIM(db_id, ' ')) AS db, type", same="JOIN asked ak ON ak.idx = qt.query AND ak.db = d.db") + """
+    "docs", "doc_id", "text", "asked", "idx", "question", keep=", LOWER(TRIM(db_id, ' ')) AS db, type, tabs, text", same="JOIN asked ak ON ak.idx = qt.query AND ak.db = d.db") + """
 , deep AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, first, doc) AS p FROM bm) t WHERE p <= 200),
- typed AS (SELECT deep.*, tok.type, ROW_NUMBER() OVER (PARTITION BY query, tok.type ORDER BY score DESC, first, deep.doc) AS place FROM deep JOIN tok ON tok.doc = deep.doc)
-SELECT query, doc, type, score, CAST(place AS INTEGER) AS place FROM typed WHERE place <= CASE type WHEN 'table' THEN 5 ELSE 8 END"""
+ typed AS (SELECT deep.*, tok.type, tok.tabs, tok.text FROM deep JOIN tok ON tok.doc = deep.doc),
+ picked AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query, type ORDER BY score DESC, first, doc) AS place FROM typed WHERE type <> 'fk') x WHERE place <= CASE type WHEN 'table' THEN 5 ELSE 8 END),
+ touching AS (SELECT * FROM typed k WHERE type = 'fk' AND EXISTS (SELECT 1 FROM picked c WHERE c.query = k.query AND list_has_any(c.tabs, k.tabs))),
+ keys AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, first, doc) AS place FROM touching) x WHERE place <= 8),
+ context AS (SELECT query, doc, type, score, CAST(place AS INTEGER) AS place, text FROM picked UNION ALL SELECT query, doc, type, score, CAST(place AS INTEGER), text FROM keys)
+"""
 
 
-@query(_CONTEXT)
+@query(_CONTEXT + "SELECT query, doc, type, score, place FROM context")
 def retrieval_schema_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read(spark, sf_dir, "question_items").filter("idx % 100 = 0")
     return R.schema_context(C.schema_docs(catalog_of(spark, sf_dir)), asked)
 
 
-@query()
+def _block(kind: str, title: str) -> str:
+    return f"'{title}' || chr(10) || COALESCE(string_agg(CASE WHEN type = '{kind}' THEN text END, chr(10) || chr(10) ORDER BY place), '(EMPTY)') || chr(10)"
+
+
+_CONTEXT_TEXT = _CONTEXT + ", shown AS (SELECT query, " + " || ".join((_block("table", "=== TABLES (Top) ==="), _block("column", "=== COLUMNS (Top) ==="), _block("fk", "=== FOREIGN KEYS / JOIN HINTS ==="))) + " AS text FROM context GROUP BY query)"
+
+
+@query(_CONTEXT_TEXT + "SELECT query, text FROM shown")
 def retrieval_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.schema_docs(catalog_of(spark, sf_dir))
     return R.context_text(R.schema_context(docs, read(spark, sf_dir, "question_items").filter("idx % 100 = 0")), docs)
 
 
+def _names(what: str, most: int) -> str:
+    found = f"list_sort(list_distinct(list_transform(regexp_extract_all(schema, '(?m)^\\s*{what}: (.*)$', 1), lambda x: TRIM(x, ' '))))[1:{most}]"
+    return f"CASE WHEN len({found}) > 0 THEN array_to_string({found}, chr(10)) ELSE '(none)' END"
+
+
+@query(_CONTEXT_TEXT + ", cut AS (SELECT query, LEFT(text, 1800) AS schema FROM shown) SELECT idx, db_id, md5('Schema context:' || chr(10) || schema || chr(10) || 'Allowed tables:' || chr(10) || " + _names("Table", 50) + " || chr(10) || 'Allowed columns:' || chr(10) || "
+       + _names("Column", 200) + " || chr(10) || 'Question:' || chr(10) || TRIM(question, ' ') || chr(10) || 'SQL:') AS input_digest, CASE WHEN TRIM(COALESCE(gold, ''), ' ') <> '' AND NOT suffix(TRIM(gold, ' '), ';') THEN TRIM(gold, ' ') || ';' ELSE TRIM(COALESCE(gold, ''), ' ') END AS target_text "
+       "FROM cut JOIN question_items ON idx = query")
+def prompt_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.schema_docs(catalog_of(spark, sf_dir))
+    asked = read(spark, sf_dir, "question_items").filter("idx % 100 = 0")
+    made = R.prompt_cache(R.context_text(R.schema_context(docs, asked), docs), asked)
+    return made.select("idx", "db_id", F.md5("input_text").alias("input_digest"), "target_text")
+
+
+@query(SQL["retrieval_bm25"])
+def retrieval_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over an index that was written and read back."""
+    at = f"{_scratch(spark)}/index"
+    R.save_index(R.build_index(read(spark, sf_dir, "documents"), "doc_id", "text"), at)
+    return R.top_docs(R.bm25(R.load_index(spark, at), read(spark, sf_dir, "eval_passages"), "item_id", "text"), 5).select("query", "doc", "score", "place")
+
+
 def _dense(same: str, k: int) -> str:
     return (f"SELECT query, doc, score, CAST(place AS INTEGER) AS place FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM (SELECT q.vec_id AS query, d.vec_id AS doc, "
             f"ROUND(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id{same}) s) t WHERE place <= {k}")
@@ -723,9 +803,8 @@ def retrieval_dense_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder of the cluster, or a private one where none is named."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='querymill-')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the folder that all executors share."""
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
@@ -866,3 +945,254 @@ def catalog_tables_with_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_COLS + "SELECT db_id, doc_id, CAST(place AS INTEGER) AS place FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY db_id ORDER BY CASE type WHEN 'table' THEN 0 WHEN 'fk' THEN 1 ELSE 2 END, doc_id) AS place FROM docs) t WHERE place <= 120")
 def catalog_ordered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.ordered_docs(C.schema_docs(catalog_of(spark, sf_dir)))
+
+
+# --- united pools, evidence made long, recorded choices and judgments
+
+_WIDE = POOL + """, firsts AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx, candidate_index, repaired ORDER BY ord, pool_id) AS r
+   FROM (SELECT p.*, c.candidate_index FROM pool p JOIN candidate_pool c ON c.pool_id = p.pool_id) x WHERE candidate_index IS NOT NULL) t WHERE r = 1),
+ wide AS (SELECT o.idx, o.candidate_index, o.source, o.sql, o.ok, o.correct, o.result, o.latency_ms, r.idx IS NOT NULL AS attempted, r.sql AS r_sql, r.ok AS r_ok, r.correct AS r_correct, r.result AS r_result, r.latency_ms AS r_latency
+   FROM (SELECT * FROM firsts WHERE repaired = 0) o LEFT JOIN (SELECT * FROM firsts WHERE repaired = 1) r ON o.idx = r.idx AND o.candidate_index = r.candidate_index)
+"""
+
+
+def _united(rule: str) -> None:
+    label = "" if rule == "scored" else ", {} AS correct"
+    latency = "r_latency" if rule == "weak" else "CAST(NULL AS DOUBLE)"
+    name = "repair" if rule == "weak" else "strong_repair"
+    where = "attempted OR TRIM(COALESCE(r_sql, ''), ' ') <> ''" if rule == "scored" else "attempted"
+    sql = _WIDE + f"""SELECT idx, candidate_index, source, 'original' AS variant, md5(COALESCE(sql, '')) AS statement, ok{label.format('correct')}, md5(COALESCE(result, '')) AS result, latency_ms FROM wide
+ UNION ALL SELECT idx, candidate_index, source, '{name}', md5(COALESCE(r_sql, '')), COALESCE(r_ok, FALSE){label.format('COALESCE(r_correct, FALSE)')}, md5(COALESCE(r_result, '')), {latency} FROM wide WHERE {where}"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = P.united(P.wide_candidates(pool_of(spark, sf_dir)), rule)
+        digest = lambda c: F.md5(F.coalesce(c, F.lit("")))
+        return made.withColumns({"statement": digest(F.col("sql")), "result": digest(F.col("result"))}).drop("sql")
+
+    run.__name__ = f"pool_united_{rule}"
+    query(sql)(run)
+
+
+for _rule in ("weak", "strong", "scored"):
+    _united(_rule)
+
+_LONG = """WITH long AS (
+ SELECT repair_id, idx, 'mysql' AS backend, 'raw' AS stage, COALESCE(mysql_sql, selected_sql) AS sql, COALESCE(mysql_exec_ok, FALSE) AS exec_ok, COALESCE(mysql_crossdb_same_result, FALSE) AS same_result, mysql_exec_error AS error FROM mysql_repair
+ UNION ALL SELECT repair_id, idx, 'mysql', 'normalize', mysql_dialect_repair_sql, COALESCE(mysql_dialect_repair_exec_ok, FALSE), COALESCE(mysql_dialect_repair_exec_ok, FALSE), mysql_dialect_repair_error FROM mysql_repair WHERE mysql_dialect_repair_stage = 'normalize'
+ UNION ALL SELECT repair_id, idx, 'mysql', 'llm_repair', mysql_dialect_repair_sql, COALESCE(mysql_dialect_repair_exec_ok, FALSE), COALESCE(mysql_dialect_repair_exec_ok, FALSE), mysql_dialect_repair_error FROM mysql_repair WHERE mysql_dialect_repair_stage = 'llm' AND mysql_dialect_repair_attempted)
+"""
+
+
+@query(_LONG + "SELECT * FROM long WHERE idx IS NOT NULL AND sql IS NOT NULL")
+def evidence_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the MySQL stage as evidence, one row for each statement that was run."""
+    return E.long_evidence(read(spark, sf_dir, "mysql_repair"))
+
+
+@query(f"""WITH s AS (SELECT repair_id, CASE WHEN {_MOK} AND COALESCE(mysql_crossdb_same_result, FALSE) THEN 'pass' WHEN COALESCE(mysql_dialect_repair_stage = 'normalize', FALSE) AND {_MREP} THEN 'normalize' ELSE 'llm' END AS due FROM mysql_repair WHERE repair_id IS NOT NULL),
+ n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY due ORDER BY repair_id) AS k FROM s) SELECT repair_id, CASE WHEN due = 'llm' AND k > 500 THEN 'over_budget' ELSE due END AS due FROM n""")
+def repair_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the dialect repair does with every row, with turns for 500 of those that need a model."""
+    return E.dialect_stage(read(spark, sf_dir, "mysql_repair"), 500)
+
+
+@query(EVIDENCE + "SELECT idx, backend, sql FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY arrival, backend, sql) AS r FROM came WHERE stage = 'raw') t WHERE r = 1")
+def evidence_base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.base_row(evidence_of(spark, sf_dir))
+
+
+@query(EVIDENCE + """, n AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (n_same > 0) AS has_same_result, COUNT(*) FILTER (n_ok > 0) AS has_exec_ok, COUNT(*) FILTER (n_same = 3) AS all_three_same_result, COUNT(*) FILTER (n_ok = 3) AS all_three_exec_ok FROM chosen)
+ SELECT 'total' AS measure, total AS value FROM n UNION ALL SELECT 'has_same_result', has_same_result FROM n UNION ALL SELECT 'has_exec_ok', has_exec_ok FROM n
+ UNION ALL SELECT 'all_three_same_result', all_three_same_result FROM n UNION ALL SELECT 'all_three_exec_ok', all_three_exec_ok FROM n
+ UNION ALL SELECT 'stage:' || stage, COUNT(*) FROM ev JOIN chosen c ON c.idx = ev.idx AND c.sql_key = ev.sql_key GROUP BY stage""")
+def evidence_output_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.output_summary(evidence_of(spark, sf_dir))
+
+
+_NORMAL_ROWS = "list_sort(list_transform(CAST(from_json({0}, '[[\"VARCHAR\"]]') AS VARCHAR[][]), lambda r: list_transform(r, lambda c: COALESCE(c, 'None'))))"
+
+
+def _hint(column: str) -> str:
+    rows = f"COALESCE({_NORMAL_ROWS.format(column)}, CAST([] AS VARCHAR[][]))"
+    return f"CAST(len({rows}) AS VARCHAR) || ', sample=' || CAST(to_json(({rows})[1:3]) AS VARCHAR)"
+
+
+@query(f"WITH s AS ({SQL['select_practical']}), g AS ({SQL['select_oracle_consensus']}) SELECT s.idx, md5('target rows=' || {_hint('t.result')} || '; candidate rows=' || {_hint('c.result')}) AS hint "
+       "FROM s JOIN g ON s.idx = g.idx JOIN candidate_pool c ON c.pool_id = s.pool_id JOIN candidate_pool t ON t.pool_id = g.pool_id")
+def result_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a repair would be told of the chosen result against the right one."""
+    pool = pool_of(spark, sf_dir)
+    rows = pool.select("pool_id", "result")
+    mine = S.practical(pool).select("idx", "pool_id").join(rows, "pool_id").select("idx", F.col("result").alias("mine"))
+    right = S.oracle_consensus(pool).select("idx", "pool_id").join(rows, "pool_id").select("idx", F.col("result").alias("target"))
+    return mine.join(right, "idx").select("idx", F.md5(E.mismatch_hint(F.col("target"), F.col("mine"))).alias("hint"))
+
+
+@query("SELECT pool_id, md5(CAST(to_json((CAST(from_json(result, '[[\"VARCHAR\"]]') AS VARCHAR[][]))[1:5]) AS VARCHAR)) AS preview FROM candidate_pool WHERE result IS NOT NULL")
+def result_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = read(spark, sf_dir, "candidate_pool").filter("result IS NOT NULL")
+    return pool.select("pool_id", F.md5(F.to_json(P.preview(F.col("result")))).alias("preview"))
+
+
+_TYPED = "CASE WHEN {0} IS NOT NULL THEN CAST(list_sort(list_transform(CAST(CAST({0} AS JSON) AS JSON[]), lambda r: CAST(r AS VARCHAR))) AS VARCHAR) ELSE 'NULL_RESULT' END"
+
+
+@query(f"""WITH s AS ({SQL['select_practical']}), p AS (SELECT s.idx, s.ok, c.result FROM s JOIN candidate_pool c ON c.pool_id = s.pool_id),
+ gold AS (SELECT idx, exec_ok AS ok, result FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idx ORDER BY COALESCE(ord, 0), pool_id) AS r FROM candidate_pool WHERE exec_correct) t WHERE r = 1),
+ j AS (SELECT COALESCE(g.ok, FALSE) AS g_ok, COALESCE(p.ok, FALSE) AS p_ok, COALESCE(g.ok AND p.ok AND {_TYPED.format('g.result')} = {_TYPED.format('p.result')}, FALSE) AS good FROM p LEFT JOIN gold g ON g.idx = p.idx)
+ SELECT COUNT(*) AS total, COUNT(*) FILTER (g_ok) AS gold_executable, COUNT(*) FILTER (p_ok) AS pred_executable, {_share('g_ok')} AS gold_exec_rate, {_share('p_ok')} AS pred_exec_rate, COUNT(*) FILTER (good) AS exec_correct, {_share('good')} AS exec_acc FROM j""")
+def metrics_exec_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The practical choice against the result of the question's first correct candidate, by typed cells."""
+    pool = pool_of(spark, sf_dir)
+    chosen = S.practical(pool).select("pool_id").join(pool.select("pool_id", "idx", "ok", "result"), "pool_id")
+    gold = P.first_by(pool.filter("correct"), ["idx"], [F.col("ord"), F.col("pool_id")], ["ok", "result"])
+    return M.exec_accuracy(chosen, gold)
+
+
+@query(POOL + """, first AS (SELECT * FROM (SELECT p.*, c.candidate_index, ROW_NUMBER() OVER (PARTITION BY p.idx, p.source ORDER BY p.ord, p.pool_id) AS r FROM pool p JOIN candidate_pool c ON c.pool_id = p.pool_id WHERE repaired = 0) t WHERE r = 1),
+ fixed AS (SELECT p.idx, p.source, c.candidate_index, BOOL_OR(p.ok) AS r_ok, BOOL_OR(p.ok AND p.correct) AS r_right FROM pool p JOIN candidate_pool c ON c.pool_id = p.pool_id WHERE repaired = 1 GROUP BY 1, 2, 3),
+ j AS (SELECT f.source, ok, correct, COALESCE(r_ok, FALSE) AS r_ok, COALESCE(r_right, FALSE) AS r_right FROM first f LEFT JOIN fixed x ON x.idx = f.idx AND x.source = f.source AND x.candidate_index = f.candidate_index)
+ """ + f"SELECT source, COUNT(*) AS questions, {_share('ok')} AS exec_before, {_share('correct')} AS accuracy_before, {_share('ok OR r_ok')} AS exec_after, {_share('CASE WHEN ok THEN correct WHEN r_ok THEN r_right ELSE correct END')} AS accuracy_after FROM j GROUP BY source")
+def metrics_first_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.first_before_after(pool_of(spark, sf_dir))
+
+
+@query(f"WITH a AS ({SQL['select_rule_priority']}), b AS ({SQL['select_practical']}) SELECT a.idx, a.pool_id AS old, b.pool_id AS new, a.correct AS old_correct, b.correct AS new_correct FROM a JOIN b ON a.idx = b.idx")
+def choices_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two selections side by side; a question that one of them lacks is an error."""
+    pool = pool_of(spark, sf_dir)
+    both = S.aligned(S.rule_priority(pool).select("idx", "pool_id", "correct"), S.practical(pool).select("idx", "pool_id", "correct"))
+    return both.select("idx", F.col("a.pool_id").alias("old"), F.col("b.pool_id").alias("new"), F.col("a.correct").alias("old_correct"), F.col("b.correct").alias("new_correct"))
+
+
+@query("""WITH c AS (SELECT repair_id AS choice_id, idx, CAST(NULL AS VARCHAR) AS source, CASE WHEN repair_id % 2 = 0 THEN 'original' END AS variant, CASE WHEN repair_id % 5 > 0 THEN selected_sql END AS sql FROM mysql_repair WHERE idx IS NOT NULL),
+ p AS (SELECT idx, pool_id, COALESCE(ord, 0) AS ord, COALESCE(variant, 'original') AS variant, LOWER(TRIM(COALESCE(sql, ''), ' ')) AS text FROM candidate_pool)
+ SELECT choice_id, pool_id FROM (SELECT choice_id, p.pool_id, ROW_NUMBER() OVER (PARTITION BY choice_id ORDER BY ord, p.pool_id) AS r FROM c JOIN p ON c.idx = p.idx
+  WHERE (c.variant IS NULL OR c.variant = p.variant) AND (TRIM(COALESCE(c.sql, ''), ' ') = '' OR LOWER(TRIM(c.sql, ' ')) = p.text)) t WHERE r = 1""")
+def choice_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates that the statements chosen for the MySQL stage mean; every fifth choice is left without its statement."""
+    made = read(spark, sf_dir, "mysql_repair").select(
+        F.col("repair_id").alias("choice_id"), "idx", F.lit(None).cast("string").alias("source"), F.when(F.col("repair_id") % 2 == 0, "original").alias("variant"),
+        F.when(F.col("repair_id") % 5 > 0, F.col("selected_sql")).alias("sql"))
+    return S.matched_choice(made, pool_of(spark, sf_dir))
+
+
+@query(_ALT + """, t AS (SELECT *, score / 10 AS b, base_score / 10 AS a, pool_id % 3 > 0 AS kept FROM alt)
+ SELECT pool_id, CASE WHEN kept AND score > base_score THEN 'B' ELSE 'A' END AS winner, CASE WHEN kept THEN CAST(0.9 AS DOUBLE) ELSE 0 END AS confidence, ROUND(CASE WHEN kept THEN a + 1 ELSE 0 END, 6) AS total_a, ROUND(CASE WHEN kept THEN b + 2 ELSE 0 END, 6) AS total_b FROM t""")
+def judge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alternatives with judgments read back from a cache of answers, a third of which is missing."""
+    key = TX.stable_key(F.col("idx"), F.col("base_id"), F.col("pool_id"))
+    asked = S.alternatives(pool_of(spark, sf_dir)).withColumn("cache_key", key)
+    pair = lambda a, b: F.struct(a.cast("double").alias("A"), b.cast("double").alias("B"))
+    scores = F.create_map(F.lit("filters"), pair(F.col("base_score") / 10, F.col("score") / 10), F.lit("selected_output"), pair(F.lit(1), F.lit(2)), F.lit("unknown"), pair(F.lit(9), F.lit(9)))
+    answer = F.to_json(F.struct(F.when(F.col("score") > F.col("base_score"), "b").otherwise("A").alias("winner"), F.lit(0.9).alias("confidence"), scores.alias("scores")))
+    cache = asked.filter("pool_id % 3 > 0").select("cache_key", F.concat(F.lit("Here it is:\n```json\n"), answer, F.lit("\n```")).alias("response"))
+    judged = S.with_judgments(asked, cache)
+    return judged.select("pool_id", "winner", "confidence", F.round("total_a", 6).alias("total_a"), F.round("total_b", 6).alias("total_b"))
+
+
+@query("""SELECT idx, CASE WHEN TRIM(COALESCE(gold, ''), ' ') <> '' AND NOT suffix(TRIM(gold, ' '), ';') THEN TRIM(gold, ' ') || ';' ELSE TRIM(COALESCE(gold, ''), ' ') END AS target,
+  CASE WHEN LOWER(v) NOT IN ('old', 'young', 'oldest', 'youngest') THEN v END AS after_is, CASE WHEN m <> '' THEN '>' WHEN l <> '' THEN '<' END AS op, TRY_CAST(CASE WHEN m <> '' THEN m WHEN l <> '' THEN l END AS BIGINT) AS value
+ FROM (SELECT idx, gold, NULLIF(regexp_extract(question, '(?i)is\\s+([A-Za-z][A-Za-z-]*)', 1), '') AS v, regexp_extract(LOWER(question), '(heavier|greater|more)\\s+than\\s+(\\d+)', 2) AS m, regexp_extract(LOWER(question), '(less|lighter|under)\\s+than\\s+(\\d+)', 2) AS l FROM question_items) t""")
+def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed targets, and what questions say of values and comparisons."""
+    q = F.col("question")
+    made = read(spark, sf_dir, "question_items").select("idx", TX.with_semicolon(F.col("gold")).alias("target"), TX.value_after(q, "is").alias("after_is"), TX.compared(q).alias("c"))
+    return made.select("idx", "target", "after_is", F.col("c.op").alias("op"), F.col("c.value").alias("value"))
+
+
+@query("SELECT replace(replace(replace(c.model, '/', '_'), ':', '_'), ' ', '_') AS file, COUNT(*) AS n FROM (SELECT UNNEST(candidates) AS c FROM question_items WHERE candidates IS NOT NULL) t GROUP BY 1")
+def text_model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = P.nested_candidates(read(spark, sf_dir, "question_items"))
+    return made.groupBy(TX.file_name(F.col("model")).alias("file")).agg(F.count("*").alias("n"))
+
+
+# the pairs of sources that are compared
+_MATRIX = (("embedrag", "bm25rag"), ("embedrag", "lora_rag"), ("embedrag", "promptonly"), ("bm25rag", "lora_rag"), ("bm25rag", "promptonly"), ("lora_rag", "loraonly_ep3"), ("loraonly_ep3", "promptonly"))
+_MATRIX_SQL = " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, COUNT(*) AS n, {_share('x')} AS acc_a, {_share('y')} AS acc_b, {_rate('(COUNT(*) FILTER (x AND NOT y) - COUNT(*) FILTER (y AND NOT x))')} AS diff, COUNT(*) FILTER (x AND NOT y) AS only_a, COUNT(*) FILTER (y AND NOT x) AS only_b,
+ ROUND(COALESCE(POWER(ABS(COUNT(*) FILTER (x AND NOT y) - COUNT(*) FILTER (y AND NOT x)) - 1, 2) / NULLIF(COUNT(*) FILTER (x AND NOT y) + COUNT(*) FILTER (y AND NOT x), 0), 0), 6) AS chi2
+ FROM (SELECT u.correct AS x, v.correct AS y FROM o u JOIN o v ON u.idx = v.idx WHERE u.source = '{a}' AND v.source = '{b}') t""" for a, b in _MATRIX)
+
+
+@query(POOL + ", o AS (SELECT idx, source, BOOL_OR(correct) AS correct FROM pool WHERE repaired = 0 GROUP BY idx, source) " + _MATRIX_SQL)
+def stats_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven pairs of sources; p values and intervals, which SQL lacks, are left to ``stats_paired_report`` and the tests."""
+    per = pool_of(spark, sf_dir).filter("repaired = 0").groupBy("idx", F.col("source").alias("system")).agg(F.max("correct").alias("correct"))
+    return ST.matrix_report(per, _MATRIX, resamples=100).drop("p_chi2", "p_exact", "low", "high")
+
+
+# --- files: written to the shared folder and read back
+
+_EV_SCHEMA = "idx INT, backend STRING, stage STRING, sql STRING, exec_ok BOOLEAN, error STRING"
+
+
+@query("SELECT LOWER(TRIM(backend, ' ')) AS backend, COUNT(*) AS n, COUNT(error) AS errors, COUNT(DISTINCT sql) AS statements FROM evidence WHERE backend IS NOT NULL GROUP BY 1")
+def files_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence written as a file of JSON lines for each backend, and read by pattern with its file as a tag."""
+    at = f"{_scratch(spark)}/evidence"
+    typed = read(spark, sf_dir, "evidence").withColumn("backend", F.lower(F.trim("backend"))).filter("backend IS NOT NULL")
+    typed.select("idx", "backend", "stage", "sql", "exec_ok", "error", F.col("backend").alias("part")).write.partitionBy("part").option("ignoreNullFields", False).json(at)
+    got = FI.read_jsonl(spark, f"{at}/part=*", _EV_SCHEMA, tag_files=True)
+    part = F.regexp_extract("file", "part=([^/]+)", 1)
+    return got.groupBy(part.alias("backend")).agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.count_distinct("sql").alias("statements"))
+
+
+@query("SELECT COALESCE(split, '') AS split, COUNT(*) AS n, COUNT(DISTINCT NULLIF(TRIM(regexp_replace(question, '\\s+', ' ', 'g'), ' '), '')) AS questions, COUNT(gold) AS golds FROM question_items GROUP BY 1")
+def files_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{_scratch(spark)}/items"
+    FI.write_csv(read(spark, sf_dir, "question_items").select("idx", F.coalesce("split", F.lit("")).alias("split"), "question", "gold"), at)
+    got = spark.read.schema("idx INT, split STRING, question STRING, gold STRING").option("header", True).option("multiLine", True).option("escape", "\"").csv(at)
+    return got.groupBy(F.coalesce("split", F.lit("")).alias("split")).agg(F.count("*").alias("n"), F.count_distinct(F.nullif(F.trim(F.regexp_replace("question", r"\s+", " ")), F.lit(""))).alias("questions"), F.count("gold").alias("golds"))
+
+
+@query(_FOLDS + ", x AS (SELECT fold, CASE WHEN split = 'train' THEN 'train' ELSE 'rest' END AS split FROM question_items q JOIN folds f ON f.db_id = COALESCE(NULLIF(LOWER(TRIM(q.db_id, ' ')), ''), 'unknown')) SELECT fold, split, COUNT(*) AS rows FROM x GROUP BY 1, 2")
+def files_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds written as folders, with the counts of their metadata."""
+    at = f"{_scratch(spark)}/folds"
+    items = read(spark, sf_dir, "question_items")
+    name = F.coalesce(F.nullif(F.lower(F.trim("db_id")), F.lit("")), F.lit("unknown"))
+    split = F.when(F.col("split") == "train", "train").otherwise("rest")
+    FI.write_folds(items.select("idx", name.alias("db_id"), split.alias("split")).join(PR.database_folds(items, 5), "db_id"), at)
+    return spark.read.schema("fold INT, split STRING, rows BIGINT").json(f"{at}/metadata")
+
+
+@query("SELECT COUNT(*) AS n, COUNT(DISTINCT idx) AS questions, COUNT(DISTINCT backend) AS backends FROM (SELECT DISTINCT idx, backend, stage, sql FROM evidence) t")
+def files_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence appended in two halves and once more as a whole: nothing is there twice."""
+    at = f"{_scratch(spark)}/appended"
+    ev = read(spark, sf_dir, "evidence").select("idx", *[F.coalesce(c, F.lit("")).alias(c) for c in ("backend", "stage", "sql")])
+    for part in (ev.filter("pmod(idx, 2) = 0"), ev.filter("pmod(idx, 2) = 1 OR idx IS NULL"), ev):
+        FI.append_missing(part, at, ["idx", "backend", "stage", "sql"])
+    back = spark.read.parquet(at)
+    return back.agg(F.count("*").alias("n"), F.count_distinct("idx").alias("questions"), F.count_distinct(F.nullif("backend", F.lit(""))).alias("backends"))
+
+
+@query("SELECT idx, MAX(repair_id) AS repair_id FROM mysql_repair WHERE idx IS NOT NULL GROUP BY idx")
+def files_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last entry of every key of an append-only cache that was written as JSON lines."""
+    at = f"{_scratch(spark)}/cache"
+    FI.write_jsonl(read(spark, sf_dir, "mysql_repair").select("idx", "repair_id", "mysql_dialect_repair_stage"), at)
+    back = FI.read_jsonl(spark, at, "idx INT, repair_id BIGINT, mysql_dialect_repair_stage STRING", "drop")
+    return FI.latest(back.filter("idx IS NOT NULL"), ["idx"], "repair_id").select("idx", "repair_id")
+
+
+@query(f"SELECT source AS name, {_share('ok')} AS exec_rate, n AS details FROM (SELECT source, ok, COUNT(*) OVER () AS n FROM ({SQL['select_practical']}) s) t GROUP BY source, n")
+def files_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and details of a selection written as a report and read back."""
+    at = f"{_scratch(spark)}/report"
+    chosen = cut(S.practical(pool_of(spark, sf_dir)))
+    by = chosen.groupBy(F.col("source").alias("name")).agg(M.share(F.col("ok")).alias("exec_rate"))
+    FI.write_report(by, chosen.select("idx", "pool_id", "source"), at)
+    metrics, details = FI.read_report(spark, at, "name STRING, exec_rate DOUBLE", "idx INT, pool_id BIGINT, source STRING")
+    return metrics.withColumn("details", F.lit(details.count()))
+
+
+@query("SELECT db_id, len(table_names_original) AS tables, len(column_names_original) AS columns, len(foreign_keys) AS keys FROM db_catalog")
+def files_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as the JSON array of its own file format, read back."""
+    at = f"{_scratch(spark)}/catalog"
+    columns = F.transform("column_names_original", lambda c: F.array(c["tbl"].cast("string"), c["name"]))
+    keys = F.transform("primary_keys", lambda k: k.cast("string"))
+    FI.write_json_arrays(catalog_of(spark, sf_dir).withColumns({"column_names_original": columns, "primary_keys": keys}), at, "db_id", 8)
+    got = FI.read_catalog_json(spark, f"{at}/part=*")
+    return got.select("db_id", *[F.size(c).alias(n) for c, n in (("table_names_original", "tables"), ("column_names_original", "columns"), ("foreign_keys", "keys"))])

@@ -37,8 +37,15 @@ def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def samples(df: DataFrame) -> DataFrame:
-    """question, query, db_id with '' for what is missing."""
-    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("question", "query", "db_id")])
+    """question, query, db_id with '' and tokens with nothing for what is missing."""
+    tokens = F.col("tokens") if "tokens" in df.columns else F.lit(None).cast("array<string>")
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("question", "query", "db_id")], F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
+
+
+def read_jsonl_head(spark: SparkSession, path: str, schema: str, rows: int) -> DataFrame:
+    """The first rows of a JSON lines file, in its order; a limit that is the feature. No more of the file is read than they need."""
+    text = spark.read.text(path).filter("trim(value) <> ''").limit(rows)  # a plain limit takes the first partitions first
+    return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
 
 
 def read_markdown_table(spark: SparkSession, path: str) -> DataFrame:
@@ -52,12 +59,30 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, key: str, parts: int) -> None:
+    """JSON arrays in ``parts`` folders by key, for tables like a catalog: an array is one value and read by one task."""
+    made = df.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    made.write.mode("overwrite").partitionBy("part").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_report(metrics: DataFrame, details: DataFrame, path: str) -> None:
+    """Metrics of one row and any number of details, each as JSON lines below ``path``."""
+    write_jsonl(metrics.coalesce(1), f"{path}/metrics")
+    write_jsonl(details, f"{path}/details")
+
+
+def read_report(spark: SparkSession, path: str, metrics: str, details: str) -> tuple[DataFrame, DataFrame]:
+    return read_jsonl(spark, f"{path}/metrics", metrics), read_jsonl(spark, f"{path}/details", details)
 
 
 def write_folds(df: DataFrame, path: str, fold: str = "fold", split: str = "split") -> None:
-    df.write.mode("overwrite").partitionBy(fold, split).parquet(path)
+    """A folder for each fold and split, and how many rows each has in ``metadata``."""
+    df.write.mode("overwrite").partitionBy(fold, split).parquet(f"{path}/rows")
+    df.groupBy(fold, split).agg(F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def append_missing(df: DataFrame, path: str, key: Sequence[str]) -> DataFrame:
@@ -65,9 +90,11 @@ def append_missing(df: DataFrame, path: str, key: Sequence[str]) -> DataFrame:
     fresh = df.dropDuplicates(list(key))
     try:
         there = df.sparkSession.read.parquet(path).select(*key).distinct()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
         fresh = fresh.join(there, list(key), "left_anti")
-    except AnalysisException:
-        pass
     fresh.write.mode("append").parquet(path)
     return fresh
 

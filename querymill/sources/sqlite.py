@@ -1,7 +1,8 @@
 """A Spark data source for SQLite files: ``spark.read.format("sqlite_file").option("path", …).option("table", …)``.
 
 A table is read in row-id ranges, one per partition, so that a large one is spread over tasks. Text that isn't
-UTF-8 has its bad bytes replaced. Columns are double or string by their declared type.
+UTF-8 has its bad bytes replaced. Columns are bigint, double or string by their declared type. A table without row
+ids is read in one partition. The path must be one that every worker can open.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-_NUMBERS = ("int", "number", "numeric", "real", "float", "double", "decimal")
+_NUMBERS = ("number", "numeric", "real", "float", "double", "decimal")
 
 
 def connect(path: str) -> sqlite3.Connection:
@@ -32,8 +33,8 @@ def quoted(name: str) -> str:
 
 
 class Rows(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, low: int, high: int, whole: bool = False):
+        self.low, self.high, self.whole = low, high, whole
 
 
 class SqliteReader(DataSourceReader):
@@ -42,7 +43,10 @@ class SqliteReader(DataSourceReader):
 
     def partitions(self) -> list[Rows]:
         with connect(self.path) as con:
-            low, high = con.execute(f"SELECT MIN(rowid), MAX(rowid) FROM {quoted(self.table)}").fetchone()
+            try:
+                low, high = con.execute(f"SELECT MIN(rowid), MAX(rowid) FROM {quoted(self.table)}").fetchone()
+            except sqlite3.OperationalError:
+                return [Rows(0, 0, whole=True)]
         if low is None:
             return [Rows(0, -1)]
         step = max(1, -(-(high - low + 1) // self.parts))
@@ -50,21 +54,22 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition: Rows) -> Iterator[tuple]:
         names = ", ".join(quoted(f.name) for f in self.schema.fields)
-        numbers = [isinstance(f.dataType, DoubleType) for f in self.schema.fields]
+        kinds = [int if isinstance(f.dataType, LongType) else float if isinstance(f.dataType, DoubleType) else None for f in self.schema.fields]
 
-        def value(v, number):  # noqa: ANN001
+        def value(v, kind):  # noqa: ANN001
             if v is None:
                 return None
-            if not number:
+            if kind is None:
                 return v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
             try:
-                return float(v)
-            except (TypeError, ValueError):
+                return v if isinstance(v, kind) else kind(v) if kind is float or float(v) == int(v) else None
+            except (TypeError, ValueError, OverflowError):
                 return None
 
+        where, given = ("", ()) if partition.whole else (" WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
         with connect(self.path) as con:
-            for row in con.execute(f"SELECT {names} FROM {quoted(self.table)} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high)):
-                yield tuple(value(v, n) for v, n in zip(row, numbers))
+            for row in con.execute(f"SELECT {names} FROM {quoted(self.table)}{where}", given):
+                yield tuple(value(v, k) for v, k in zip(row, kinds))
 
 
 class SqliteFile(DataSource):
@@ -75,7 +80,10 @@ class SqliteFile(DataSource):
     def schema(self) -> StructType:
         with connect(self.options["path"]) as con:
             info = con.execute(f"PRAGMA table_info({quoted(self.options['table'])})").fetchall()
-        kind = lambda t: DoubleType() if any(n in (t or "").lower() for n in _NUMBERS) else StringType()
+        def kind(declared: str | None) -> LongType | DoubleType | StringType:
+            low = (declared or "").lower()
+            return LongType() if "int" in low else DoubleType() if any(n in low for n in _NUMBERS) else StringType()
+
         return StructType([StructField(name, kind(declared)) for _, name, declared, *_ in info])
 
     def reader(self, schema: StructType) -> SqliteReader:

@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from querymill import runtime
 from querymill.plans import repair as RP
 from querymill.plans import validate as V
 from querymill.plans.engine import Engine
@@ -49,7 +50,32 @@ def test_reports(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["name", "rate"]
     files.write_folds(df.withColumns({"fold": F.lit(1), "split": F.lit("dev")}), str(tmp_path / "folds"))
-    assert (tmp_path / "folds/fold=1/split=dev").exists()
+    assert (tmp_path / "folds/rows/fold=1/split=dev").exists() and spark.read.json(str(tmp_path / "folds/metadata")).first()["rows"] == 2
+    files.write_report(df.limit(1), df, str(tmp_path / "report"))
+    metrics, details = files.read_report(spark, str(tmp_path / "report"), "name STRING, rate DOUBLE", "name STRING, rate DOUBLE")
+    assert metrics.count() == 1 and details.count() == 2
+
+
+def test_head_and_samples(spark, tmp_path):
+    (tmp_path / "h.jsonl").write_text("".join(f'{{"question": "q{i}", "tokens": ["a"]}}\n' for i in range(50)))
+    head = files.read_jsonl_head(spark, str(tmp_path / "h.jsonl"), "question STRING, query STRING, db_id STRING, tokens ARRAY<STRING>", 3)
+    assert [r.question for r in head.collect()] == ["q0", "q1", "q2"]
+    assert tuple(files.samples(head).first()) == ("q0", "", "", ["a"])
+    assert files.samples(head.drop("tokens")).first().tokens == []
+
+
+def test_only_a_missing_table_is_empty(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/part.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        files.append_missing(df, str(tmp_path / "bad"), ["k"])
+
+
+def test_json_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(f"d{i}", i) for i in range(20)], "db_id string, n int")
+    files.write_json_arrays(df, str(tmp_path / "arrays"), "db_id", 3)
+    assert sorted(map(tuple, files.read_json_array(spark, f"{tmp_path}/arrays/part=*", "db_id STRING, n INT").collect())) == sorted((f"d{i}", i) for i in range(20))
 
 
 def test_sqlite(spark, tmp_path):
@@ -59,12 +85,15 @@ def test_sqlite(spark, tmp_path):
         con.executemany('INSERT INTO "odd name" VALUES (?, ?, ?)', [(i, f"l{i}", i / 2) for i in range(100)])
         con.execute('INSERT INTO "odd name" VALUES (NULL, CAST(X\'FF41\' AS TEXT), \'\')')
         con.execute("CREATE TABLE empty (a TEXT)")
-    assert sqlite.list_tables(path) == ["empty", "odd name"]
+        con.execute("CREATE TABLE keyed (k INTEGER PRIMARY KEY, v INTEGER) WITHOUT ROWID")
+        con.executemany("INSERT INTO keyed VALUES (?, ?)", [(1, 2**60 + 1), (2, "x"), (3, 1.5)])
+    assert sqlite.list_tables(path) == ["empty", "keyed", "odd name"]
     sqlite.load_database(spark, path, "s_")
     df = spark.table("`s_odd name`")
-    assert dict(df.dtypes) == {"id": "double", "label": "string", "size": "double"} and df.count() == 101 and df.rdd.getNumPartitions() > 1
+    assert dict(df.dtypes) == {"id": "bigint", "label": "string", "size": "double"} and df.count() == 101 and df.rdd.getNumPartitions() > 1
     bad = df.filter("id IS NULL").first()
     assert bad["size"] is None and bad.label.endswith("A") and spark.table("s_empty").count() == 0
+    assert sorted(map(tuple, spark.table("s_keyed").collect())) == [(1, 2**60 + 1), (2, None), (3, None)]
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +143,19 @@ def test_labels(spark, engine):
     out = V.validate(spark, [(1, 0, "a", "SELECT 1"), (1, 1, "b", "SELECT 2"), (2, 0, "a", "bad")])
     gold = V.validate(spark, [(1, 0, "gold", "SELECT 1"), (2, 0, "gold", "bad")])
     assert sorted((r.idx, r.candidate_index, r.correct) for r in V.labelled(out, gold).collect()) == [(1, 0, True), (1, 1, False), (2, 0, False)]
+
+
+def test_no_shared_folder_is_an_error(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        class getConf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_folder(Session())

@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from querymill.operators import evidence as E
+from querymill.operators import pairs as PR
 from querymill.operators import pool as P
 from querymill.operators import select as S
 from querymill.schemas import POOL
@@ -52,6 +54,13 @@ def test_votes(spark):
     ([{"source": "embedrag", "result": "[]"}, {"source": "bm25rag", "result": "[[2]]"}], 2),
     ([{"source": "embedrag"}, {"source": "bm25rag", "result": "[[2]]"}, {"source": "lora_rag", "result": "[[2]]"}], 2),
     ([{"source": "embedrag"}, {"source": "bm25rag", "result": "[[2]]"}], 1),
+    # the first default counts, even if a later one runs
+    ([{"source": "embedrag", "exec_ok": False}, {"source": "embedrag"}, {"source": "bm25rag", "result": "[[2]]"}, {"source": "lora_rag", "result": "[[2]]"}], 3),
+    # a missing result is a result that can be shared
+    ([{"source": "embedrag"}, *[{"source": s, "result": None} for s in ("bm25rag", "lora_rag")]], 1),
+    # of those who agree the best that is not the default, though the default's second candidate is among them
+    ([{"source": "embedrag"}, {"source": "embedrag", "result": "[[2]]"}, {"source": "promptonly", "result": "[[2]]"}], 1),
+    ([{"source": "embedrag", "result": "[]"}, {"source": "embedrag", "result": "[[2]]"}, {"source": "promptonly", "result": "[[2]]"}, {"source": "lora_rag", "result": "[[3]]"}], 2),
 ])
 def test_conservative_switch(spark, entries, expected):
     assert picked(S.conservative_switch(pool(spark, *entries))) == expected
@@ -96,3 +105,81 @@ def test_no_candidates_and_no_question(spark):
         P.needs_repair(empty, "other")
     assert pool(spark, {"exec_ok": False}, {"sql": "x = 'a'"}, {"sql": "x = 1"}, {"result": "[]"}).filter(P.needs_repair(empty)).count() == 3
     assert pool(spark, {"exec_ok": False}, {"sql": "x = 'a'"}).filter(P.needs_repair(empty, "failed_only")).agg(F.count("*")).first()[0] == 1
+
+
+def test_fixed_model_takes_the_first_default(spark):
+    assert picked(S.fixed_model(pool(spark, {"source": "bm25rag"}, {"source": "embedrag", "exec_ok": False}, {"source": "embedrag"}))) == 2
+    assert picked(S.fixed_model(pool(spark, {"source": "promptonly"}, {"source": "bm25rag", "exec_ok": False}))) == 1
+
+
+def test_pairs_of_labelled_candidates_only(spark):
+    entries = [{"source": "bm25rag", "exec_correct": True, "label_available": True}, {"source": "lora_rag", "exec_correct": True, "label_available": True, "sql": "SELECT 0"},
+               {"source": "promptonly", "result": "[[2]]"}, {"source": "promptonly", "result": "[[3]]", "label_available": True}, {"source": "promptonly", "exec_ok": False, "label_available": True}]
+    got = PR.preference_pairs(pool(spark, *entries)).orderBy("place").collect()
+    assert [(r.place, r.negative) for r in got] == [(1, 4), (2, 4), (3, 5), (4, 5)] and {r.positive for r in got} == {1, 2}
+    three = PR.preference_pairs(pool(spark, *entries), limit=3).orderBy("place").collect()
+    assert [(r.place, r.negative, r.positive) for r in three] == [(r.place, r.negative, r.positive) for r in got[:3]]
+    many = [{"exec_correct": i % 2 == 0, "label_available": True, "source": "x", "result": f"[[{i}]]"} for i in range(60)]
+    assert PR.preference_pairs(pool(spark, *many)).count() == 80
+
+
+def test_folds_of_equal_databases(spark):
+    rows = [(i, f"d{i:02}") for i in range(23)] + [(100 + i, "big") for i in range(9)] + [(200, None), (201, " ")]
+    got = {r.db_id: (r["rows"], r.fold) for r in PR.database_folds(spark.createDataFrame(rows, "idx int, db_id string"), 3).collect()}
+    loads, want = [0, 0, 0], {}
+    for name, n in sorted({**{f"d{i:02}": 1 for i in range(23)}, "big": 9, "unknown": 2}.items(), key=lambda x: (-x[1], x[0])):
+        fold = loads.index(min(loads))
+        loads[fold] += n
+        want[name] = (n, fold)
+    assert got == want
+
+
+def test_alignment(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "idx int, v string")
+    assert sorted((r.idx, r.a.v, r.b.v) for r in S.aligned(a, a).collect()) == [(1, "x", "x"), (2, "y", "y")]
+    for other in ([(1, "x")], [(1, "x"), (2, "y"), (3, "z")], [(1, "x"), (2, "y"), (2, "y")]):
+        with pytest.raises(Exception, match="not aligned"):
+            S.aligned(a, spark.createDataFrame(other, "idx int, v string")).collect()
+
+
+def test_unions_of_originals_and_repairs(spark):
+    schema = ("idx int, candidate_index int, source string, sql string, ok boolean, correct boolean, labeled boolean, result string, latency_ms double, repair_attempted boolean, repair_sql string, "
+              "repair_ok boolean, repair_correct boolean, repair_labeled boolean, repair_result string, repair_latency_ms double")
+    wide = spark.createDataFrame([(1, 0, "a", "s", True, None, True, "[[1]]", 1.0, False, "r0", None, None, None, None, None), (1, 1, "b", "t", None, False, True, None, 2.0, True, "r1", True, True, True, "[]", 3.0),
+                                  (1, 2, "c", None, None, None, None, None, None, None, None, None, None, None, None, None)], schema)
+    shown = lambda rule: sorted((r.candidate_index, r.variant, r.ok, r.latency_ms or 0) for r in P.united(wide, rule).collect())
+    originals = [(0, "original", True, 1.0), (1, "original", False, 2.0), (2, "original", False, 0)]
+    assert shown("weak") == sorted([*originals, (1, "repair", True, 3.0)]) and shown("strong") == sorted([*originals, (1, "strong_repair", True, 0)])
+    assert shown("scored") == sorted([*originals, (0, "strong_repair", False, 0), (1, "strong_repair", True, 0)]) and "correct" not in P.united(wide, "scored").columns
+    with pytest.raises(ValueError):
+        P.united(wide, "other")
+
+
+def test_choices_that_leave_things_open(spark):
+    p = pool(spark, {"source": "embedrag", "sql": "SELECT 1 "}, {"source": "bm25rag", "sql": "select 1"}, {"source": "bm25rag", "variant": "strong_repair", "sql": "select 2"})
+    rows = [(1, 1, None, None, "Select 1"), (2, 1, "bm25rag", "", " SELECT 1"), (3, 1, "bm25rag", "strong_repair", None), (4, 1, None, None, None), (5, 1, "lora_rag", None, "select 1"), (6, 9, None, None, None)]
+    got = S.matched_choice(spark.createDataFrame(rows, "choice_id int, idx int, source string, variant string, sql string"), p)
+    assert {r.choice_id: r.pool_id for r in got.collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_judgments(spark):
+    alt = spark.createDataFrame([("k1", 7), ("k2", 8), ("k3", 9)], "cache_key string, pool_id int")
+    cache = spark.createDataFrame([("k1", 'Sure: {"winner": "b ", "confidence": 0.8, "scores": {"filters": {"A": 1, "B": 2.5}, "join_schema_grounding": {"B": 1}, "style": {"A": 9, "B": 9}}}'),
+                                   ("k2", "not JSON {"), ("k9", "{}")], "cache_key string, response string")
+    got = {r.pool_id: (r.winner, r.confidence, r.total_a, r.total_b) for r in S.with_judgments(alt, cache).collect()}
+    assert got == {7: ("B", 0.8, 1.0, 3.5), 8: ("A", 0.0, 0.0, 0.0), 9: ("A", 0.0, 0.0, 0.0)}
+
+
+def test_evidence_choices(spark):
+    schema = "idx int, backend string, stage string, sql string, exec_ok boolean, same_result boolean, result string, result_key string, error string, checked_at timestamp"
+    row = lambda idx, backend, stage, sql, ok=True, same=True: (idx, backend, stage, sql, ok, same, None, None, None, None)
+    # of two statements alike in evidence the one that is shorter as written, blanks and all
+    ev = E.evidence(spark.createDataFrame([row(1, "duckdb", "raw", "SELECT   aa  FROM   tt"), row(1, "duckdb", "raw", "SELECT bbbb FROM tttt"),
+                                           # the stage is that of the chosen statement's evidence, failed or not
+                                           row(2, "duckdb", "raw", "SELECT 1"), row(2, "mysql", "normalize", "SELECT 1;"), row(2, "postgres", "normalize", "select 1", False, False),
+                                           *[row(2, b, "llm_repair", "SELECT 2", True, False) for b in ("duckdb", "mysql", "postgres")]], schema))
+    assert {r.idx: r.sql_key for r in E.by_evidence(ev).collect()} == {1: "select bbbb from tttt", 2: "select 1"}
+    assert {r.idx: (r.stage, r.votes) for r in E.stage_mode(ev).collect()} == {1: ("raw", 1), 2: ("normalize", 2)}
+    summary = {r.measure: r.value for r in E.output_summary(ev).collect()}
+    assert summary["total"] == 2 and summary["stage:normalize"] == 2 and summary["stage:raw"] == 2 and "stage:llm_repair" not in summary
+    assert {r.idx: r.backend for r in E.base_row(ev).collect()} == {1: "duckdb", 2: "duckdb"}
