@@ -73,34 +73,58 @@ def boundaries(counts: np.ndarray, buckets: int, batched: bool = False) -> list[
     sizes = np.flatnonzero(counts)
     if not len(sizes):
         return []
+    if batched:
+        return _batched(counts, sizes, buckets)
     n = np.r_[0, np.cumsum(counts[sizes])].astype(float)
     mass = np.r_[0, np.cumsum(counts[sizes] * sizes)].astype(float)
     k = len(sizes)
-    best = np.full(k + 1, np.inf)
+    # one more bucket never costs more, so all are used; with every other bucket holding a size at least,
+    # the first b of them end at one of the sizes b .. b + slack
+    rounds = min(buckets, k)
+    slack = k - rounds
+    best = np.full(slack + 1, np.inf)
     best[0] = 0
+    later = np.tri(slack + 1, slack + 1, -1, dtype=bool)
     back: list[np.ndarray] = []
-    upper = sizes.astype(float)
-    weight = 1.0 / (capacity // sizes) if batched else upper
-    # cost[i, j]: one bucket of the sizes i..j
-    cost = (n[None, 1:] - n[:-1, None]) * weight[None, :]
-    if not batched:
-        cost -= mass[None, 1:] - mass[:-1, None]
+    for b in range(1, rounds + 1):
+        start, end = slice(b - 1, b + slack), slice(b, b + slack + 1)
+        # total[y, x]: the first b - 1 buckets end before size b - 1 + y, the next one before size b + x
+        total = (n[end][None, :] - n[start][:, None]) * sizes[start][None, :] - (mass[end][None, :] - mass[start][:, None]) + best[:, None]
+        total[later] = np.inf
+        choice = total.argmin(axis=0)
+        best = total[choice, np.arange(slack + 1)]
+        back.append(choice)
+    out, x = [], slack
+    for b in range(rounds, 0, -1):
+        out.append(int(sizes[b + x - 1]))
+        x = int(back[b - 1][x])
+    return out[::-1]
+
+
+def _batched(counts: np.ndarray, sizes: np.ndarray, buckets: int) -> list[int]:
+    """The bounds whose batches need the fewest containers; every bucket rounds up, so fewer buckets can be better."""
+    n = np.r_[0, np.cumsum(counts[sizes])]
+    k = len(sizes)
+    per = (len(counts) - 1) // sizes
+    cost = -(-(n[None, 1:] - n[:-1, None]) // per[None, :]).astype(float)
     cost[np.tril_indices(k, -1)] = np.inf
-    for _ in range(min(buckets, k)):
+    best = np.full(k + 1, np.inf)
+    best[0] = 0
+    back: list[np.ndarray] = []
+    for _ in range(buckets):
         total = best[:-1, None] + cost
         choice = total.argmin(axis=0)
         new = np.r_[0, total[choice, np.arange(k)]]
-        back.append(choice)
-        if np.allclose(new[1:], best[1:]):
-            back.pop()
-            break
-        best = np.minimum(new, np.r_[0, best[1:]]) if len(back) > 1 else new
-    out, j = [], k
-    for choice in reversed(back):
-        if j == 0:
+        back.append(np.where(new[1:] < best[1:], choice, -1))  # -1: one bucket less is as good
+        if (back[-1] < 0).all():
             break
-        out.append(int(sizes[j - 1]))
-        j = int(choice[j - 1])
+        best = np.minimum(new, best)
+    out, j, b = [], k, len(back) - 1
+    while j > 0:
+        if (i := int(back[b][j - 1])) >= 0:
+            out.append(int(sizes[j - 1]))
+            j = i
+        b -= 1
     return out[::-1]
 
 

@@ -21,7 +21,8 @@ def test_boundaries_against_brute_force():
         sizes = np.flatnonzero(counts).tolist()
         for batched in (False, True):
             def cost(bounds, batched=batched):
-                return sum(counts[s] * ((1 / (12 // next(b for b in bounds if b >= s))) if batched else next(b for b in bounds if b >= s) - s) for s in sizes)
+                held = {b: [s for s in sizes if s <= b and not any(s <= c < b for c in bounds)] for b in bounds}
+                return sum(-(-sum(counts[s] for s in own) // (12 // b)) if batched else sum(counts[s] * (b - s) for s in own) for b, own in held.items())
             for k in (1, 2, 3):
                 best = min(cost([*c, sizes[-1]]) for n in range(k) for c in combinations(sizes[:-1], n))
                 got = op.boundaries(counts, k, batched)
