@@ -21,6 +21,8 @@ from ..runtime import cut
 K1, B = 1.2, 0.75
 #: Rows of queries that are broadcast at once, and vectors that are scored against them at once.
 BLOCK, CHUNK = 1024, 2048
+#: Words of queries up to which they are broadcast to the postings; beyond, both are shuffled by word.
+BROADCAST_WORDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,8 @@ def build_index(docs: DataFrame, doc: str, text: str, keep: tuple[str, ...] = ()
     made = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), *keep, retrieval_tokens(F.col(text)).alias("tokens"))
     tokens = cut(made.withColumn("dl", F.size("tokens")))
     n, average = tokens.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-    postings = tokens.select("doc", *keep, "dl", F.explode("tokens").alias("term")).groupBy("term", "doc", *keep, "dl").agg(F.count("*").alias("tf"))
+    # by document: what is counted and summed for a document further on stays where it is
+    postings = tokens.repartition("doc").select("doc", *keep, "dl", F.explode("tokens").alias("term")).groupBy("doc", "term", *keep, "dl").agg(F.count("*").alias("tf"))
     df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     terms = df.withColumn("idf", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     return Index(postings, terms, tokens.drop("tokens"), n, average)
@@ -61,10 +64,13 @@ def bm25(index: Index, queries: DataFrame, query: str, text: str, same: dict[str
     """(query, doc, score, first) and what the index kept: a query's words count as often as they occur.
 
     ``same`` asks a query column to equal one of the document, as part of the join. Postings carry all that a score needs.
+    The words of the queries go to the postings, if they are at most BROADCAST_WORDS, so that a document's score is
+    summed where its postings are; else they meet by a shuffle.
     """
     same = same or {}
     tokens = queries.select(F.col(query).alias("query"), *[F.col(q).alias(d) for q, d in same.items()], F.posexplode(retrieval_tokens(F.col(text))).alias("pos", "term"))
-    asked = tokens.groupBy("query", *same.values(), "term").agg(F.count("*").alias("times"), F.min("pos").alias("pos")).join(index.terms, "term")
+    asked = cut(tokens.groupBy("query", *same.values(), "term").agg(F.count("*").alias("times"), F.min("pos").alias("pos")).join(index.terms, "term"))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_WORDS else asked
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.average + 1e-9)) + 1e-9)
     kept = [c for c in index.postings.columns if c not in ("term", "doc", "tf", "dl")]
     scored = index.postings.join(asked, ["term", *same.values()])
