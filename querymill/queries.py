@@ -364,40 +364,62 @@ def stats_paired_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rule scores
 
 
-def _q(name: str) -> str:
-    return f"regexp_matches(q, '{SC.QUESTION[name]}')"
-
-
-def _s(name: str) -> str:
-    return f"regexp_matches(s, '{SC.STATEMENT[name]}')"
-
-
-_COUNTS = f"({_q('count_word')} OR ({_q('number')} AND NOT {_q('number_of_time')}))"
-_GROUPS = f"({_q('each')} OR ({_q('by')} AND NOT {_q('done_by')}))"
-_DESC, _ASC = (f"({_s('order')} AND {_s(d)} AND {_s('limit')})" for d in ("desc", "asc"))
-_CASES = f"""
- CASE WHEN ok THEN 10 ELSE -10 END + CASE source WHEN 'embedrag' THEN 5 WHEN 'bm25rag' THEN 4 WHEN 'lora_rag' THEN 3 WHEN 'promptonly' THEN 1 WHEN 'loraonly_ep3' THEN 0.5 ELSE 0 END
- + CASE WHEN repaired = 1 THEN CASE WHEN NOT ok THEN -2 WHEN NOT original_ok THEN 1 ELSE 0.25 END ELSE 0 END
- + CASE WHEN repaired = 1 AND len(list_filter(regexp_extract_all(COALESCE(sql, ''), '''([^'']*)''', 1), lambda x: x <> TRIM(x, ' '))) > 0 THEN -2 ELSE 0 END
- + CASE WHEN repaired = 0 AND ok AND repair_available AND repair_ok THEN 0.25 ELSE 0 END
- + CASE WHEN {_COUNTS} THEN CASE WHEN {_s('count')} THEN 2 ELSE -3 END ELSE 0 END
- + CASE WHEN {_q('average')} THEN CASE WHEN {_s('avg')} THEN 2 ELSE -2.5 END ELSE 0 END
- + CASE WHEN {_q('maximum')} THEN CASE WHEN {_s('max')} OR {_DESC} OR ({_q('oldest')} AND {_ASC} AND {_s('dated')}) THEN 2 ELSE -2.5 END ELSE 0 END
- + CASE WHEN {_q('minimum')} THEN CASE WHEN {_s('min')} OR {_ASC} OR ({_q('youngest')} AND {_DESC} AND {_s('dated')}) THEN 2 ELSE -2.5 END ELSE 0 END
- + CASE WHEN {_GROUPS} THEN CASE WHEN {_q('each')} THEN 1.5 ELSE 0.75 END * CASE WHEN {_s('group')} THEN 1 ELSE -1 END ELSE 0 END
- + CASE WHEN {_COUNTS} AND {_q('each')} AND {_s('count')} THEN CASE WHEN {_s('left_join')} THEN 0.75 WHEN {_s('join')} AND {_s('group')} THEN -0.5 ELSE 0 END ELSE 0 END
- + CASE WHEN {_q('order')} THEN CASE WHEN {_s('order')} THEN 1.5 ELSE -1.5 END ELSE 0 END
- + CASE WHEN {_q('superlative')} AND regexp_matches(chosen, '{SC.STATEMENT['count']}') AND contains(chosen, ',') AND NOT {_q('asks_number')} THEN -2 ELSE 0 END
- + CASE WHEN {_q('superlative')} AND {_s('count')} AND {_s('group')} AND {_DESC} THEN CASE WHEN regexp_matches(grouped, '\\b\\w*id\\b') THEN 0.75 WHEN regexp_matches(grouped, '\\bname\\b') THEN -0.75 ELSE 0 END ELSE 0 END
- + CASE WHEN {_q('not_used')} THEN CASE WHEN {_s('anti')} THEN 1 WHEN {_s('left_join')} AND {_s('is_null')} THEN -0.5 ELSE 0 END ELSE 0 END
- + CASE WHEN {_q('us_territory')} AND NOT {_s('governmentform')} THEN -2 ELSE 0 END + CASE WHEN {_q('enrollment_id')} AND NOT {_s('enrollment')} THEN -2 ELSE 0 END
- + CASE WHEN {_q('entity_count')} AND {_s('count_star')} AND NOT {_s('count_distinct')} THEN -1.25 ELSE 0 END
- + CASE WHEN {_q('entity_filter')} AND {_s('avg')} AND {_s('join')} AND NOT {_s('member')} THEN -2 ELSE 0 END
- + CASE WHEN {_q('speaks')} AND NOT {_q('official')} AND {_s('isofficial')} THEN -2 ELSE 0 END
- + CASE WHEN {_COUNTS} AND NOT {_s('count')} AND regexp_matches(chosen, '\\b(name|text|title|first_name|last_name|fname|lname)\\b') THEN -2 ELSE 0 END
- + CASE WHEN {_COUNTS} AND NOT {_GROUPS} AND q_words <= 12 AND {_s('join')} AND {_s('group')} AND {_s('order')} AND {_s('limit')} THEN -2 ELSE 0 END
- + CASE WHEN q_words <= 8 AND s_words >= 80 THEN -1 WHEN q_words <= 8 AND s_words >= 50 THEN -0.5 ELSE 0 END
- + CASE WHEN ok AND empty THEN -0.5 ELSE 0 END + CASE WHEN ok AND support > 1 THEN LEAST(2, 0.5 * (support - 1)) ELSE 0 END"""
+# The rules for the other engine, with patterns of their own: name, when it applies, what it adds.
+
+def _asks(pattern: str) -> str:
+    return f"regexp_matches(q, '{pattern}')"
+
+
+def _has(pattern: str) -> str:
+    return f"regexp_matches(s, '{pattern}')"
+
+
+def _sign(good: str, plus: float, minus: float) -> str:
+    return f"CASE WHEN {good} THEN {plus} ELSE {minus} END"
+
+
+_COUNTS = f"({_asks(r'\bhow many\b')} OR {_asks(r'\bcount\b')} OR ({_asks(r'\bnumber\b')} AND NOT {_asks(r'\bnumber\s+of\s+(years?|times?)\b')}))"
+_EACH = _asks(r"\b(each|per)\b")
+_GROUPS = f"({_EACH} OR ({_asks(r'\bby\b')} AND NOT {_asks(r'\b(?:not\s+used|used|written|composed|sung|performed|owned|created)\s+by\b')}))"
+_STRENGTH = f"CASE WHEN {_EACH} THEN 1.5 ELSE 0.75 END"
+_TOP = _asks(r"\b(most|greatest|largest)\b")
+_S_COUNT, _S_AVG, _S_MAX, _S_MIN = (_has(rf"\b{f}\s*\(") for f in ("count", "avg", "max", "min"))
+_S_GROUP, _S_ORDER, _S_JOIN, _S_LIMIT = (_has(p) for p in (r"\bgroup\s+by\b", r"\border\s+by\b", r"\bjoin\b", r"\blimit\b"))
+_S_LEFT, _S_ANTI, _S_DATED = _has(r"\bleft\s+(?:outer\s+)?join\b"), _has(r"\bnot\s+in\s*\(|\bnot\s+exists\b"), _has("date|year|birth|born")
+_DESC, _ASC = (f"({_S_ORDER} AND {_has(rf'\b{d}\b')} AND {_S_LIMIT})" for d in ("desc", "asc"))
+_SPACED = "len(list_filter(regexp_extract_all(COALESCE(sql, ''), '''([^'']*)''', 1), lambda x: x <> TRIM(x, ' '))) > 0"
+_RANKS = f"({_TOP} AND {_S_COUNT} AND {_S_GROUP} AND {_DESC})"
+_RULES: tuple[tuple[str, str, str], ...] = (
+    ("execution", "TRUE", _sign("ok", 10, -10)),
+    ("source_reliability", "TRUE", "CASE source WHEN 'embedrag' THEN 5 WHEN 'bm25rag' THEN 4 WHEN 'lora_rag' THEN 3 WHEN 'promptonly' THEN 1 WHEN 'loraonly_ep3' THEN 0.5 ELSE 0 END"),
+    ("repair_variant", "repaired = 1", "CASE WHEN ok AND NOT original_ok THEN 1 WHEN ok THEN 0.25 ELSE -2 END"),
+    ("repair_spaced_literal", f"repaired = 1 AND {_SPACED}", "-2"),
+    ("repair_guard", "repaired = 0 AND ok AND repair_available AND repair_ok", "0.25"),
+    ("keyword_count", _COUNTS, _sign(_S_COUNT, 2, -3)),
+    ("keyword_average", _asks(r"\b(average|avg|mean)\b"), _sign(_S_AVG, 2, -2.5)),
+    ("keyword_maximum", f"({_asks(r'\b(maximum|max|highest|oldest)\b')} OR {_TOP})", _sign(f"{_S_MAX} OR {_DESC} OR ({_asks(r'\boldest\b')} AND {_ASC} AND {_S_DATED})", 2, -2.5)),
+    ("keyword_minimum", _asks(r"\b(minimum|min|lowest|youngest)\b"), _sign(f"{_S_MIN} OR {_ASC} OR ({_asks(r'\byoungest\b')} AND {_DESC} AND {_S_DATED})", 2, -2.5)),
+    ("keyword_group", _GROUPS, f"CASE WHEN {_S_GROUP} THEN {_STRENGTH} ELSE -({_STRENGTH}) END"),
+    ("count_each_left_join", f"{_COUNTS} AND {_EACH} AND {_S_COUNT} AND {_S_LEFT}", "0.75"),
+    ("count_each_inner_join", f"{_COUNTS} AND {_EACH} AND {_S_COUNT} AND NOT {_S_LEFT} AND {_S_JOIN} AND {_S_GROUP}", "-0.5"),
+    ("keyword_order", _asks(r"\b(order|ordered|sort|sorted)\b"), _sign(_S_ORDER, 1.5, -1.5)),
+    ("mismatch_ranking_outputs_count", f"{_TOP} AND regexp_matches(chosen, '\\bcount\\s*\\(') AND contains(chosen, ',') AND NOT {_asks(r'\b(and|with)\s+(the\s+)?(number|count|total)\b')}", "-2"),
+    ("ranking_group_by_id", f"{_RANKS} AND regexp_matches(grouped, '\\b\\w*id\\b')", "0.75"),
+    ("ranking_group_by_name", f"{_RANKS} AND NOT regexp_matches(grouped, '\\b\\w*id\\b') AND regexp_matches(grouped, '\\bname\\b')", "-0.75"),
+    ("not_used_antijoin", f"{_asks(r'\bnot\s+used\b')} AND {_S_ANTI}", "1"),
+    ("not_used_left_join_null", f"{_asks(r'\bnot\s+used\b')} AND NOT {_S_ANTI} AND {_S_LEFT} AND {_has(r'\bis\s+null\b')}", "-0.5"),
+    ("mismatch_us_territory_column", "contains(q, 'us territory') AND NOT contains(s, 'governmentform')", "-2"),
+    ("mismatch_enrollment_id_column", f"{_asks(r'\benrollment\s+id\b')} AND NOT contains(s, 'enrollment')", "-2"),
+    ("mismatch_entity_count_distinct", f"{_asks(r'\bwho\s+participated\b|\bnumber\s+of\b.*\b(winners?|players?|students?|people|owners?)\b.*\bwho\b')} AND {_has(r'\bcount\s*\(\s*\*\s*\)')} AND NOT {_has(r'\bcount\s*\(\s*distinct\b')}", "-1.25"),
+    ("mismatch_avg_join_duplicates", f"{_asks(r'\b(who|that|which)\s+have\b|\bgone\s+through\b|\bany\s+(friends?|treatments?)\b')} AND {_S_AVG} AND {_S_JOIN} AND NOT {_has(r'\bin\s*\(|\bexists\b|\bdistinct\b')}", "-2"),
+    ("mismatch_unasked_official_filter", f"{_asks(r'\b(use|uses|speak|speaks|spoken)\b')} AND NOT contains(q, 'official') AND contains(s, 'isofficial')", "-2"),
+    ("mismatch_count_select_text", f"{_COUNTS} AND NOT {_S_COUNT} AND regexp_matches(chosen, '\\b(name|text|title|first_name|last_name|fname|lname)\\b')", "-2"),
+    ("mismatch_simple_count_complex_sql", f"{_COUNTS} AND NOT {_GROUPS} AND q_words <= 12 AND {_S_JOIN} AND {_S_GROUP} AND {_S_ORDER} AND {_S_LIMIT}", "-2"),
+    ("mismatch_long_sql_short_question", "q_words <= 8 AND s_words >= 50", "CASE WHEN s_words >= 80 THEN -1 ELSE -0.5 END"),
+    ("empty_result", "ok AND empty", "-0.5"),
+    ("result_consistency", "ok AND support > 1", "LEAST(2, 0.5 * (support - 1))"),
+)
+_CASES = " + ".join(f"CASE WHEN {when} THEN {adds} ELSE 0 END" for _, when, adds in _RULES)
 _NORMAL_SQL = "LOWER(TRIM(regexp_replace(regexp_replace(regexp_replace(COALESCE({}, ''), '--[^\\n]*', ' ', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '\\s+', ' ', 'g'), ' '))"
 _SCORED = POOL + f""", texts AS (SELECT p.*, LOWER(COALESCE(i.question, '')) AS q, {_NORMAL_SQL.format('p.sql')} AS s FROM pool p LEFT JOIN question_items i ON p.idx = i.idx),
  parts AS (SELECT *, TRIM(regexp_extract(s, '(?s)\\bselect\\b\\s+(.*?)\\s+\\bfrom\\b', 1), ' ') AS chosen, TRIM(regexp_extract(s, '(?s)\\bgroup\\s+by\\b\\s+(.*?)(?:\\border\\s+by\\b|\\bhaving\\b|\\blimit\\b|;|$)', 1), ' ') AS grouped,
@@ -417,7 +439,7 @@ def select_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.by_score(scored.withColumn("score", F.col("rule_score")))
 
 
-@query()
+@query(_SCORED + " UNION ALL ".join(f"SELECT '{name}' AS rule, COUNT(*) AS n, ROUND(AVG(CAST({adds} AS DOUBLE)), 4) AS mean_delta FROM parts WHERE {when} HAVING COUNT(*) > 0" for name, when, adds in _RULES))
 def score_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often every rule applies and what it adds on average."""
     scored = SC.scored(pool_of(spark, sf_dir), read(spark, sf_dir, "question_items"))
@@ -426,8 +448,8 @@ def score_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STRUCTURE = ", ".join(f"'{k}=' || CAST({v} AS VARCHAR)" for k, v in {
-    "select_items": "CASE WHEN chosen <> '' THEN len(string_split(chosen, ',')) ELSE 0 END", "joins": "len(regexp_extract_all(s, '\\bjoin\\b'))", "where": _s("where"), "group_by": _s("group"),
-    "order_by": _s("order"), "limit": _s("limit"), "distinct": _s("distinct"), "count": _s("count"), "avg": _s("avg"), "sum": _s("sum"), "max": _s("max"), "min": _s("min"), "not_in_or_exists": _s("anti")}.items())
+    "select_items": "CASE WHEN chosen <> '' THEN len(string_split(chosen, ',')) ELSE 0 END", "joins": "len(regexp_extract_all(s, '\\bjoin\\b'))", "where": _has(r"\bwhere\b"), "group_by": _S_GROUP,
+    "order_by": _S_ORDER, "limit": _S_LIMIT, "distinct": _has(r"\bdistinct\b"), "count": _S_COUNT, "avg": _S_AVG, "sum": _has(r"\bsum\s*\("), "max": _S_MAX, "min": _S_MIN, "not_in_or_exists": _S_ANTI}.items())
 
 
 @query(_SCORED + f"SELECT pool_id, concat_ws(', ', {_STRUCTURE}) AS structure FROM parts")
