@@ -113,7 +113,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_cut_shares": p8_cut_shares,
 }
 
+# Databases that share a question, closed over all ways; (x, y) holds both directions.
+_TIED = """WITH RECURSIVE k AS (SELECT DISTINCT NULLIF(LOWER(regexp_replace(db_id, '^\\s+|\\s+$', '', 'g')), '') AS db, NULLIF(LOWER(regexp_replace(question, '[^\\p{L}\\p{Nd}]', '', 'g')), '') AS q FROM question_items),
+ e AS (SELECT DISTINCT a.db AS x, b.db AS y FROM k a JOIN k b ON a.q = b.q AND a.db <> b.db),
+ r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": _TIED + """, spelt AS (SELECT LOWER(TRIM(db_id, ' ')) AS db, MIN(db_id) AS name FROM db_catalog GROUP BY 1),
+         named AS (SELECT COALESCE(a.name, x) AS x, COALESCE(b.name, y) AS y FROM r LEFT JOIN spelt a ON a.db = x LEFT JOIN spelt b ON b.db = y)
+        SELECT x AS db_id_a, y AS db_id_b FROM named WHERE x < y""",
+    "p3_members": _TIED + " SELECT LEAST(x, MIN(y)) AS root, x AS db_id FROM r GROUP BY x",
     "p4_found": """
         SELECT idx, pool_id FROM (
           SELECT idx, pool_id, ROW_NUMBER() OVER (
