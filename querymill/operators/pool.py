@@ -49,6 +49,27 @@ def first_by(df: DataFrame, group: Sequence[str], order: Sequence[Column], keep:
     return df.groupBy(*group).agg(taken).select(*group, *[F.col(f"first.k_{k}").alias(k) for k in keep])
 
 
+def compacted(pool: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The pool with its candidates of one question, source, variant, outcome (and ``keys``) as one row: the first of them, and their number ``n``.
+
+    Whatever a selector asks of those columns, of position and of identifier it can ask of these rows. They come
+    from a hash aggregate, whose one buffer holds position and identifier as a number, so that no task sorts its
+    candidates and a hot question is a few rows before anything is shuffled.
+    """
+    shown = ["idx", "source", "variant", "ok", "correct", "labeled", "rank", "repaired", *keys]
+    return _placed(pool.groupBy(*shown).agg(_first_place(), F.count("*").alias("n")))
+
+
+def _first_place() -> Column:
+    """The least position and identifier as one number: identifiers lie within 2^63 of their position times 2^64."""
+    return F.min(F.expr("cast(cast(ord as decimal(38,0)) * 18446744073709551616BD + cast(pool_id as decimal(38,0)) as decimal(38,0))")).alias("place")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    placed = df.withColumn("ord", F.expr("(place + 9223372036854775808BD) div 18446744073709551616BD"))
+    return placed.withColumn("pool_id", F.expr("cast(place - cast(ord as decimal(38,0)) * 18446744073709551616BD as bigint)")).drop("place")
+
+
 def counts(pool: DataFrame) -> DataFrame:
     """How many executable candidates of a question share each result."""
     return pool.filter(F.col("ok") & (F.col("key") != MISSING)).groupBy("idx", "key").agg(F.count("*").alias("support"))
@@ -80,7 +101,7 @@ def distinct_candidates(pool: DataFrame, lowered: bool = False) -> DataFrame:
     """The first of the candidates of a question that agree in source, variant and statement, or in the lowered statement."""
     text = F.lower(F.trim(F.coalesce("sql", F.lit(""))))
     keys = {"k": text} if lowered else {"k": F.concat_ws("\x1f", "source", "variant", F.coalesce("sql", F.lit("")))}
-    return first_by(pool.withColumns({"k": F.md5(keys["k"])}), ["idx", "k"], [F.col("ord"), F.col("pool_id")], ["pool_id"]).drop("k")
+    return _placed(pool.groupBy("idx", F.md5(keys["k"]).alias("k")).agg(_first_place())).select("idx", "pool_id")
 
 
 def nested_candidates(items: DataFrame) -> DataFrame:

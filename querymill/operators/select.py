@@ -1,8 +1,10 @@
 """Selectors: one candidate for every question.
 
-All of them are orders over structs taken as aggregates. Selectors that vote first aggregate by question and
-result, then by question, so that a hot question is combined before it is shuffled and never sorted whole.
-Pool position and identifier end every order, so that a choice doesn't depend on how rows are spread.
+All of them are orders over structs taken as aggregates. Selectors that ask only for sources, outcomes and results
+take them of the compacted pool, which a hash aggregate makes before the shuffle. Those that rank by latency or
+score need every candidate: each task sorts its own by question, combines them, and shuffles what is left.
+Selectors that vote first aggregate by question and result, then by question, so a hot question is never whole in
+one place. Pool position and identifier end every order, so that a choice doesn't depend on how rows are spread.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pool import first_by, source_rank, with_support
+from .pool import compacted, first_by, source_rank, with_support
 
 KEEP = ["pool_id", "source", "variant", "ok", "correct"]
 # Fixed value: the order in which equal scores are told apart.
@@ -29,17 +31,17 @@ def _pick(pool: DataFrame, *order: Column, keep: list[str] | None = None) -> Dat
 
 def rule_priority(pool: DataFrame) -> DataFrame:
     """Executable candidates, else all; best source first."""
-    return _pick(pool, ~F.col("ok"), F.col("rank"))
+    return _pick(compacted(pool), ~F.col("ok"), F.col("rank"))
 
 
 def repaired_last(pool: DataFrame) -> DataFrame:
     """Originals before repairs, then the source."""
-    return _pick(pool, ~F.col("ok"), F.col("repaired"), F.col("rank"))
+    return _pick(compacted(pool), ~F.col("ok"), F.col("repaired"), F.col("rank"))
 
 
 def oracle_repaired(pool: DataFrame) -> DataFrame:
     """Reads labels: a bound for analysis, not a selector."""
-    return _pick(pool, ~F.col("ok"), ~F.col("correct"), F.col("repaired"), F.col("rank"))
+    return _pick(compacted(pool), ~F.col("ok"), ~F.col("correct"), F.col("repaired"), F.col("rank"))
 
 
 def by_score(pool: DataFrame) -> DataFrame:
@@ -50,16 +52,16 @@ def by_score(pool: DataFrame) -> DataFrame:
 def fixed_model(pool: DataFrame, default: str = "embedrag") -> DataFrame:
     """The first candidate of the default model, whether it runs or not; without one an executable candidate by rank, else any."""
     other = F.col("source") != default
-    return _pick(pool, other, F.when(other, ~F.col("ok")), F.when(other, F.col("rank")))
+    return _pick(compacted(pool), other, F.when(other, ~F.col("ok")), F.when(other, F.col("rank")))
 
 
 def oracle_model(pool: DataFrame) -> DataFrame:
     """Reads labels: a correct candidate by rank, else an executable one, else any."""
-    return _pick(pool, F.when(F.col("correct"), 0).when(F.col("ok"), 1).otherwise(2), F.col("rank"))
+    return _pick(compacted(pool), F.when(F.col("correct"), 0).when(F.col("ok"), 1).otherwise(2), F.col("rank"))
 
 
 def priority_with_variant(pool: DataFrame) -> DataFrame:
-    return _pick(pool, ~F.col("ok"), F.col("rank"), F.col("repaired"))
+    return _pick(compacted(pool), ~F.col("ok"), F.col("rank"), F.col("repaired"))
 
 
 def semantic_score(pool: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -69,7 +71,8 @@ def semantic_score(pool: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def _by_result(pool: DataFrame, inner: list[Column], keep: list[str]) -> DataFrame:
     """One row per question and result with its votes and best candidate; failed candidates make one result without votes."""
     key = F.when(F.col("ok"), F.col("key")).otherwise("\x00")
-    votes = F.when(F.first("ok"), F.count("*")).otherwise(0)
+    n = F.sum("n") if "n" in pool.columns else F.count("*")
+    votes = F.when(F.max("ok"), n).otherwise(0)
     best = F.min(F.struct(*[o.alias(f"_{i}") for i, o in enumerate([*inner, *_col("ord", "pool_id")])], *[F.col(k).alias(f"k_{k}") for k in keep]))
     return pool.withColumn("group_key", key).groupBy("idx", "group_key").agg(
         votes.alias("votes"), F.max("ok").alias("g_ok"), F.max("empty").alias("g_empty"), best.alias("best"))
@@ -85,7 +88,7 @@ def _vote(pool: DataFrame, nonempty_first: bool, inner: list[Column], keep: list
 
 def vote(pool: DataFrame) -> DataFrame:
     """The result most executable candidates share, ties to the result with the better source."""
-    return _vote(pool, False, _col("rank"))
+    return _vote(compacted(pool, ["key", "empty"]), False, _col("rank"))
 
 
 def practical(pool: DataFrame) -> DataFrame:
@@ -98,12 +101,12 @@ def consensus_model(pool: DataFrame) -> DataFrame:
 
 
 def consensus(pool: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    return _vote(pool, True, _col("rank", "repaired"), keep)
+    return _vote(pool if keep else compacted(pool, ["key", "empty"]), True, _col("rank", "repaired"), keep)
 
 
 def oracle_consensus(pool: DataFrame) -> DataFrame:
     """Reads labels: a labelled correct candidate by rank, else the consensus."""
-    right = _pick(pool.filter("labeled AND correct"), F.col("rank"), F.col("repaired"))
+    right = _pick(compacted(pool.filter("labeled AND correct")), F.col("rank"), F.col("repaired"))
     return _either(right, consensus(pool))
 
 
@@ -130,12 +133,12 @@ def conservative_switch(pool: DataFrame, default: str = "embedrag") -> DataFrame
     Default alone and two others agree on a non-empty result: the best of such others. Else keep.
     """
     is_default = F.col("source") == default
-    keyed = pool.withColumn("group_key", F.when(F.col("ok"), F.col("key")).otherwise("\x00"))
+    keyed = compacted(pool, ["key", "empty"]).withColumn("group_key", F.when(F.col("ok"), F.col("key")).otherwise("\x00"))
     keep = [F.col(k).alias(f"k_{k}") for k in KEEP]
     row = F.struct(F.col("rank").alias("_0"), F.col("ord").alias("_1"), F.col("pool_id").alias("_2"), *keep)
     own = F.struct(F.col("ord").alias("_0"), F.col("pool_id").alias("_1"), *keep)
     groups = keyed.groupBy("idx", "group_key").agg(
-        F.when(F.first("ok"), F.count("*")).otherwise(0).alias("votes"), F.count_if(~is_default).alias("others"),
+        F.when(F.max("ok"), F.sum("n")).otherwise(0).alias("votes"), F.sum(F.when(~is_default, F.col("n")).otherwise(0)).alias("others"),
         F.max("ok").alias("g_ok"), F.max("empty").alias("g_empty"), F.min(row).alias("best"),
         F.min(F.when(~is_default, row)).alias("best_other"), F.min(F.when(is_default, own)).alias("default_row"))
     full = F.col("g_ok") & ~F.col("g_empty")

@@ -183,3 +183,34 @@ def test_evidence_choices(spark):
     summary = {r.measure: r.value for r in E.output_summary(ev).collect()}
     assert summary["total"] == 2 and summary["stage:normalize"] == 2 and summary["stage:raw"] == 2 and "stage:llm_repair" not in summary
     assert {r.idx: r.backend for r in E.base_row(ev).collect()} == {1: "duckdb", 2: "duckdb"}
+
+
+def test_compacted_pools_keep_the_first(spark):
+    rnd = random.Random(3)
+    big = 2**62
+    entries = [{"idx": rnd.randrange(3), "pool_id": rnd.choice([-big, -1, 0, 5, big, big + 1]) + i, "ord": rnd.choice([0, 1, 2**31 - 1, None]), "source": rnd.choice("ab"), "result": rnd.choice(["[]", "[[1]]"])} for i in range(200)]
+    p = pool(spark, *entries)
+    got = {(r.idx, r.source, r.key): (r.ord, r.pool_id, r.n) for r in P.compacted(p, ["key"]).collect()}
+    want = {}
+    for r in p.collect():
+        at, n = want.get((r.idx, r.source, r.key), ((2**40, 0), 0))
+        want[r.idx, r.source, r.key] = min(at, (r.ord, r.pool_id)), n + 1
+    assert got == {k: (*at, n) for k, (at, n) in want.items()}
+
+
+@pytest.mark.parametrize("name", ["rule_priority", "repaired_last", "oracle_repaired", "fixed_model", "oracle_model", "priority_with_variant", "vote", "consensus", "oracle_consensus", "conservative_switch"])
+def test_candidates_are_not_sorted_before_they_are_shuffled(spark, tmp_path, name):
+    pool(spark, *[{"source": s} for s in "abc"]).write.parquet(str(tmp_path / name))
+    plan = S.SELECTORS[name](spark.read.parquet(str(tmp_path / name)))._jdf.queryExecution().executedPlan().toString()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.split("\n")
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line]
+    assert scans
+    for i in scans:  # from every scan up to the first exchange
+        at = depth(lines[i])
+        for line in reversed(lines[:i]):
+            if depth(line) < at:
+                at = depth(line)
+                assert "Sort" not in line, plan
+                if "Exchange" in line:
+                    break
