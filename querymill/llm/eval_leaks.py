@@ -45,6 +45,8 @@ STRETCH = 8
 #: Share of the n-grams, of all that two items have, that nearly equal ones share; bands of minimum hashes and hashes in one.
 ALIKE, BANDS, BAND = 0.5, 64, 3
 BLOCK_WORDS = 2_000_000
+#: Texts with leaks up to which their spans are broadcast to the texts; beyond, both are shuffled.
+BROADCAST_TEXTS = 200_000
 
 WORD = re.compile(r"[^\W_]+")
 _WRAP = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t>]*(?=[^\W\d_])")
@@ -341,7 +343,8 @@ def without_leaks(df: DataFrame, items: DataFrame, record: str = "doc_id", text:
                   item_text: str = "text") -> DataFrame:
     """(record, <text>, removed): every text that is not null, leaked spans cut out, and the characters removed.
 
-    Spans are found block by block and joined to the texts once, by the text's hash.
+    Spans are found block by block and joined to the texts once, by the text's hash: broadcast where few texts have
+    any, else by a shuffle.
     """
 
     def make(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -376,7 +379,9 @@ def without_leaks(df: DataFrame, items: DataFrame, record: str = "doc_id", text:
 
     texts = df.select(F.col(record).alias("record"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("txt")).filter("text IS NOT NULL")
     found = _scan(texts, items, [F.col("txt"), F.col("text")], "txt bigint, a bigint, b bigint", item, item_text, make)
-    spans = found.groupBy("txt").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # those of one text
+    spans = cut(found.groupBy("txt").agg(F.collect_set(F.struct("a", "b")).alias("spans")))  # those of one text
+    if spans.count() <= BROADCAST_TEXTS:
+        spans = F.broadcast(spans)
     joined = texts.join(spans, "txt", "left").select("record", "text", "spans")
     schema = joined.select("record", "text", F.lit(0).cast("bigint").alias("removed")).schema
     cleaned = joined.mapInArrow(remove, schema)

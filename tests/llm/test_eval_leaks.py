@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from querymill.llm import eval_leaks as op
 
 NAMES = ["Bababare", "Tijukeva", "Purusibu", "Medufugu", "Jolunako", "Gatuzeni"]
@@ -111,7 +113,9 @@ def test_a_text_that_repeats_a_phrase():
     assert op.best_chain(runs)[0] == 11
 
 
-def test_texts_without_identifier_are_cleaned_too(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_texts_without_identifier_are_cleaned_too(spark, monkeypatch, few):
+    monkeypatch.setattr(op, "BROADCAST_TEXTS", few)
     rnd = random.Random(9)
     tests = [(i, passage(rnd)) for i in range(5)]
     docs = [(None, f"Before. {tests[1][1]} After."), (None, "clean"), (7, f"Before. {tests[1][1]} After."), (7, "other")]
