@@ -203,6 +203,12 @@ def result_summary(result: Column, rows: int = 3, chars: int = 500) -> Column:
     return F.when(result.isNull(), "result=NULL").when(s["empty"], "result=empty; rows=0; cols=0").otherwise(full)
 
 
+def repair_trace() -> Column:
+    """What is known of a candidate's repair, as a line of its text."""
+    told = {"repair_variant": F.col("repaired") == 1, "original_exec_ok": F.when(F.col("repaired") == 1, F.col("original_ok")), "repair_exec_ok": F.col("repair_ok"), "repair_available": F.col("repair_available")}
+    return F.concat(F.lit("Repair trace: "), F.concat_ws("; ", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in told.items()]))
+
+
 def candidate_text(pool: DataFrame, items: DataFrame, schemas: DataFrame, schema_chars: int = 4500) -> DataFrame:
     """(pool_id, text): what a ranker reads of a candidate: question, schema, statement and evidence; labels stay out."""
     from ..functions.text import shorten
@@ -214,9 +220,10 @@ def candidate_text(pool: DataFrame, items: DataFrame, schemas: DataFrame, schema
     squeeze = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     text = F.concat_ws(
         "\n", F.concat(F.lit("Question: "), squeeze(F.col("question"))), F.concat(F.lit("Database id: "), F.coalesce("db", F.lit(""))), F.lit("Schema:"), F.coalesce("schema", F.lit("")),
-        F.concat(F.lit("Candidate metadata: source="), "source", F.lit("; variant="), "variant"), F.lit("SQL:"), normal_sql(F.col("sql"), lower=False),
-        F.concat(F.lit("Execution evidence: exec_ok="), F.col("ok").cast("string"), F.lit("; result_support="), F.col("support").cast("string"), F.lit("/"), F.col("n_ok").cast("string")),
-        F.concat(F.lit("Result evidence: "), result_summary(F.col("result"))), F.concat(F.lit("SQL structure: "), F.col("structure")))
+        F.concat(F.lit("Candidate metadata: source="), "source", F.lit("; variant="), "variant", F.lit("; candidate_index="), F.coalesce(F.col("candidate_index").cast("string"), F.lit("none"))),
+        F.lit("SQL:"), normal_sql(F.col("sql"), lower=False),
+        F.concat(F.lit("Execution evidence: exec_ok="), F.col("ok").cast("string"), F.lit("; non_empty_result="), (~F.col("empty")).cast("string"), F.lit("; result_support="), F.col("support").cast("string"), F.lit("/"), F.col("n_ok").cast("string")),
+        F.concat(F.lit("Result evidence: "), result_summary(F.col("result"))), F.concat(F.lit("SQL structure: "), F.col("structure")), repair_trace())
     return full.select("pool_id", text.alias("text"))
 
 

@@ -201,7 +201,7 @@ def _share(flag: str) -> str:
 
 @query(POOL + f"SELECT source, COUNT(*) AS total, COUNT(*) FILTER (ok) AS exec_ok, COUNT(*) FILTER (correct) AS correct, {_share('ok')} AS exec_rate, {_share('correct')} AS accuracy, ROUND(AVG(latency_ms), 4) AS mean_latency_ms FROM pool GROUP BY source")
 def metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.by_source(pool_of(spark, sf_dir))
+    return M.by_source(pool_of(spark, sf_dir)).orderBy("source")
 
 
 @query(POOL + f"SELECT COUNT(*) AS questions, CAST(SUM(n) AS BIGINT) AS candidates, {_share('o')} AS exec_coverage, {_share('c')} AS oracle_accuracy, COUNT(*) FILTER (NOT o) AS all_failed FROM (SELECT idx, BOOL_OR(ok) AS o, BOOL_OR(correct) AS c, COUNT(*) AS n FROM pool GROUP BY idx) t")
@@ -1218,3 +1218,11 @@ def files_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     FI.write_json_arrays(catalog_of(spark, sf_dir).withColumns({"column_names_original": columns, "primary_keys": keys}), at, "db_id", 8)
     got = FI.read_catalog_json(spark, f"{at}/part=*")
     return got.select("db_id", *[F.size(c).alias(n) for c, n in (("table_names_original", "tables"), ("column_names_original", "columns"), ("foreign_keys", "keys"))])
+
+
+@query("WITH h AS (" + SQL["retrieval_bm25"] + ") SELECT query, md5(string_agg(printf('[%.4f] %s', ROUND(score, 4), text), chr(10) ORDER BY place)) AS digest FROM h JOIN documents ON doc_id = doc GROUP BY query")
+def retrieval_hits_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of every held-out passage as the text that a prompt would show."""
+    docs = read(spark, sf_dir, "documents")
+    hits = R.top_docs(R.bm25(R.build_index(docs, "doc_id", "text"), read(spark, sf_dir, "eval_passages"), "item_id", "text"), 5)
+    return R.context_hits(hits, docs, "doc_id", "text").select("query", F.md5("text").alias("digest"))
