@@ -1220,7 +1220,7 @@ def files_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("db_id", *[F.size(c).alias(n) for c, n in (("table_names_original", "tables"), ("column_names_original", "columns"), ("foreign_keys", "keys"))])
 
 
-@query("WITH h AS (" + SQL["retrieval_bm25"] + ") SELECT query, md5(string_agg(printf('[%.4f] %s', ROUND(score, 4), text), chr(10) ORDER BY place)) AS digest FROM h JOIN documents ON doc_id = doc GROUP BY query")
+@query("WITH h AS (" + SQL["retrieval_bm25"] + ") SELECT query, md5(string_agg('[' || CAST(ROUND(CAST(score AS DECIMAL(18, 6)), 4) AS DECIMAL(18, 4)) || '] ' || text, chr(10) ORDER BY place)) AS digest FROM h JOIN documents ON doc_id = doc GROUP BY query")
 def retrieval_hits_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits of every held-out passage as the text that a prompt would show."""
     docs = read(spark, sf_dir, "documents")
