@@ -200,6 +200,15 @@ def overlapping_pairs(df: DataFrame, record: str = "idx", text: str = "question"
     )
 
 
+def linked_classes(df: DataFrame, record: str = "idx", **columns: str) -> DataFrame:
+    """(train_rid, eval_rid, train_n, eval_n): the links between classes of copies, each class by its smallest record and its size."""
+    encoded = encode(df, record=record, **columns)
+    size = lambda flag, tag: encoded.filter(F.col("train") == flag).groupBy("stmt", F.col("txt").alias("txt" + tag)).agg(
+        F.min("rid").alias("rid" + tag), F.count("*").alias("n" + tag))
+    return class_pairs(encoded).join(size(True, "_t"), ["stmt", "txt_t"]).join(size(False, "_e"), ["stmt", "txt_e"]).select(
+        F.col("rid_t").alias("train_rid"), F.col("rid_e").alias("eval_rid"), F.col("n_t").alias("train_n"), F.col("n_e").alias("eval_n"))
+
+
 def overlap_report(df: DataFrame, record: str = "idx", split: str = "split", source: str = "source",
                    train: str = "train", **columns: str) -> DataFrame:
     """(split, source, records, overlapping): per evaluation split and source, how many records also stand in training."""

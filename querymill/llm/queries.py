@@ -28,6 +28,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least("train_rid", "eval_rid").cast("int").alias("idx_a"), F.greatest("train_rid", "eval_rid").cast("int").alias("idx_b"))
 
 
+def p2_linked_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links between classes of copies: smallest records and sizes."""
+    return cross_split.linked_classes(read(spark, sf_dir, "question_items"))
+
+
 def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.overlap_report(read(spark, sf_dir, "question_items"))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
     "p2_found": p2_found,
+    "p2_linked_classes": p2_linked_classes,
     "p2_overlap_report": p2_overlap_report,
     "p3_found": p3_found,
     "p3_members": p3_members,

@@ -128,6 +128,8 @@ def test_classes_and_members_hold_the_same_links(spark):
     encoded = op.encode(table(spark, rows))
     pairs = op.class_pairs(encoded)
     assert pairs.count() == 4 and len(found(spark, rows)) == 200 * 200
+    linked = op.linked_classes(table(spark, rows)).collect()
+    assert len(linked) == 4 and sum(r.train_n * r.eval_n for r in linked) == 200 * 200 and {(r.train_rid, r.eval_rid) for r in linked} == {(0, 2), (0, 3), (1, 2), (1, 3)}
     assert op.members(encoded, True, "_t").count() == 200
 
 
